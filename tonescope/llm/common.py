@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import itertools
 import math
 import os
 import re
@@ -136,70 +137,115 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
+class _Codes(dict):
+    """Numbers for keys in the order in which they are first asked for; ``new`` lists the keys without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str | bytes] = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class ChunkEncoder:
     """Token ids of whole texts by the tokenizers library, through a table of chunks that were encoded before.
 
     The pre-tokenizers in use never join characters across the start of a run of white space, and look ahead only
     within that run and the character after it. So a text's ids are those of its chunks (white space with the word
-    behind it) in turn. The table is emptied when it holds ``most`` chunks, which only costs time.
+    behind it) in turn. spaced: white space has ids of its own (byte-level BPE); else it is dropped (word BPE), and
+    chunks are the words between ASCII white space, whose A-Z are small letters to such tokenizers. The table is emptied when it holds ``most`` chunks, which only
+    costs time. Keys are words after one space (str) or literal chunks (bytes).
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        self.spaced = spaced
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # the table here takes its place
+            self.tokenizer.model._resize_cache(1)
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        sign = r"[!-/:-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"  # ASCII but digits, and Latin letters
-        self.plain = re.compile(rf"[{WHITE}]*{sign}(?:[^0-9]*{sign})?\Z").match
+        self.rare = re.compile(f"[{WHITE.replace(' ', '').replace('-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]").search
         (self.zero,) = self.tokenizer.encode("0", add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
-        self.table: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = [0]
-
-    def _learn(self, new: list[str]) -> None:
-        """Chunks without digits that begin and end in a Latin letter or an ASCII sign are encoded many to a text, with a
-        digit between them: it always is a token by itself there."""
+        self.codes = _Codes()
+        self.ids = np.zeros(1 << 20, np.int32)
+        self.ends = np.zeros(1 << 18, np.int64)  # ends[i]: where the ids of code i begin, and those of i - 1 end
+        self.n = 0
+
+    def _keys(self, text: str | None) -> list[str | bytes]:
+        if not text:
+            return []
+        if not self.spaced:
+            return text.encode().lower().split()
+        if not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or self.rare(text)):
+            # single spaces and line ends between words only: a line end is a chunk, and no space is before the next word
+            keys = text.replace("\n", " \n ").split(" ")
+            keys[0], at = keys[0].encode(), 0
+            for _ in range(text.count("\n")):
+                at = keys.index("\n", at + 1)
+                keys[at], keys[at + 1] = b"\n", keys[at + 1].encode()
+            return keys
+        return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in WHITE else c.encode() for c in self.chunks(text)]
+
+    def _learn(self) -> None:
+        """Words of letters, with a dot or comma behind, are encoded many to a text, with a digit between them: it always
+        is a token by itself there."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        plain = list(filter(self.plain, new))
-        found, sizes = [], []
-        for at in range(0, len(plain), 2_000):
-            some = plain[at : at + 2_000]
-            ids = np.fromiter(encode(["0".join(some)], add_special_tokens=False)[0].ids, np.int32)
+        new, self.codes.new = self.codes.new, []
+        size: list[np.ndarray] = []
+        found: list[np.ndarray] = []
+        for at in range(0, len(new), 2_000):
+            words = [k.decode() if k.__class__ is bytes else k for k in new[at : at + 2_000]]
+            ok = np.fromiter((w.isalpha() or (w[-1] in ".," and w[:-1].isalpha()) for w in words), bool, len(words))
+            literal = [w if k.__class__ is bytes else " " + w for w, k in zip(words, new[at : at + 2_000])]
+            joined = list(itertools.compress(literal, ok))
+            each = [x.ids for x in encode(list(itertools.compress(literal, ~ok)), add_special_tokens=False)]
+            ids = np.array(encode(["0".join(joined)], add_special_tokens=False)[0].ids if joined else [], np.int32)
             cut = ids == self.zero
             stops = np.flatnonzero(cut)
-            if len(stops) != len(some) - 1:
+            if len(stops) != max(0, len(joined) - 1):
                 raise RuntimeError("the tokenizer does not keep chunks apart")
-            sizes.append(np.diff(np.concatenate([[-1], stops, [len(ids)]])) - 1)
-            found.append(ids[~cut])
-        odd = [c for c in new if not self.plain(c)] if len(plain) < len(new) else []
-        each = [x.ids for x in encode(odd, add_special_tokens=False)]
-        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-        found.append(np.fromiter((i for x in each for i in x), np.int32))
-        flat, begin = np.concatenate(found), self.ends[-1]
+            n = np.empty(len(words), np.int64)
+            n[ok] = np.diff(np.concatenate([[-1], stops, [len(ids)]])) - 1 if joined else 0
+            n[~ok] = list(map(len, each))
+            out = np.empty(int(n.sum()), np.int32)
+            mine = np.repeat(ok, n)
+            out[mine] = ids[~cut]
+            out[~mine] = [i for x in each for i in x]
+            size.append(n)
+            found.append(out)
+        flat, begin = np.concatenate(found), int(self.ends[self.n])
         while begin + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(new) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[begin : begin + len(flat)] = flat
-        self.ends += (begin + np.cumsum(np.concatenate(sizes))).tolist()
-        self.table.update(zip(plain + odd, range(len(self.table), len(self.table) + len(new))))
+        self.ends[self.n + 1 : self.n + len(new) + 1] = begin + np.cumsum(np.concatenate(size))
+        self.n += len(new)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the number of each text's ids; null is an empty text."""
-        split = [self.chunks(t) if t else [] for t in texts]
-        if len(self.table) > self.most:
+        if len(self.codes) > self.most:
             self._clear()
-        new = {c for s in split for c in s if c not in self.table}
-        if new:
-            self._learn(list(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((self.table[c] for s in split for c in s), np.int64, int(counts.sum()))
-        ends = np.asarray(self.ends, np.int64)
-        begin, size = ends[codes], ends[codes + 1] - ends[codes]
+        look, keys, counts = self.codes.__getitem__, [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            some = self._keys(t)
+            counts[i] = len(some)
+            keys.append(np.fromiter(map(look, some), np.int64, len(some)))
+        codes = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        if self.codes.new:
+            self._learn()
+        begin = self.ends[codes]
+        size = self.ends[codes + 1] - begin
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
         flat = self.ids[np.repeat(begin - stop + size, size) + np.arange(total)]
@@ -208,9 +254,9 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def chunk_encoder(path: str) -> ChunkEncoder:
+def chunk_encoder(path: str, spaced: bool) -> ChunkEncoder:
     """One for each Python worker."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, spaced)
 
 
 def tokenizer_path(name: str) -> str:

@@ -25,12 +25,12 @@ from .common import blocks, ceil_div, checkpointed, chunk_encoder, tune
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, key: str = "doc_id", text: str = "text", spaced: bool = True, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every whole text's ids and the end id, cut to pieces of length."""
     tune(df.sparkSession)
 
     def cut(batches):
-        encoder = chunk_encoder(tokenizer)
+        encoder = chunk_encoder(tokenizer, spaced)
         for b in batches:
             texts, keys = b.column(1).to_pylist(), b.column(0)
             for i, j in blocks(texts):

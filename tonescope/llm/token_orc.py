@@ -23,7 +23,7 @@ from .common import blocks, checkpointed, chunk_encoder, new_path, partitions, t
 SCHEMA = "doc_id long, part int, place long, ids array<int>"
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", spaced: bool = False, ranges: int | None = None) -> None:
     """Encode every whole text of df, append end_id, and write the ids to ORC files at path in ascending key order."""
     tune(df.sparkSession)
     n = ranges or max(2 * partitions(df.sparkSession), 8)
@@ -31,7 +31,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def encode(batches):
-        encoder, place = chunk_encoder(tokenizer), 0
+        encoder, place = chunk_encoder(tokenizer, spaced), 0
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in blocks(texts):
