@@ -231,31 +231,32 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 # --- scoring ------------------------------------------------------------------------------
 
 
-def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.5, min_words: int = 50, repeat_percent: int = 50, text: str = "text") -> DataFrame:
-    """df with COUNTS, base_failed, quality_score and kept beside its columns; all columns go through Arrow.
+def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.5, min_words: int = 50, repeat_percent: int = 50, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns ``keep``) with COUNTS, base_failed, quality_score and kept.
 
     base_failed: fewer than min_words words, or more than repeat_percent of them in 3-word windows that come again.
     kept: the base rules hold and the probability of good quality is at least threshold.
     """
     tune(df.sparkSession)
-    place = df.columns.index(text)
+    names = df.columns if keep is None else keep
+    source = df.select(*names, F.col(text).alias("_text"))
     kinds = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("quality_score", T.DoubleType()), ("kept", T.BooleanType())]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in kinds]])
+    schema = T.StructType([*df.select(*names).schema.fields, *[T.StructField(n, t) for n, t in kinds]])
     shared = df.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the table's size
 
     def score(batches):
         m = shared.value
         for b in batches:
-            texts = b.column(place).to_pylist()
+            texts = b.column(b.num_columns - 1).to_pylist()
             for i, j in blocks(texts, 500_000):
                 codes, words = word_codes(texts[i:j])
                 n = np.array([counts_of(t, c) for t, c in zip(texts[i:j], codes)], np.int64)
                 p = m.probability(m.scores(texts[i:j], codes, words))
                 failed = (n[:, 0] < min_words) | (100 * n[:, 4] > repeat_percent * n[:, 0])
                 new = [*map(pa.array, n.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns], *new], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:-1]], *new], names=schema.names)
 
-    return df.mapInArrow(score, schema)
+    return source.mapInArrow(score, schema)
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:

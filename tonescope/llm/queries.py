@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_orc
+from . import packing, quality, sharding, token_orc, toxicity
 from .common import checkpointed, tokenizer_path
 
 SHARDS = 8
@@ -31,6 +31,12 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokens_by_orc(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = quality.score_quality(docs, quality.train_quality(docs, labels(spark, sf_dir)), keep=["doc_id"])
+    return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_score")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = checkpointed(packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, length=2048))
     return packing.pack(pieces, length=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -40,10 +46,19 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train_toxicity(docs, labels(spark, sf_dir))
+    rows = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_orc": op5_token_orc,
     "op7_pack_sequences": op7_pack_sequences,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {}
