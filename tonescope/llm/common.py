@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,19 +83,50 @@ def salt(*columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def with_group(df: DataFrame, key: str, aggs: dict[str, tuple[str, str]], spread: str) -> DataFrame:
-    """df with an aggregate of each row's key group beside the row.
+def with_group(df: DataFrame, key: str, aggs: dict[str, tuple[str, str]], spread: str, having: Column | None = None) -> DataFrame:
+    """df with aggregates of each row's key group beside the row.
 
     aggs: new column -> ("min" | "max" | "sum", column). Rows are first aggregated by (key, salt of spread), then by
     key; the result goes back to (key, salt), where the rows join it. So no task ever holds a whole group, and
-    nothing is broadcast. Rows with a null key get null aggregates.
+    nothing is broadcast. Rows with a null key get null aggregates. having: only rows of groups where it holds.
     """
     salted = df.withColumn("_salt", salt(spread))
     fold = {"min": F.min, "max": F.max, "sum": F.sum}
     part = salted.where(F.col(key).isNotNull()).groupBy(key, "_salt").agg(*[fold[f](c).alias(n) for n, (f, c) in aggs.items()])
     whole = part.groupBy(key).agg(F.collect_list("_salt").alias("_salts"), *[fold[f](n).alias(n) for n, (f, _) in aggs.items()])
+    whole = whole if having is None else whole.where(having)
     back = whole.withColumn("_salt", F.explode("_salts")).drop("_salts")
-    return salted.join(back, [key, "_salt"], "left").drop("_salt")
+    return salted.join(back, [key, "_salt"], "left" if having is None else "inner").drop("_salt")
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join of left with right (one row for each key) where a key may have any share of left's rows.
+
+    Each row of right goes once to every salt that its key has in left.
+    """
+    salted = left.withColumn("_salt", salt(spread))
+    return salted.join(salted.select(key, "_salt").distinct().join(right, key), [key, "_salt"]).drop("_salt")
+
+
+def grouped(batches, n_keys: int = 1):
+    """Tables of consecutive rows with equal first n_keys columns, of a stream that is sorted by them."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        change = np.zeros(t.num_rows - 1, bool)
+        for c in t.columns[:n_keys]:
+            x = c.to_numpy()
+            change |= x[1:] != x[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield t.slice(i, j - i)
+        rest = t.slice(int(cuts[-1]))
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
 # --- connected components ---------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, token_orc, toxicity
+from . import minhash, packing, quality, sharding, token_orc, toxicity
 from .common import checkpointed, tokenizer_path
 
 SHARDS = 8
@@ -37,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_score")
 
 
+def op6_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), minhash.NearDup(percent=85, shingle=3))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = checkpointed(packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, length=2048))
     return packing.pack(pieces, length=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_orc": op5_token_orc,
+    "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
     "op7_pack_sequences": op7_pack_sequences,
     "op9_toxicity": op9_toxicity,
 }
