@@ -353,3 +353,9 @@ def attach_or_self(rows: DataFrame, components: DataFrame) -> DataFrame:
     classes = components.select(F.col("node").alias("rep")).distinct()
     rest = rows.join(classes, "rep", "left_anti").select("doc_id", "n_shingles", "rep", F.coalesce("rep", "doc_id").alias("component_id"))
     return known.unionAll(rest)
+
+
+def without_copies(docs: DataFrame, p: NearDup = NearDup(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents that are not the smallest of their component. Rows that repeat a key go together."""
+    gone = checkpointed(near_duplicates(docs, p, key, text).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= p.most_broadcast else gone, key, "left_anti").select(docs.columns)
