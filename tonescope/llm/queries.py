@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, sharding, token_orc, toxicity
+from . import minhash, packing, quality, sharding, token_orc, toxicity, warc
 from .common import checkpointed, tokenizer_path
 
 SHARDS = 8
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -50,6 +54,10 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(pages(spark, sf_dir), min_bytes=0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train_toxicity(docs, labels(spark, sf_dir))
@@ -63,7 +71,32 @@ QUERIES = {
     "op5_token_orc": op5_token_orc,
     "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
     "op7_pack_sequences": op7_pack_sequences,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_histogram_shards": """
+        WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents),
+        c AS (
+            SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY doc_id) AS before, sum(size) OVER () AS total
+            FROM d
+        ),
+        s AS (SELECT doc_id, size, CAST(before * 8 // total AS INTEGER) AS shard FROM c)
+        SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot
+        FROM s
+    """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+        d AS (
+            SELECT page_id, payload_bytes,
+                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    1 + ((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest
+            FROM p
+        ),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
