@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, sharding, token_orc, toxicity, warc
+from . import html_extract, minhash, packing, quality, sharding, token_orc, toxicity, warc
 from .common import checkpointed, tokenizer_path
 
 SHARDS = 8
@@ -35,6 +35,11 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokens_by_orc(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op2_html_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extract_main_text(pages(spark, sf_dir), keep=["page_id", "url"])
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = quality.score_quality(docs, quality.train_quality(docs, labels(spark, sf_dir)), keep=["doc_id"])
@@ -67,6 +72,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_html_boosted": op2_html_boosted,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_orc": op5_token_orc,
     "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
