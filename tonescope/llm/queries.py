@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, minhash, packing, quality, sharding, token_orc, toxicity, warc
+from . import embed_dedup, html_extract, minhash, packing, quality, sharding, token_orc, toxicity, warc
 from .common import checkpointed, tokenizer_path
 
 SHARDS = 8
@@ -70,6 +70,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), embed_dedup.FlatGraph(threshold=0.98))
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_html_boosted": op2_html_boosted,
@@ -79,6 +83,7 @@ QUERIES = {
     "op7_pack_sequences": op7_pack_sequences,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
+    "op10_flat_graph": op10_flat_graph,
 }
 
 SQL: dict[str, str] = {
