@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, minhash, packing, quality, sharding, token_orc, toxicity, warc
+from . import embed_dedup, html_extract, minhash, packing, piece_sampling, quality, sharding, token_orc, toxicity, warc
 from .common import checkpointed, tokenizer_path
 
 SHARDS = 8
@@ -40,6 +40,10 @@ def op2_html_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = quality.score_quality(docs, quality.train_quality(docs, labels(spark, sf_dir)), keep=["doc_id"])
@@ -77,6 +81,7 @@ def op10_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_html_boosted": op2_html_boosted,
+    "op3_sampled_pieces": op3_sampled_pieces,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_orc": op5_token_orc,
     "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
@@ -87,16 +92,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op1_histogram_shards": """
-        WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents),
-        c AS (
-            SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY doc_id) AS before, sum(size) OVER () AS total
-            FROM d
-        ),
-        s AS (SELECT doc_id, size, CAST(before * 8 // total AS INTEGER) AS shard FROM c)
-        SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot
-        FROM s
-    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
         d AS (

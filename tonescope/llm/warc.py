@@ -234,7 +234,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Raises if a file's chain breaks off before the file's end, or a payload does not have its digest.
     """
     tune(spark)
-    rows = checkpointed(located(candidates(spark, path)))
+    rows = checkpointed(located(checkpointed(candidates(spark, path))))
     real = checkpointed(reachable(rows))
     ends = rows.groupBy("file").agg(F.max(F.col("stop")).alias("stop"))
     broken = ends.join(real.groupBy("file").agg(F.max("successor").alias("successor")), "file", "left").where("successor is null or successor <> stop")
