@@ -291,6 +291,19 @@ def chunk_encoder(path: str, spaced: bool) -> ChunkEncoder:
     return ChunkEncoder(path, spaced)
 
 
+def fresh_worker() -> None:
+    """Free what tasks of earlier stages left in this Python worker; workers live on from stage to stage."""
+    import ctypes
+    import gc
+
+    chunk_encoder.cache_clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; freed memory may stay with the process
+        pass
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

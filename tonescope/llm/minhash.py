@@ -29,7 +29,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, blocks, checkpointed, connected_components, grouped, mix64, partitions, tune, with_group
+from .common import attach, blocks, checkpointed, connected_components, fresh_worker, grouped, mix64, partitions, tune, with_group
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def estimate(xor_count: np.ndarray, samples: int, bits: int) -> np.ndarray:
 class Shingler:
     """64-bit hashes of texts' distinct shingles, sorted. Words: runs of other than ASCII white space, A-Z lowered."""
 
-    def __init__(self, width: int, most: int = 500_000):
+    def __init__(self, width: int, most: int = 250_000):
         import xxhash
 
         self.digest = xxhash.xxh3_64_intdigest
@@ -131,6 +131,7 @@ def summaries(docs: DataFrame, p: NearDup, key: str, text: str) -> DataFrame:
     a, b = hash_functions(p.samples)
 
     def summarize(batches):
+        fresh_worker()
         shingler = Shingler(p.shingle)
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -158,6 +159,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, p: NearDup, key: str, text: str) ->
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def hashes(batches):
+        fresh_worker()
         shingler = Shingler(p.shingle)
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -222,6 +224,7 @@ def _candidates(bucket: int, first: int, second: int, component, side, words, ba
 
 def plausible(batches, p: NearDup):
     """Rows (bucket, first, second, doc_id) of block tasks that have a candidate partner in another component."""
+    fresh_worker()
     for t in grouped(batches, 3):
         bucket, first, second = (t.column(k)[0].as_py() for k in range(3))
         if t.num_rows < 2:
@@ -238,6 +241,7 @@ def plausible(batches, p: NearDup):
 
 def joining_links(batches, p: NearDup):
     """Links (a, b), confirmed on full sets, that join components of a block task; others are not needed."""
+    fresh_worker()
     for t in grouped(batches, 3):
         bucket, first, second = (t.column(k)[0].as_py() for k in range(3))
         if t.num_rows < 2:

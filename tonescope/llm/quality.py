@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix64, tune
+from .common import blocks, fresh_worker, mix64, tune
 
 BUCKETS = 1 << 18
 FAMILIES = 4
@@ -246,6 +246,7 @@ def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.5, mi
     shared = df.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the table's size
 
     def score(batches):
+        fresh_worker()
         m = shared.value
         for b in batches:
             texts = b.column(at).to_pylist()
