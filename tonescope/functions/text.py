@@ -41,12 +41,21 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(col(c), r"(?U)(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows(c: Column | str, size: int, most: int) -> Column:
-    """Sentences in groups of size, joined by a space; the first ``most`` groups."""
-    s = sentences(c)
-    n = F.size(s)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.slice(F.transform(starts, lambda i: F.array_join(F.slice(s, i + 1, size), " ")), 1, most)
+    """Sentences in groups of size, joined by a space; the first ``most`` groups. The text behind them is not split."""
+    parts = F.split(col(c), r"(?U)(?<=[.!?])\s+", size * most + 1)
+    first = F.filter(F.transform(F.slice(parts, 1, size * most), strip), lambda s: s != "")
+
+    def groups(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(size))
+        return F.when(F.size(s) > 0, F.transform(starts, lambda i: F.array_join(F.slice(s, i + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(first, groups)
 
 
 def matches(c: Column | str, pattern: str) -> Column:
@@ -55,14 +64,19 @@ def matches(c: Column | str, pattern: str) -> Column:
 
 def spans(c: Column | str, pattern: str) -> Column:
     """array<struct<start, end, text>> of a pattern's matches: each starts after all parts and matches before it."""
-    m, s = matches(c, pattern), F.split(col(c), pattern, -1)
+    found = F.struct(matches(c, pattern).alias("m"), F.split(col(c), pattern, -1).alias("s"))
+
+    def total(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
+
+    def place(f: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            start = total(F.slice(f["s"], 1, i + 1)) + total(F.slice(f["m"], 1, i))
+            return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("text"))
 
-    def one(x: Column, i: Column) -> Column:
-        total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
-        start = total(F.slice(s, 1, i + 1)) + total(F.slice(m, 1, i))
-        return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("text"))
+        return F.transform(f["m"], one)
 
-    return F.transform(m, one)
+    return let(found, place)
 
 
 def cache_key(model: str, version: str, headline: Column | str) -> Column:

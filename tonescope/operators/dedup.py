@@ -6,8 +6,11 @@ their text's group back at the end. Pairs are pairs of texts, each named by its
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PARAMS
 from ..functions.text import normalize, shingles
@@ -28,28 +31,57 @@ def jaccard_pairs(distinct: DataFrame, k: int = PARAMS.shingle_size, threshold:
     """(a, b, jaccard) of all pairs of texts with a Jaccard similarity of threshold or more, a < b.
 
     Prefix filter: shingles in a fixed order, the rarest first; two sets of that similarity share one of their first
-    n - ceil(threshold n) + 1. Only those are joined, lengths are compared at once, and what is left is verified on
-    the whole sets, which travel as hashes beside the prefix rows.
+    n - ceil(threshold n) + 1. Only those are joined, as lean rows; lengths and places bound the overlap at once, and
+    each pair that is left meets its whole sets, as hashes, once.
     """
     rows = shingle_rows(distinct, k)
     frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = rows.join(frequency, "shingle").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("sorted"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    sets = ranked.select("rep", "n", F.transform("sorted", lambda x: F.xxhash64(x["shingle"])).alias("set"), F.slice(F.transform("sorted", lambda x: x["shingle"]), F.lit(1), keep).alias("prefix"))
-    front = sets.select("rep", "n", "set", F.explode("prefix").alias("shingle"))
-    left = front.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"), "shingle")
-    right = front.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"), "shingle")
+    _checkpoint_dir(distinct)
+    sets = ranked.select("rep", "n", F.transform("sorted", lambda x: F.xxhash64(x["shingle"])).alias("set"), keep.alias("keep"))
+    sets = sets.select("*", *[_bits("set", w).alias(f"w{w}") for w in range(WORDS)]).checkpoint()
+    front = sets.select("rep", "n", *[f"w{w}" for w in range(WORDS)], F.posexplode(F.slice("set", F.lit(1), F.col("keep"))).alias("at", "shingle"))
+    side = lambda x: front.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "shingle", *[F.col(f"w{w}").alias(f"{x}{w}") for w in range(WORDS)])
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    least = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9  # the overlap that the threshold asks for
+    # what is behind the shared shingle in both sets bounds the overlap, and so do bits that one set has alone
+    behind = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb") >= least
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(f"{y}{w}"))) for w in range(WORDS)), F.lit(0))
+    fits = (F.col("na") - alone("a", "b") >= least) & (F.col("nb") - alone("b", "a") >= least)
+    pairs = side("a").join(side("b"), "shingle").where(near & behind & fits).select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("set").alias(f"s{side}")), side)
     both = F.size(F.array_intersect("sa", "sb"))
-    found = left.join(right, "shingle").where(near).select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
-    return found.where(F.col("jaccard") >= threshold).distinct()
+    scored = pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
+    found = scored.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    return found.where(F.col("jaccard") >= threshold)
+
+
+#: A text's set is also kept as a bitmap of so many 64-bit words.
+WORDS = 4
+
+
+def _bits(hashes: str, word: int):
+    """The bitmap's word: a bit for each hash that falls there."""
+    bit = lambda h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(WORDS - 1) == word, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(bit(h)))
 
 
 def minhash(distinct: DataFrame, k: int = PARAMS.shingle_size, permutations: int = PARAMS.num_perm) -> DataFrame:
-    """(rep, norm, signature): the smallest value of each of so many hash functions over the shingles, all in the JVM."""
-    s = distinct.withColumn("set", F.transform(shingles("norm", k), lambda x: F.xxhash64(x)))
-    seeds = F.array(*[F.lit(i) for i in range(permutations)])
-    return s.select("rep", "norm", F.transform(seeds, lambda i: F.array_min(F.transform("set", lambda h: F.xxhash64(h, i)))).alias("signature"))
+    """(rep, norm, signature): the smallest value of each of so many hash functions over the shingles.
+
+    Shingles are hashed in the JVM; the functions run over Arrow batches, as higher-order functions are interpreted.
+    """
+    draw = np.random.default_rng(1)
+    a, b = (draw.integers(1, 2**63, permutations, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+
+    def least(sets: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return sets.map(lambda s: ((s.astype(np.int64).view(np.uint64)[None, :] * a[:, None] + b[:, None]) >> np.uint64(1)).min(1).astype(np.int64))
+
+    hashed = F.transform(shingles("norm", k), lambda x: F.xxhash64(x))
+    return distinct.select("rep", "norm", F.pandas_udf(least, T.ArrayType(T.LongType()))(hashed).alias("signature"))
 
 
 #: Bands and rows of 128 permutations for a threshold of 0.8 when false positives and negatives weigh alike.
