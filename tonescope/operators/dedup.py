@@ -17,8 +17,12 @@ from ..functions.text import normalize, shingles
 
 
 def texts(df: DataFrame, row_id: str = "doc_id", headline: str = "headline") -> DataFrame:
-    """(rep, norm): the distinct normalized headlines, named by their smallest row id."""
-    return df.where(F.col(headline).isNotNull()).groupBy(normalize(headline).alias("norm")).agg(F.min(row_id).alias("rep"))
+    """(rep, norm): the distinct normalized headlines, named by their smallest row id.
+
+    Rows are small but what follows is heavy, so they keep all partitions, where adaptive execution would join them.
+    """
+    rows = df.where(F.col(headline).isNotNull()).groupBy(normalize(headline).alias("norm")).agg(F.min(row_id).alias("rep"))
+    return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
 
 
 def shingle_rows(distinct: DataFrame, k: int = PARAMS.shingle_size) -> DataFrame:
