@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), key: str = "doc_id"
     alone = second.join(first.select(F.col("node")), "node", "left_anti")
     final = whole.unionAll(alone.select("node", "component"))
 
-    ranked = with_group(base.select("doc_id", "n_shingles", "class"), "class", {"rep": ("min", "doc_id")}, "doc_id")
+    ranked = with_group(base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")), "class", {"rep": ("min", "doc_id")}, "doc_id")
     named = attach_or_self(ranked, final)
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -232,13 +232,15 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 
 
 def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.5, min_words: int = 50, repeat_percent: int = 50, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """df (or its columns ``keep``) with COUNTS, base_failed, quality_score and kept, with prefix before these names.
+    """df (or its columns ``keep``) with COUNTS, base_failed, quality_score and kept, with prefix before these names;
+    columns of df that have the new names are replaced.
 
     base_failed: fewer than min_words words, or more than repeat_percent of them in 3-word windows that come again.
     kept: the base rules hold and the probability of good quality is at least threshold.
     """
     tune(df.sparkSession)
-    names = df.columns if keep is None else keep
+    new = {prefix + c for c in (*COUNTS, "base_failed", "quality_score", "kept")}
+    names = [c for c in (df.columns if keep is None else keep) if c not in new]
     source = df.select(*names) if text in names else df.select(*names, F.col(text).alias("_text"))
     at, k = (names.index(text) if text in names else len(names)), len(names)
     kinds = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("quality_score", T.DoubleType()), ("kept", T.BooleanType())]
@@ -255,8 +257,8 @@ def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.5, mi
                 n = np.array([counts_of(t, c) for t, c in zip(texts[i:j], codes)], np.int64)
                 p = m.probability(m.scores(texts[i:j], codes, words))
                 failed = (n[:, 0] < min_words) | (100 * n[:, 4] > repeat_percent * n[:, 0])
-                new = [*map(pa.array, n.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:k]], *new], names=schema.names)
+                found = [*map(pa.array, n.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:k]], *found], names=schema.names)
 
     return source.mapInArrow(score, schema)
 

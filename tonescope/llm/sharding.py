@@ -69,7 +69,7 @@ def find_splitters(sizes: DataFrame, n_shards: int, per_shard: int = 32, toleran
     for i, r in enumerate(right):
         closer = slack[i] > 0 and r and goal[i] - upto[r - 1] < upto[r] - goal[i]
         take.append(known[r - 1] if closer else known[r])
-    keys = np.array(take, np.int64)
+    keys = np.maximum.accumulate(np.array(take, np.int64))  # a loose cut may not fall behind an exact one before it
     rows, size = (np.array([below[int(k)][j] for k in keys], np.int64) for j in (1, 0))
     return Splitters(keys, rows, size, of_shard, rounds)
 
@@ -104,6 +104,7 @@ def histogram_shards(df: DataFrame, n_shards: int, key: str = "doc_id", size: Co
         raise ValueError(f"no law {law}")
     spark = df.sparkSession
     tune(spark)
+    df = df.drop("shard", "slot")
     weight = F.lit(1).cast("long") if law == "rows" else size if size is not None else F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
     at = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST + 1))
     cuts = find_splitters(checkpointed(df.select(at.alias("key"), weight.alias("size"))), n_shards, per_shard, tolerance)
