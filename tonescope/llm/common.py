@@ -286,9 +286,9 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def chunk_encoder(path: str, spaced: bool) -> ChunkEncoder:
+def chunk_encoder(path: str, spaced: bool, most: int) -> ChunkEncoder:
     """One for each Python worker."""
-    return ChunkEncoder(path, spaced)
+    return ChunkEncoder(path, spaced, most)
 
 
 def fresh_worker() -> None:
@@ -304,6 +304,20 @@ def fresh_worker() -> None:
         pass
 
 
+def trimmed(task):
+    """task, with the worker's freed memory given back before and after it."""
+
+    @functools.wraps(task)
+    def run(batches):
+        fresh_worker()
+        try:
+            yield from task(batches)
+        finally:
+            fresh_worker()
+
+    return run
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

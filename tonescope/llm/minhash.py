@@ -29,7 +29,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, blocks, checkpointed, connected_components, fresh_worker, grouped, mix64, partitions, tune, with_group
+from .common import attach, blocks, checkpointed, connected_components, grouped, mix64, partitions, trimmed, tune, with_group
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,6 @@ def summaries(docs: DataFrame, p: NearDup, key: str, text: str) -> DataFrame:
     a, b = hash_functions(p.samples)
 
     def summarize(batches):
-        fresh_worker()
         shingler = Shingler(p.shingle)
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -150,7 +149,7 @@ def summaries(docs: DataFrame, p: NearDup, key: str, text: str) -> DataFrame:
                 bands.append(bands_of(sig, p))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(kind, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "sketch", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(summarize, "doc_id long, n_shingles long, class binary, sketch binary, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(summarize), "doc_id long, n_shingles long, class binary, sketch binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, p: NearDup, key: str, text: str) -> DataFrame:
@@ -159,14 +158,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, p: NearDup, key: str, text: str) ->
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def hashes(batches):
-        fresh_worker()
         shingler = Shingler(p.shingle)
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in blocks(texts, 2_000_000):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([shingler.hashes(t).tobytes() for t in texts[i:j]], pa.binary())], ["doc_id", "set"])
 
-    return rows.mapInArrow(hashes, "doc_id long, set binary")
+    return rows.mapInArrow(trimmed(hashes), "doc_id long, set binary")
 
 
 # --- links ----------------------------------------------------------------------------------
@@ -186,7 +184,7 @@ def star_links(pairs: DataFrame, p: NearDup) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(trimmed(confirm), "a long, b long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -224,7 +222,6 @@ def _candidates(bucket: int, first: int, second: int, component, side, words, ba
 
 def plausible(batches, p: NearDup):
     """Rows (bucket, first, second, doc_id) of block tasks that have a candidate partner in another component."""
-    fresh_worker()
     for t in grouped(batches, 3):
         bucket, first, second = (t.column(k)[0].as_py() for k in range(3))
         if t.num_rows < 2:
@@ -241,7 +238,6 @@ def plausible(batches, p: NearDup):
 
 def joining_links(batches, p: NearDup):
     """Links (a, b), confirmed on full sets, that join components of a block task; others are not needed."""
-    fresh_worker()
     for t in grouped(batches, 3):
         bucket, first, second = (t.column(k)[0].as_py() for k in range(3))
         if t.num_rows < 2:
@@ -312,9 +308,9 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), key: str = "doc_id"
         rows = tasks.join(reps.select("doc_id", "sketch", "bands", "n_shingles"), "doc_id").select("bucket", "first", "second", "side", "doc_id", "component", "n_shingles", "sketch", "bands")
         n = partitions(docs.sparkSession)
         keys = ["bucket", "first", "second"]
-        found = checkpointed(rows.repartition(n, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(lambda b: plausible(b, p), "bucket long, first int, second int, doc_id long"))
+        found = checkpointed(rows.repartition(n, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(trimmed(lambda b: plausible(b, p)), "bucket long, first int, second int, doc_id long"))
         again = found.join(rows, [*keys, "doc_id"]).join(sets, "doc_id").select(*keys, "side", "doc_id", "component", "sketch", "bands", "set")
-        more = checkpointed(again.repartition(n, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(lambda b: joining_links(b, p), "a long, b long").distinct())
+        more = checkpointed(again.repartition(n, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(trimmed(lambda b: joining_links(b, p)), "a long, b long").distinct())
     finally:
         sets.unpersist()
 
@@ -340,7 +336,7 @@ def close(pairs: DataFrame, p: NearDup) -> DataFrame:
             mask = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return pairs.mapInArrow(near, "a long, b long")
+    return pairs.mapInArrow(trimmed(near), "a long, b long")
 
 
 def block_tasks(mixed: DataFrame, p: NearDup) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh_worker, mix64, tune
+from .common import blocks, mix64, trimmed, tune
 
 BUCKETS = 1 << 18
 FAMILIES = 4
@@ -248,7 +248,6 @@ def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.5, mi
     shared = df.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the table's size
 
     def score(batches):
-        fresh_worker()
         m = shared.value
         for b in batches:
             texts = b.column(at).to_pylist()
@@ -260,5 +259,5 @@ def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.5, mi
                 found = [*map(pa.array, n.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:k]], *found], names=schema.names)
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(trimmed(score), schema)
 

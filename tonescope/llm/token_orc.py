@@ -31,7 +31,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def encode(batches):
-        encoder, place = chunk_encoder(tokenizer, spaced), 0
+        encoder, place = chunk_encoder(tokenizer, spaced, 1_000_000), 0
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in blocks(texts):
