@@ -17,10 +17,14 @@ def grouped_stratified_split(df: DataFrame, test_size: float = PARAMS.test_size,
     hash go to test, then to validation, then to training. Shares round half to even; of two groups or fewer none leaves
     training."""
     labels = df.groupBy(group).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
-    order = Window.partitionBy("_label").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(group))), F.col(group))
-    sizes = labels.groupBy("_label").agg(F.count("*").alias("_n"))
+    hashed = labels.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), F.col(group)))).withColumn("_range", F.substring("_hash", 1, 3))
+    # a place among all groups of a label is the sizes of earlier ranges of hashes, and a place in its own range
+    ranges = hashed.groupBy("_label", "_range").agg(F.count("*").alias("_k"))
+    before, whole = Window.partitionBy("_label").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_label")
+    ranges = ranges.select("_label", "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_label", "_range").orderBy("_hash", group))
     taken = lambda share: F.when(F.col("_n") > 2, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share), 0).cast("int"))).otherwise(0)
-    placed = labels.join(F.broadcast(sizes), "_label").withColumn("_at", F.row_number().over(order))
+    placed = hashed.withColumn("_place", inside).join(F.broadcast(ranges), ["_label", "_range"]).withColumn("_at", F.col("_before") + F.col("_place"))  # 4,096 ranges of each label
     chosen = placed.select(group, F.when(F.col("_at") <= taken(test_size), "test").when(F.col("_at") <= taken(test_size) + taken(val_size), "val").otherwise("train").alias("split"))
     return df.join(chosen, group, "left")
 

@@ -1,7 +1,6 @@
 """Agreement, ranking and calibration measures as aggregates.
 
-Ranks and curves are computed on counts by distinct score, so what a global window sees is the number of distinct
-scores, not of rows.
+Ranks and curves are computed on counts by distinct score, and by ranges of scores, so no window sees all rows.
 """
 
 from __future__ import annotations
@@ -67,18 +66,34 @@ def calibration_error(df: DataFrame, keys: list[str], y: str, p: str) -> DataFra
     return bins.groupBy(*keys).agg((F.sum(F.col("_n") * F.abs(F.col("_conf") - F.col("_acc"))) / F.sum("_n")).alias("ece"))
 
 
+def below(df: DataFrame, keys: list[str], value: str, sums: dict[str, str]) -> DataFrame:
+    """df (one row for each key and value) with new columns: sums of columns over the key's smaller values.
+
+    Works by ranges of the value, 4,096 to a unit: totals of ranges first, then sums within each, so that no task
+    sorts all values of a key.
+    """
+    ranged = df.withColumn("_range", F.floor(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col(value) * 4096))))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = totals.select(*keys, "_range", *[zero(F.sum(f"_t_{n}").over(earlier)).alias(f"_b_{n}") for n in sums])
+    own = ranged.withColumns({f"_i_{n}": zero(F.sum(c).over(inside)) for n, c in sums.items()}).join(totals, [*keys, "_range"])
+    return own.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_range", *[f"_{x}_{n}" for n in sums for x in "bi"])
+
+
 def ranking(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """(keys..., roc_auc, average_precision, n, n_pos). Ties count half in the area; precision is summed at each step of recall."""
     tied = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("_pos"), F.count("*").cast("double").alias("_all"))
-    up = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    neg = F.col("_all") - F.col("_pos")
-    curve = tied.withColumn("_below", F.coalesce(F.sum(neg).over(up), F.lit(0.0))).withColumn("_tp", F.sum("_pos").over(down)).withColumn("_seen", F.sum("_all").over(down))
-    pos, n = F.sum("_pos"), F.sum("_all")
-    auc = F.sum(F.col("_pos") * (F.col("_below") + neg / 2)) / (pos * (n - pos))
-    ap = F.sum(F.col("_pos") * F.col("_tp") / F.col("_seen")) / pos
-    both = (pos > 0) & (pos < n)
-    return curve.groupBy(*keys).agg(F.when(both, auc).alias("roc_auc"), F.when(pos > 0, ap).alias("average_precision"), n.cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
+    curve = below(tied, keys, "_p", {"_pos_below": "_pos", "_all_below": "_all"})
+    whole = tied.groupBy(*keys).agg(F.sum("_pos").alias("_pos_n"), F.sum("_all").alias("_n"))
+    curve = curve.join(F.broadcast(whole), keys) if keys else curve.crossJoin(F.broadcast(whole))  # a row for each key
+    neg, neg_below = F.col("_all") - F.col("_pos"), F.col("_all_below") - F.col("_pos_below")
+    step = F.col("_pos") * (F.col("_pos_n") - F.col("_pos_below")) / (F.col("_n") - F.col("_all_below"))
+    sums = curve.groupBy(*keys).agg(F.sum(F.col("_pos") * (neg_below + neg / 2)).alias("_area"), F.sum(step).alias("_steps"), F.max("_pos_n").alias("_pos_n"), F.max("_n").alias("_n"))
+    pos, n = F.col("_pos_n"), F.col("_n")
+    auc, ap = F.when((pos > 0) & (pos < n), F.col("_area") / (pos * (n - pos))), F.when(pos > 0, F.col("_steps") / pos)
+    return sums.select(*keys, auc.alias("roc_auc"), ap.alias("average_precision"), n.cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
 
 
 def thresholded(df: DataFrame, keys: list[str], y: str, p: str, threshold: float = 0.5) -> DataFrame:
@@ -103,9 +118,8 @@ def spearman(df: DataFrame, keys: list[str], t: str, p: str, least: int = 8) ->
     finite = df.where(F.col(t).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(t).cast("double")) & ~F.isnan(F.col(p).cast("double")))
     cells = finite.groupBy(*keys, F.col(t).cast("double").alias("_t"), F.col(p).cast("double").alias("_p")).agg(F.count("*").cast("double").alias("_c"))
     for x in "tp":
-        by = cells.groupBy(*keys, f"_{x}").agg(F.sum("_c").alias("_k"))
-        before = F.sum("_k").over(Window.partitionBy(*keys).orderBy(f"_{x}")) - F.col("_k")
-        ranks = by.select(*keys, f"_{x}", (before + (F.col("_k") + 1) / 2).alias(f"_r{x}"))
+        by = below(cells.groupBy(*keys, f"_{x}").agg(F.sum("_c").alias("_k")), keys, f"_{x}", {"_less": "_k"})
+        ranks = by.select(*keys, f"_{x}", (F.col("_less") + (F.col("_k") + 1) / 2).alias(f"_r{x}"))
         cells = cells.join(ranks, [*keys, f"_{x}"])
     a, b, c = F.col("_rt"), F.col("_rp"), F.col("_c")
     n = F.sum(c)
