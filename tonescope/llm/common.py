@@ -204,6 +204,13 @@ class ChunkEncoder:
             self.tokenizer.model._resize_cache(1)
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.rare = re.compile(f"[{WHITE.replace(' ', '').replace('-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]").search
+        # Latin letters in small form are what the normalizers of word BPE would make of them; without these it is faster
+        self.bare = None if spaced else Tokenizer.from_file(path)
+        if self.bare is not None:
+            self.bare.normalizer = None
+            tells = "ÀÉß ŐƵ Straße Iİ"
+            same = self.bare.encode(tells.lower(), add_special_tokens=False).ids == self.tokenizer.encode(tells, add_special_tokens=False).ids
+            self.bare = self.bare if same else None
         (self.zero,) = self.tokenizer.encode("0", add_special_tokens=False).ids
         self._clear()
 
@@ -232,16 +239,22 @@ class ChunkEncoder:
         """Words of letters, with a dot or comma behind, are encoded many to a text, with a digit between them: it always
         is a token by itself there."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        many = encode if self.bare is None else getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
         new, self.codes.new = self.codes.new, []
         size: list[np.ndarray] = []
         found: list[np.ndarray] = []
         for at in range(0, len(new), 2_000):
             words = [k.decode() if k.__class__ is bytes else k for k in new[at : at + 2_000]]
-            ok = np.fromiter((w.isalpha() or (w[-1] in ".," and w[:-1].isalpha()) for w in words), bool, len(words))
-            literal = [w if k.__class__ is bytes else " " + w for w, k in zip(words, new[at : at + 2_000])]
-            joined = list(itertools.compress(literal, ok))
+            if self.bare is not None:
+                ok = np.fromiter(((w.isalpha() or (w[-1] in ".," and w[:-1].isalpha())) and max(w) < "\u0250" for w in words), bool, len(words))
+                literal = words
+                joined = [w.lower() for w in itertools.compress(literal, ok)]
+            else:
+                ok = np.fromiter((w.isalpha() or (w[-1] in ".," and w[:-1].isalpha()) for w in words), bool, len(words))
+                literal = [w if k.__class__ is bytes else " " + w for w, k in zip(words, new[at : at + 2_000])]
+                joined = list(itertools.compress(literal, ok))
             each = [x.ids for x in encode(list(itertools.compress(literal, ~ok)), add_special_tokens=False)]
-            ids = np.array(encode(["0".join(joined)], add_special_tokens=False)[0].ids if joined else [], np.int32)
+            ids = np.array(many(["0".join(joined)], add_special_tokens=False)[0].ids if joined else [], np.int32)
             cut = ids == self.zero
             stops = np.flatnonzero(cut)
             if len(stops) != max(0, len(joined) - 1):
