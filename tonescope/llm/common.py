@@ -188,8 +188,8 @@ class ChunkEncoder:
     The pre-tokenizers in use never join characters across the start of a run of white space, and look ahead only
     within that run and the character after it. So a text's ids are those of its chunks (white space with the word
     behind it) in turn. spaced: white space has ids of its own (byte-level BPE); else it is dropped (word BPE), and
-    chunks are the words between ASCII white space, whose A-Z are small letters to such tokenizers. The table is emptied when it holds ``most`` chunks, which only
-    costs time. Keys are words after one space (str) or literal chunks (bytes).
+    chunks are the words between ASCII white space, whose A-Z are small letters to such tokenizers. When the table holds ``most`` chunks, those that came
+    once go, which only costs time. Keys are words after one space (str) or literal chunks (bytes).
     """
 
     def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
@@ -219,6 +219,22 @@ class ChunkEncoder:
         self.ids = np.zeros(1 << 20, np.int32)
         self.ends = np.zeros(1 << 18, np.int64)  # ends[i]: where the ids of code i begin, and those of i - 1 end
         self.n = 0
+        self.seen = np.zeros(0, np.int64)  # how often each chunk came
+
+    def _prune(self) -> None:
+        """Keep the chunks that came more than once, half of the table at most; the rest would hardly come again."""
+        seen = self.seen[: self.n]
+        keep = np.flatnonzero(seen >= 2)
+        if len(keep) > self.most // 2:
+            keep = np.sort(np.argsort(-seen, kind="stable")[: self.most // 2])
+        names, kept = list(self.codes), _Codes()
+        kept.update(zip((names[i] for i in keep.tolist()), range(len(keep))))
+        begin, size = self.ends[keep], self.ends[keep + 1] - self.ends[keep]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        self.ids[:total] = self.ids[np.repeat(begin - stop + size, size) + np.arange(total)]
+        self.ends[: len(keep) + 1] = np.concatenate([[0], stop])
+        self.codes, self.n, self.seen = kept, len(keep), seen[keep] // 2
 
     def _keys(self, text: str | None) -> list[str | bytes]:
         if not text:
@@ -280,7 +296,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the number of each text's ids; null is an empty text."""
         if len(self.codes) > self.most:
-            self._clear()
+            self._prune()
         look, keys, counts = self.codes.__getitem__, [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             some = self._keys(t)
@@ -289,6 +305,9 @@ class ChunkEncoder:
         codes = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         if self.codes.new:
             self._learn()
+        came = np.bincount(codes, minlength=self.n)
+        came[: len(self.seen)] += self.seen
+        self.seen = came
         begin = self.ends[codes]
         size = self.ends[codes + 1] - begin
         stop = np.cumsum(size)
