@@ -30,7 +30,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, key: s
     tune(df.sparkSession)
 
     def cut(batches):
-        encoder = chunk_encoder(tokenizer, spaced, 500_000)
+        encoder = chunk_encoder(tokenizer, spaced, 800_000)
         for b in batches:
             texts, keys = b.column(1).to_pylist(), b.column(0)
             for i, j in blocks(texts):
