@@ -2,7 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tonescope.functions import rules
 from tonescope.operators import models, stats
 
 
@@ -86,3 +88,35 @@ def test_models_learn(spark):
     assert len({r["lr_prob"] for r in models.with_logistic(model, swap).collect()}) == 1
     calibrated = models.Calibrator(scored, "bait", "lr_prob")
     assert calibrated.method == "sigmoid" and all(0 <= r["calibrated"] <= 1 for r in calibrated.transform(scored.select("lr_prob"), "lr_prob").collect())
+
+
+def test_queries_train_the_whole_models(spark, monkeypatch):
+    """The reference's settings: 2000 iterations, 400 trees at rate 0.05, of depth 6 for its 63 leaves."""
+    from tonescope.plans import queries
+
+    seen = {}
+
+    class Enough(Exception):
+        pass
+
+    def recorder(name):
+        def make(**settings):
+            seen[name] = settings
+            raise Enough
+
+        return make
+
+    rows = frame(spark, [(1, "Guess what", 1, "train")], "doc_id int, headline string, bait int, split string")
+    monkeypatch.setattr(queries, "model_rows", lambda *_: rows)
+    with monkeypatch.context() as m:
+        m.setattr(models, "LogisticRegression", recorder("logistic"))
+        for name in ("tfidf_logreg", "gbt_stack"):
+            with pytest.raises(Enough):
+                queries.QUERIES[name](spark, "")
+            assert seen.pop("logistic")["maxIter"] == 2000
+    monkeypatch.setattr(models, "GBTClassifier", recorder("stack"))
+    monkeypatch.setattr(models, "fit_logistic", lambda *_, **__: None)
+    monkeypatch.setattr(models, "with_logistic", lambda _, df: df.select("*", *[F.lit(0.0).alias(c) for c in ("lr_prob", *rules.FEATURES)]))
+    with pytest.raises(Enough):
+        queries.gbt_stack(spark, "")
+    assert {k: seen["stack"][k] for k in ("maxIter", "stepSize", "maxDepth")} == {"maxIter": 400, "stepSize": 0.05, "maxDepth": 6}

@@ -22,6 +22,10 @@ class Params:
     char_ngram_min: int = 3
     char_ngram_max: int = 5
     max_features: int = 200_000
+    lr_iterations: int = 2000
+    gbt_trees: int = 400
+    gbt_rate: float = 0.05
+    gbt_depth: int = 6  # 64 leaves at most
     body_window_sents: int = 4
     max_windows: int = 6
     n_samples: int = 3

@@ -54,7 +54,7 @@ def tfidf_stages(max_features: int = PARAMS.max_features) -> list:
     ]
 
 
-def fit_logistic(train: DataFrame, label: str, headline: str = "headline", c: float = 1.0, iterations: int = 200) -> PipelineModel:
+def fit_logistic(train: DataFrame, label: str, headline: str = "headline", c: float = 1.0, iterations: int = PARAMS.lr_iterations) -> PipelineModel:
     """TF-IDF of words, word pairs and characters into a logistic regression with an L2 penalty of 1 / (c n)."""
     rows = prepared(train, headline).withColumn("label", F.col(label).cast("double"))
     lr = LogisticRegression(featuresCol="_tfidf", labelCol="label", regParam=1.0 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=iterations, probabilityCol="_lr", predictionCol="_lr_hat", rawPredictionCol="_lr_raw")
@@ -65,10 +65,10 @@ def with_logistic(model: PipelineModel, df: DataFrame, headline: str = "headline
     return model.transform(prepared(df, headline)).withColumn("lr_prob", vector_to_array("_lr")[1])
 
 
-def fit_stack(scored: DataFrame, label: str, trees: int = 40, seed: int = PARAMS.seed) -> PipelineModel:
+def fit_stack(scored: DataFrame, label: str, trees: int = PARAMS.gbt_trees, rate: float = PARAMS.gbt_rate, depth: int = PARAMS.gbt_depth, seed: int = PARAMS.seed) -> PipelineModel:
     """Boosted trees over the rules' features and the regression's probability."""
     assemble = VectorAssembler(inputCols=[*rules.FEATURES, "lr_prob"], outputCol="_stack")
-    gbt = GBTClassifier(featuresCol="_stack", labelCol="label", maxIter=trees, stepSize=0.1, maxDepth=4, seed=seed)
+    gbt = GBTClassifier(featuresCol="_stack", labelCol="label", maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed)
     return Pipeline(stages=[assemble, gbt]).fit(scored.withColumn("label", F.col(label).cast("double")))
 
 

@@ -292,15 +292,15 @@ def model_rows(spark, d) -> DataFrame:
 
 def tfidf_logreg(spark, d):
     rows = model_rows(spark, d)
-    model = models.fit_logistic(rows.where("split = 'train'"), "bait", iterations=50)
+    model = models.fit_logistic(rows.where("split = 'train'"), "bait")
     return stats.report(models.with_logistic(model, rows.where("split <> 'train'")), ["split"], "bait", "lr_prob")
 
 
 def gbt_stack(spark, d):
     rows = model_rows(spark, d)
-    logistic = models.fit_logistic(rows.where("split = 'train'"), "bait", iterations=50)
+    logistic = models.fit_logistic(rows.where("split = 'train'"), "bait")
     scored_rows = models.with_logistic(logistic, rows).select("doc_id", "split", "bait", "lr_prob", *rules.FEATURES)
-    stack = models.fit_stack(scored_rows.where("split = 'train'"), "bait", trees=10)
+    stack = models.fit_stack(scored_rows.where("split = 'train'"), "bait")
     return stats.report(models.with_stack(stack, scored_rows.where("split <> 'train'")), ["split"], "bait", "gbt_prob")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import PARAMS
 from ..functions import rules
 from ..operators import contracts, dedup, labels, models, split, stats
 from ..sources import io
@@ -54,7 +55,7 @@ def split_sets(spark: SparkSession, folder: str) -> DataFrame:
     return split.balance(spark.read.parquet(f"{folder}/processed"))
 
 
-def train(spark: SparkSession, folder: str, trees: int = 40, iterations: int = 200) -> DataFrame:
+def train(spark: SparkSession, folder: str, trees: int = PARAMS.gbt_trees, iterations: int = PARAMS.lr_iterations) -> DataFrame:
     """report: measures of rules, regression, boosted trees and calibrated trees by set; models are saved beside it."""
     rows = spark.read.parquet(f"{folder}/processed")
     one = lambda name: rows.where(F.col("split") == name)
