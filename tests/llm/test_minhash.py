@@ -73,6 +73,17 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
 
 
+@pytest.mark.parametrize("p", [NearDup(), NearDup(percent=80, shingle=5, rows=4, bands=32)])
+def test_sketches_lose_less_than_bands(p):
+    """Simulated links at the threshold: samples differ by chance, and each throws two bits into the sketches' XOR."""
+    r = np.random.default_rng(1)
+    bits = np.zeros(1_000_000)
+    thrown = 2 * r.binomial(p.samples, 1 - p.percent / 100, len(bits))
+    for k in range(thrown.max()):
+        bits += np.where(thrown > k, np.where(r.random(len(bits)) * p.bits < bits, -1, 1), 0)
+    assert (bits > p.most_apart()).sum() <= 1 and bits.max() > p.most_apart() / 2
+
+
 def test_edges(spark, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
     odd = spark.createDataFrame([(None, "a b c d"), (None, None), (3, ""), (4, " "), (5, "a b"), (6, "A  B"), (7, "a b c d"), (7, "a b c d"), (8, "b a")], "doc_id long, text string")

@@ -11,8 +11,8 @@ A document is its set of distinct word shingles; two are linked if 100 * |inters
    components, sketches of members of different components are compared in blocks inside tasks; what passes is
    confirmed on full sets, and only links that join components leave the task.
 
-A link of similarity s is missed only if no band agrees, (1 - s^rows)^bands, or its sketch is far off; with the
-defaults that is below 1e-6 at 0.85. Hot buckets are salted for the star and cut in blocks after it.
+A link of similarity s is missed only if no band agrees, (1 - s^rows)^bands, or its sketch is far off, which is held to
+a tenth of that at the threshold; with the defaults both are 4.5e-7 at 0.85 (samples taken as independent). Hot buckets are salted for the star and cut in blocks after it.
 
 Defined results: documents without words (or null) have n_shingles 0 and are linked with nothing; with fewer words than
 a shingle the whole sequence is the one shingle; rows that repeat a doc_id are one document; a row without doc_id is
@@ -22,6 +22,8 @@ linked with nothing and kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ class NearDup:
     rows: int = 5
     bands: int = 25
     bits: int = 512
-    #: Sketches that estimate less than the threshold by this are not compared further (over 4.5 deviations).
-    slack: float = 0.15
+    #: The sketches lose at most this share of what the bands lose, of links at the threshold.
+    share: float = 0.1
     block: int = 2048
     #: At most so many ids are broadcast when sets are read; beyond it the join is a shuffle.
     most_broadcast: int = 1_000_000
@@ -51,8 +53,26 @@ class NearDup:
 
     def most_apart(self) -> float:
         """The XOR population count up to which a pair is confirmed on full sets."""
-        d = 2 * self.samples * (1 - (self.percent / 100 - self.slack))
-        return self.bits / 2 * (1 - (1 - 2 / self.bits) ** d)
+        return _most_apart(self)
+
+    def band_loss(self) -> float:
+        """The chance that a link at the threshold has no band in common."""
+        return (1 - (self.percent / 100) ** self.rows) ** self.bands
+
+
+@lru_cache
+def _most_apart(p: NearDup) -> int:
+    """The least count that a link at the threshold exceeds with a chance of at most p.share of the bands' loss."""
+    s, n = p.percent / 100, p.samples
+    j = np.arange(p.bits + 1)
+    odd, chance = (j == 0).astype(np.float64), np.zeros(p.bits + 1)
+    for differ in range(n + 1):
+        chance += comb(n, differ) * (1 - s) ** differ * s ** (n - differ) * odd
+        for _ in range(2):  # a sample that differs throws two bits
+            up, down = odd * (1 - j / p.bits), odd * j / p.bits
+            odd = np.append(0.0, up[:-1]) + np.append(down[1:], 0.0)
+    beyond = np.append(np.cumsum(chance[::-1])[::-1][1:], 0.0)  # summed from the small end, as tails are small
+    return int(np.argmax(beyond <= p.share * p.band_loss()))
 
 
 def estimate(xor_count: np.ndarray, samples: int, bits: int) -> np.ndarray:
