@@ -120,3 +120,23 @@ def test_queries_train_the_whole_models(spark, monkeypatch):
     with pytest.raises(Enough):
         queries.gbt_stack(spark, "")
     assert {k: seen["stack"][k] for k in ("maxIter", "stepSize", "maxDepth")} == {"maxIter": 400, "stepSize": 0.05, "maxDepth": 6}
+
+
+def test_idf_table_is_whole(spark):
+    table = {r["term"]: (r["df"], r["idf"]) for r in models.idf_table(frame(spark, [("Café news today",), ("cafe news",), ("x",)], "headline string")).collect()}
+    assert {t: n for t, (n, _) in table.items()} == {"cafe": 2, "news": 2, "today": 1, "cafe news": 2, "news today": 1}
+    assert table["today"][1] == pytest.approx(math.log(4 / 2) + 1)
+
+
+def test_tfidf_weighs_what_all_rows_hold(spark):
+    rows = models.prepared(frame(spark, [("news Café",), ("news cafe bar",)], "headline string"))
+    stages = models.fit_tfidf(rows)
+    assert set(stages[0].vocabulary) == {"news", "cafe", "bar", "news cafe", "cafe bar"}
+    out = rows
+    for stage in stages:
+        out = stage.transform(out)
+    common, rare = 1.0, math.log(3 / 2) + 1
+    for r in out.collect():
+        got = dict(zip(stages[0].vocabulary, r["_grams_unit"].toArray()))
+        length = math.sqrt(3 * common**2 + (2 * rare**2 if got["bar"] else 0))
+        assert got["news"] == pytest.approx(common / length) and got["bar"] in (0, pytest.approx(rare / length))

@@ -24,6 +24,17 @@ def strip_marks(text: Column) -> Column:
     return F.pandas_udf(plain, T.StringType())(text)
 
 
+def strip_accents(text: Column) -> Column:
+    """Compatibility decomposition without combining characters, as vectorizers of scikit-learn do it."""
+
+    def plain(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    return F.pandas_udf(plain, T.StringType())(text)
+
+
 def basic_tokens(text: Column) -> Column:
     """Lower-case words without accents; each sign of punctuation or symbol is a token."""
     return F.regexp_extract_all(F.lower(strip_marks(text)), F.lit(r"[\p{P}\p{S}]|[^\s\p{Z}\p{P}\p{S}]+"), F.lit(0))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +14,20 @@ from pyspark.sql import functions as F
 from ..config import PARAMS
 from ..functions import rules
 from ..functions.text import words
+from ..functions.tokenizer import strip_accents
 
 
-def idf_table(df: DataFrame, headline: str = "headline", least: int = 2) -> DataFrame:
-    """(term, df, idf) of masked lower-case word 1-grams; idf = ln((1 + n) / (1 + df)) + 1."""
-    terms = df.select(F.array_distinct(F.regexp_extract_all(F.lower(rules.mask_entities(headline)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("terms"))
+def _word_grams(text, most: int = PARAMS.word_ngram_max):
+    """Words of two characters or more of lower-case text, then their runs of 2 to most words."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    runs = lambda n: F.when(F.size(found) >= n, F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i: F.array_join(F.slice(found, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.concat(found, *[runs(n) for n in range(2, most + 1)])
+
+
+def idf_table(df: DataFrame, headline: str = "headline", least: int = 1, most: int = PARAMS.word_ngram_max, accents: bool = False) -> DataFrame:
+    """(term, df, idf) of masked lower-case runs of 1 to most words; idf = ln((1 + n) / (1 + df)) + 1."""
+    masked = rules.mask_entities(headline)
+    terms = df.select((F.lower(masked) if accents else strip_accents(F.lower(masked))).alias("text")).select(F.array_distinct(_word_grams("text", most)).alias("terms"))
     counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     total = df.agg(F.count("*").alias("n"))
     return counts.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
@@ -37,28 +47,25 @@ def prepared(df: DataFrame, headline: str = "headline") -> DataFrame:
     """df with the masked text, the character n-grams of its words, and the rules' features (of the text as it is)."""
     masked = rules.with_features(df, headline).withColumn("_masked", F.lower(rules.mask_entities(headline)))
     grams = [F.flatten(F.transform(words("_masked"), _char_grams(n))) for n in range(PARAMS.char_ngram_min, PARAMS.char_ngram_max + 1)]
-    return masked.withColumn("_chars", F.concat(*grams))
+    plain = masked.withColumn("_chars", F.concat(*grams)).withColumn("_plain", strip_accents("_masked"))
+    return plain.withColumn("_grams", _word_grams("_plain"))
 
 
-def tfidf_stages(max_features: int = PARAMS.max_features) -> list:
-    half = max_features // 2
-    return [
-        RegexTokenizer(inputCol="_masked", outputCol="_words", pattern=r"(?U)\w{2,}", gaps=False, minTokenLength=2),
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        CountVectorizer(inputCol="_words", outputCol="_tf1", vocabSize=half),
-        CountVectorizer(inputCol="_pairs", outputCol="_tf2", vocabSize=half),
-        CountVectorizer(inputCol="_chars", outputCol="_tf3", vocabSize=max_features),
-        *[IDF(inputCol=f"_tf{k}", outputCol=f"_idf{k}") for k in (1, 2, 3)],
-        VectorAssembler(inputCols=["_idf1", "_idf2", "_idf3"], outputCol="_raw"),
-        Normalizer(inputCol="_raw", outputCol="_tfidf"),
-    ]
+def fit_tfidf(rows: DataFrame, max_features: int = PARAMS.max_features) -> list:
+    """Fitted stages: words and word pairs in one vocabulary, characters in another, each weighed by idf + 1 and of length 1."""
+    out = []
+    for k in ("_grams", "_chars"):
+        counts = CountVectorizer(inputCol=k, outputCol=f"{k}_tf", vocabSize=max_features).fit(rows)
+        idf = IDF(inputCol=f"{k}_tf", outputCol=f"{k}_idf").fit(counts.transform(rows)).idf
+        out += [counts, ElementwiseProduct(inputCol=f"{k}_tf", outputCol=f"{k}_raw", scalingVec=Vectors.dense(idf.toArray() + 1)), Normalizer(inputCol=f"{k}_raw", outputCol=f"{k}_unit")]
+    return [*out, VectorAssembler(inputCols=["_grams_unit", "_chars_unit"], outputCol="_tfidf")]
 
 
 def fit_logistic(train: DataFrame, label: str, headline: str = "headline", c: float = 1.0, iterations: int = PARAMS.lr_iterations) -> PipelineModel:
     """TF-IDF of words, word pairs and characters into a logistic regression with an L2 penalty of 1 / (c n)."""
     rows = prepared(train, headline).withColumn("label", F.col(label).cast("double"))
     lr = LogisticRegression(featuresCol="_tfidf", labelCol="label", regParam=1.0 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=iterations, probabilityCol="_lr", predictionCol="_lr_hat", rawPredictionCol="_lr_raw")
-    return Pipeline(stages=[*tfidf_stages(), lr]).fit(rows)
+    return Pipeline(stages=[*fit_tfidf(rows), lr]).fit(rows)
 
 
 def with_logistic(model: PipelineModel, df: DataFrame, headline: str = "headline") -> DataFrame:

@@ -280,7 +280,8 @@ def ensemble_blend(spark, d):
 
 
 def tfidf_idf_table(spark, d):
-    return models.idf_table(probe(spark, d)).select("term", "df", six(F.col("idf"), "idf"))
+    """As its SQL has it: single words of two headlines or more, with accents."""
+    return models.idf_table(probe(spark, d), least=2, most=1, accents=True).select("term", "df", six(F.col("idf"), "idf"))
 
 
 def model_rows(spark, d) -> DataFrame:
