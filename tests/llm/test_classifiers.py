@@ -102,3 +102,9 @@ def test_label_model_finds_accuracies_and_correlation():
     assert m.table[:4, 2, 1] == pytest.approx([0.9, 0.7, 0.6, 0.05], abs=0.08)
     assert m.correlation[2, 4] > 0.8 > abs(m.correlation[0, 3]) and m.weight[4] < 0.65 < m.weight[0]
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.95
+
+
+def test_shouting_is_of_the_whole_text():
+    shouts = lambda text: toxicity.votes_of(text, set(), {})[toxicity.LEXICONS + 3]
+    assert shouts("quiet words " * 200 + "LOUD WORDS " * 2000) == 1
+    assert shouts("LOUD WORDS " * 200 + "quiet words " * 2000) == 0

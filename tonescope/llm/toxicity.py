@@ -75,8 +75,8 @@ def votes_of(text: str | None, present: set[str], terms: dict[str, int]) -> list
     out[LEXICONS] = 1 if distinct >= 2 else -1 if not distinct else 0
     out[LEXICONS + 1] = 0 if words else -1
     out[LEXICONS + 2] = 0 if len(hits) > len(words) else -1
-    letters = sum(map(str.isalpha, text[:2000])) if text else 0
-    out[LEXICONS + 3] = 1 if letters >= 20 and sum(map(str.isupper, text[:2000])) > 0.6 * letters else 0
+    letters = sum(map(str.isalpha, text)) if text else 0
+    out[LEXICONS + 3] = 1 if letters >= 20 and sum(map(str.isupper, text)) > 0.6 * letters else 0
     out[LEXICONS + 4] = 1 if text and re.search(r"[!?]{3}", text) else 0
     return out
 
