@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import itertools
 import math
 import os
@@ -49,12 +50,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session may be over; the folder belongs to the cluster's own cleaning then
             return
 
@@ -65,11 +70,46 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one run in the shared folder: written once and read from there, so they survive lost executors.
+
+    As they are files, their readers get as many partitions as their bytes need, and both sides of a join of two of
+    them can be split where a key is skewed. What is superseded is dropped at once, the rest when the program ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, "table")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for t, p in self._paths if any(t is x for x in tables)]:
+            _remove(self.spark, path)
+            _written.remove((self.spark, path))
+        self._paths = [(t, p) for t, p in self._paths if not any(t is x for x in tables)]
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what ended steps hold: Spark deletes shuffle files and broadcasts when the driver's JVM has collected
+    their plans, which it may not do for long by itself; and the driver's Python gives freed memory back."""
+    give_back()
+    spark._jvm.System.gc()
+
+
+#: Rows and bytes of an Arrow batch at most (a single longer row is a batch by itself), as texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows, as texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 2000:
-        spark.conf.set(key, "2000")
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -135,32 +175,32 @@ def grouped(batches, n_keys: int = 1):
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each end of an edge reaches. edges: (a, b), longs.
 
-    Alternates the large-star and small-star steps of Kiveris et al. until the edges form stars around the
-    smallest nodes; hubs are salted, and each round is checkpointed in the shared folder.
+    Alternates the large-star and small-star steps of Kiveris et al. until the edges form stars around the smallest
+    nodes. A step's tables are written to the shared folder, and the last step's are dropped. The smallest neighbours
+    are found with map-side sums, so hubs don't gather; joins are of stored tables, which Spark splits at hubs.
     """
-    now = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(now)
+    keep = Scratch(edges.sparkSession)
+    now = keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
-        if mark[0] == 0:
-            break
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_group(both, "u", {"m": ("min", "v")}, "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        small = with_group(large.where("u <> v").distinct(), "u", {"m": ("min", "v")}, "v").select(
-            F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v")
-        now = checkpointed(small.where("u <> v").distinct())
-        before, mark = mark, _mark(now)
-        if before == mark:
+        if _are_stars(now):
             break
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")))
+        large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        keep.drop(now, least)
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = keep(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        keep.drop(large, least)
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Count and order-free hash of the edges: equal when a round changed nothing."""
-    n, h = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    return int(n), int(h)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 # --- tokenizers -------------------------------------------------------------------------
@@ -323,12 +363,10 @@ def chunk_encoder(path: str, spaced: bool, most: int) -> ChunkEncoder:
     return ChunkEncoder(path, spaced, most)
 
 
-def fresh_worker() -> None:
-    """Free what tasks of earlier stages left in this Python worker; workers live on from stage to stage."""
+def give_back() -> None:
+    """Return freed memory to the system."""
     import ctypes
-    import gc
 
-    chunk_encoder.cache_clear()
     gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -336,6 +374,12 @@ def fresh_worker() -> None:
         pass
 
 
+def fresh_worker() -> None:
+    """Free what tasks of earlier stages left in this Python worker; workers live on from stage to stage."""
+    chunk_encoder.cache_clear()
+    give_back()
+
+
 def trimmed(task):
     """task, with the worker's freed memory given back before and after it."""
 
