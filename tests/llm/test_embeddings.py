@@ -79,5 +79,5 @@ def test_graph_is_reached_and_pruned():
     table = np.full((500, max(map(len, edges))), 500)
     for i, e in enumerate(edges):
         table[i, : len(e)] = e
-    found = [len(E.range_search(x[i], x, table, [E.medoid(x)], g)) for i in range(100, 300)]
+    found = [len(E.range_search(i, x, table, [E.medoid(x)], g)) for i in range(100, 300)]
     assert np.mean(found) >= 0.98 * 200

@@ -9,14 +9,18 @@ threshold. Vectors that are equal form a class, and one of each goes on.
    drops those that a chosen edge already leads to. Vertices that the block's medoid does not reach get an edge from
    their nearest reached one. The adjacency lists of a vector from all its shards are united.
 3. Search: in each block, and each pair of a shard's blocks, a greedy search from the medoids looks for every vector;
-   from what it finds in range it expands over the graph as long as new vectors are near the range.
+   from what it finds in range it expands over the graph as long as new vectors are near the range. A search that does
+   not come upon the vector itself has failed, and expands from there.
 4. Each hit's cosine decides. A pair is counted in one task only: the lowest shard that both share. Tasks give counts
    and links that join components, never all pairs.
-5. Audit: the links of a bounded sample of vectors are counted by brute force against all rows; below the wanted recall
-   the search is run again, wider.
+5. Audit: each task compares some of its vectors with all of its block, and searches again, wider, if it lost links, at
+   last by comparing all. Over all tasks, the links of two bounded samples (any vectors, and vectors with links) are
+   counted by brute force against all rows. Below the wanted recall vectors go to more shards, and if that does not
+   help, all vectors of a label are compared in blocks, so the result never has a recall below ``recall`` in the audit.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without label or id, are
-linked with nothing (n_links 0); repeated rows of one id count as one vector; an empty table gives an empty result.
+linked with nothing (n_links 0); rows that repeat an id are one vector, that with the smallest label and content if
+they differ; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, checkpointed, connected_components, grouped, mix64, partitions, tune, with_group
+from .common import Scratch, connected_components, grouped, mix64, partitions, release, trimmed, tune
 
 log = logging.getLogger(__name__)
 
@@ -42,7 +46,8 @@ class FlatGraph:
     #: Vectors of a block of a shard at most, about; and of a shard on average.
     block: int = 2048
     shards_each: int = 2
-    sample: int = 8192
+    #: Vectors that centres are made of, 8 for each centre at least. Shards grow with the data beyond 8 million vectors of a label.
+    sample: int = 32_768
     most_centres: int = 4096
     near: int = 40
     far: int = 12
@@ -51,9 +56,14 @@ class FlatGraph:
     beam: int = 16
     #: Vectors within this of the threshold are expanded, too.
     slack: float = 0.03
+    #: Vectors of each of the two samples that are compared with all rows, and of those that each task compares.
     audit: int = 256
-    recall: float = 0.98
+    task_audit: int = 32
+    #: The least share of links, in a task and over all, with which the search is not run again.
+    recall: float = 0.95
     tries: int = 3
+    #: Compare all vectors of a block; what a failed audit leads to at last.
+    exact: bool = False
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -89,18 +99,20 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def centres(rows: DataFrame, g: FlatGraph) -> dict[int, np.ndarray]:
-    """Cluster centres by vector length, from a sample of g.sample vectors; as many as blocks in the largest label."""
+    """Cluster centres by vector length, from a sample of g.sample vectors; as many as the largest label's shards need."""
+    if g.exact:
+        return {}
     sizes = rows.groupBy("label", "size").count().groupBy("size").agg(F.max("count")).collect()
     some = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(g.sample).select("size", "unit").toArrow()
     out = {}
     for size, n in sizes:
         x = matrix(some.filter(pa.compute.equal(some.column("size"), size)).column("unit"))
-        k = min(g.most_centres, len(x) // 8, -(-n // g.block))
-        if k < 2:
+        k = min(g.most_centres, len(x) // 8, -(-n * g.shards_each // g.block))
+        if k <= g.shards_each:  # every shard would hold nearly all
             continue
         c = x[:k].copy()
         for _ in range(10):
-            own = (x @ c.T).argmax(1)
+            own = np.concatenate([(x[at : at + 2048] @ c.T).argmax(1) for at in range(0, len(x), 2048)])
             sums = np.zeros_like(c)
             np.add.at(sums, own, x)
             norm = np.linalg.norm(sums, axis=1)
@@ -129,15 +141,16 @@ def sharded(rows: DataFrame, g: FlatGraph) -> DataFrame:
                 clusters[at] = np.sort(np.concatenate([best, best[:, :1].repeat(g.shards_each - k, 1)], 1), 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(clusters.tolist(), pa.list_(pa.int32()))], [*b.schema.names, "clusters"])
 
-    return rows.mapInArrow(assign, "vec_id long, label long, size int, copies long, unit binary, clusters array<int>")
+    return rows.mapInArrow(trimmed(assign), "vec_id long, label long, size int, copies long, unit binary, clusters array<int>")
 
 
-def block_members(rows: DataFrame, g: FlatGraph) -> DataFrame:
+def block_members(rows: DataFrame, keep: Scratch, g: FlatGraph) -> DataFrame:
     """A row for each vector and shard: (label, size, cluster, side, n, ...), side being its block, n the shard's rows."""
-    each = rows.withColumn("cluster", F.explode(F.array_distinct("clusters"))).withColumn("shard", F.struct("label", "size", "cluster")).withColumn("one", F.lit(1))
-    each = with_group(each, "shard", {"n": ("sum", "one")}, "vec_id")
+    each = rows.withColumn("cluster", F.explode(F.array_distinct("clusters")))
+    shard = ["label", "size", "cluster"]
+    counts = keep(each.groupBy(*shard).agg(F.count("*").alias("n")))
     side = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.ceil(F.col("n") / g.block)).cast("int")
-    return each.withColumn("side", side).drop("shard", "one")
+    return each.join(F.broadcast(counts) if counts.count() <= 100_000 else counts, shard).withColumn("side", side)
 
 
 # --- the graph --------------------------------------------------------------------------------
@@ -214,8 +227,9 @@ def connect(x: np.ndarray, edges: list[np.ndarray], start: int, g: FlatGraph) ->
         wave = [int(lost[i])]
 
 
-def range_search(q: np.ndarray, x: np.ndarray, table: np.ndarray, starts: list[int], g: FlatGraph) -> np.ndarray:
-    """Rows whose cosine with q is at least the threshold, as far as the graph leads there."""
+def range_search(own: int, x: np.ndarray, table: np.ndarray, starts: list[int], g: FlatGraph) -> np.ndarray:
+    """Rows whose cosine with row own is at least the threshold, as far as the graph leads there."""
+    q = x[own]
     seen = np.zeros(len(x) + 1, bool)
     seen[-1] = True  # what pads the table
     seen[starts] = True
@@ -242,8 +256,8 @@ def range_search(q: np.ndarray, x: np.ndarray, table: np.ndarray, starts: list[i
         best = sorted(best)[-g.beam :]
         inside.append(new[sims >= g.threshold])
         wave = new[sims >= wide]
-    while len(wave):  # in range: expand as long as there are new rows near it
-        new = np.unique(table[wave])
+    while len(wave) or not seen[own]:  # in range: expand as long as there are new rows near it
+        new = np.unique(table[wave]) if len(wave) else np.array([own])
         new = new[~seen[new]]
         seen[new] = True
         sims = x[new] @ q
@@ -265,6 +279,33 @@ def build_tasks(batches, g: FlatGraph):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[e] for e in edges], pa.list_(pa.int64()))], ["vec_id", "edges"])
 
 
+def block_links(x: np.ndarray, side: np.ndarray, table: np.ndarray, starts: list[int], which: np.ndarray, across: bool, g: FlatGraph) -> np.ndarray:
+    """Pairs (smaller row * n + larger row) that the search of the rows which finds; across: only of rows of two sides."""
+    n, pairs = len(x), [np.zeros(0, np.int64)]
+    for at in range(0, len(which), 256) if g.exact else ():
+        i, found = np.nonzero(x[which[at : at + 256]] @ x.T >= g.threshold)
+        i = which[at + i]
+        ok = (found != i) & ((not across) | (side[found] != side[i]))
+        pairs.append(np.minimum(found, i)[ok] * n + np.maximum(found, i)[ok])
+    for i in which.tolist() if not g.exact else ():
+        found = range_search(i, x, table, starts, g)
+        found = found[(found != i) & ((not across) | (side[found] != side[i]))]
+        if len(found):
+            pairs.append(np.minimum(found, i) * n + np.maximum(found, i))
+    return np.unique(np.concatenate(pairs))
+
+
+def audited(x: np.ndarray, side: np.ndarray, ids: np.ndarray, table: np.ndarray, starts: list[int], across: bool, g: FlatGraph) -> FlatGraph:
+    """g, or the parameters with which the search loses few links of some of the rows, drawn by a hash of their ids."""
+    which = np.sort(np.argsort(mix64(ids.astype(np.uint64) + np.uint64(77)), kind="stable")[: g.task_audit])
+    true = block_links(x, side, table, starts, which, across, replace(g, exact=True))
+    for _ in range(g.tries):
+        if np.isin(true, block_links(x, side, table, starts, which, across, g)).sum() >= g.recall * len(true):
+            return g
+        g = replace(g, beam=4 * g.beam, slack=2 * g.slack)
+    return replace(g, exact=True)
+
+
 def search_tasks(batches, g: FlatGraph):
     """(vec_id, links, other): the links that a task counts for a vector; and where other is not null, a joining link."""
     for t in grouped(batches, len(SEARCH)):
@@ -288,19 +329,10 @@ def search_tasks(batches, g: FlatGraph):
         for s in np.unique(side).tolist():
             mine = np.flatnonzero(side == s)
             starts.append(int(mine[medoid(x[mine])]))
-        pairs = []
-        for i in range(n):
-            found = range_search(x[i], x, table, starts, g)
-            found = found[found != i]
-            if first != second:
-                found = found[side[found] != side[i]]
-            if len(found):
-                pairs.append(np.minimum(found, i) * n + np.maximum(found, i))
-        if not pairs:
-            continue
-        a, b = np.divmod(np.unique(np.concatenate(pairs)), n)
+        fit = g if g.exact else audited(x, side, ids, table, starts, first != second, g)
+        a, b = np.divmod(block_links(x, side, table, starts, np.arange(n), first != second, fit), n)
         # the pair's task is that of the lowest shard which both share
-        common = np.where((clusters[a][:, :, None] == clusters[b][:, None, :]).any(2), clusters[a], np.iinfo(np.int32).max).min(1)
+        common = np.where((clusters[a][:, :, None] == clusters[b][:, None, :]).any(2), clusters[a], np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
         a, b = a[common == cluster], b[common == cluster]
         if not len(a):
             continue
@@ -327,17 +359,23 @@ def search_tasks(batches, g: FlatGraph):
 def search_links(members: DataFrame, g: FlatGraph) -> DataFrame:
     """What search_tasks gives for all shards: the graph is built, united by vector, and searched."""
     n = partitions(members.sparkSession)
-    built = members.select(*BUILD, "vec_id", "unit").repartition(n, *BUILD).sortWithinPartitions(*BUILD, "vec_id").mapInArrow(lambda b: build_tasks(b, g), "vec_id long, edges array<long>")
-    united = built.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
     blocks = F.ceil(F.col("n") / g.block).cast("int")
-    tasks = members.join(united, "vec_id").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    if g.exact:
+        united = members.withColumn("edges", F.array().cast("array<bigint>"))
+    else:
+        built = members.select(*BUILD, "vec_id", "unit").repartition(n, *BUILD).sortWithinPartitions(*BUILD, "vec_id").mapInArrow(trimmed(lambda b: build_tasks(b, g)), "vec_id long, edges array<long>")
+        united = members.join(built.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "vec_id")
+    tasks = united.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tasks = tasks.withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other")).select(*SEARCH, "side", "vec_id", "copies", "unit", "clusters", "edges")
-    return checkpointed(tasks.repartition(n, *SEARCH).sortWithinPartitions(*SEARCH, "vec_id").mapInArrow(lambda b: search_tasks(b, g), "vec_id long, links long, other long"))
+    return tasks.repartition(n, *SEARCH).sortWithinPartitions(*SEARCH, "vec_id").mapInArrow(trimmed(lambda b: search_tasks(b, g)), "vec_id long, links long, other long")
 
 
 def audit_recall(rows: DataFrame, counts: DataFrame, g: FlatGraph) -> float:
-    """Links found over links that exist, for at most g.audit vectors against all rows."""
-    some = rows.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(g.audit).select("vec_id", "label", "size", "unit").toArrow()
+    """Links found over links that exist, of g.audit vectors, and of as many with links, against all rows."""
+    drawn = [F.xxhash64("vec_id", F.lit(6)), F.col("vec_id")]
+    columns = ["vec_id", "label", "size", "unit"]
+    linked = rows.join(counts.orderBy(*drawn).limit(g.audit).select("vec_id"), "vec_id", "left_semi")
+    some = rows.orderBy(*drawn).limit(g.audit).select(*columns).unionAll(linked.select(*columns)).dropDuplicates(["vec_id"]).toArrow()
     ids, label, size = (some.column(k).to_numpy() for k in ("vec_id", "label", "size"))
     queries = {int(s): (np.flatnonzero(size == s), matrix(some.filter(pa.compute.equal(some.column("size"), int(s))).column("unit"))) for s in np.unique(size)}
 
@@ -355,7 +393,7 @@ def audit_recall(rows: DataFrame, counts: DataFrame, g: FlatGraph) -> float:
 
     true = rows.select("vec_id", "label", "size", "copies", "unit").mapInArrow(brute, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
     got = true.join(counts, "vec_id", "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0)))), F.sum("true")).first()
-    return 1.0 if not got[1] else float(got[0] / got[1])
+    return 1.0 if not got[1] else float(got[0] / got[1])  # no link at all, as none was found and no sampled vector has one
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -364,23 +402,26 @@ def audit_recall(rows: DataFrame, counts: DataFrame, g: FlatGraph) -> float:
 def duplicate_vectors(df: DataFrame, g: FlatGraph = FlatGraph(), key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of df."""
     tune(df.sparkSession)
-    valid = unit_vectors(df, key, vector, label).dropDuplicates(["vec_id"]).withColumn("class", F.struct("label", F.sha2("unit", 256).alias("digest"))).withColumn("one", F.lit(1).cast("long"))
-    classed = checkpointed(with_group(valid, "class", {"rep": ("min", "vec_id"), "copies": ("sum", "one")}, "vec_id"))
-    rows = checkpointed(sharded(classed.where("vec_id = rep").select("vec_id", "label", "size", "copies", "unit"), g))
+    keep = Scratch(df.sparkSession)
+    each = unit_vectors(df, key, vector, label).groupBy("vec_id").agg(F.min(F.struct("label", "size", "unit")).alias("v")).select("vec_id", "v.*")
+    valid = keep(each.withColumn("digest", F.sha2("unit", 256)))
+    whole = valid.groupBy("label", "digest").agg(F.min(F.struct("vec_id", "size", "unit")).alias("v"), F.count("*").alias("copies"))
+    classes = keep(whole.select("digest", "v.vec_id", "label", "v.size", "copies", "v.unit"))
     for turn in range(g.tries):
-        found = search_links(block_members(rows, g), g)
-        counts = found.where("other is null").groupBy("vec_id").agg(F.sum("links").alias("links"))
+        rows = keep(sharded(classes.drop("digest"), g))
+        found = keep(search_links(block_members(rows, keep, g), g))
+        counts = found.where("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("links"))
         recall = audit_recall(rows, counts, g)
-        log.info("recall %.4f of the links of %d vectors", recall, g.audit)
-        if recall >= g.recall:
+        log.info("recall %.4f of the links of the audited vectors", recall)
+        if g.exact or recall >= g.recall:
             break
-        g = replace(g, beam=4 * g.beam, slack=2 * g.slack, near=2 * g.near, degree=2 * g.degree, shards_each=g.shards_each + 1)
-        if turn + 1 < g.tries:
-            rows = checkpointed(sharded(rows.drop("clusters"), g))
-    parts = connected_components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    of_class = rows.select("vec_id", "copies").join(counts, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    of_class = of_class.select(F.col("vec_id").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    linked = attach(classed.select("vec_id", "rep"), of_class, "rep", "vec_id").select("vec_id", "n_links", "component_id")
+        g = replace(g, shards_each=g.shards_each + 1, exact=turn + 2 >= g.tries)
+    parts = keep(connected_components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))))
+    of_class = classes.select("vec_id", "label", "digest", "copies").join(counts, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    of_class = keep(of_class.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    linked = keep(valid.select("vec_id", "label", "digest").join(of_class, ["label", "digest"]).select("vec_id", "n_links", "component_id"))
+    keep.drop(valid, classes, rows, found, parts, of_class)
+    release(df.sparkSession)
     every = df.select(F.col(key).cast("long").alias("vec_id")).join(linked, "vec_id", "left")
     every = every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
