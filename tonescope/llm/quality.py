@@ -3,11 +3,14 @@
 The classifier is a logistic regression over hashed word 1- and 2-grams and character 3- and 4-grams (code points, case
 kept). Each of the four families gives the mean weight of its n-grams in the whole text, so texts of any length
 compare. It is trained on a bounded sample of labelled rows (``sample`` of each class, those with the smallest
-hashes of doc_id), and its scores become probabilities by a logistic curve that is fitted on the fifth of the
-sample that training did not see, weighted to the classes' real shares. Scoring runs in Arrow batches.
-
-Defined results: a null text has no words and fails the base rules; without labelled rows of both classes every text
-gets the probability 1, so only the base rules reject.
+hashes of doc_id, and of these as many as ``sample_bytes`` hold), and its scores become probabilities by a logistic
+curve that is fitted on the fifth of the sample that training did not see, weighted to the classes' real shares.
+Scoring runs in Arrow batches.
+
+Defined results: a null text has no words and fails the base rules; unless the sample's training part and its fifth
+both hold rows of both classes, every text gets the probability 1, so only the base rules reject. Ids with labels of
+both classes are not learnt from; repeated labels of an id count once; of rows that repeat a labelled id, that with
+the smallest text is learnt from.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix64, trimmed, tune
+from .common import Scratch, blocks, mix64, release, trimmed, tune
 
 BUCKETS = 1 << 18
 FAMILIES = 4
@@ -117,20 +120,27 @@ KEEPS_ALL = QualityModel(np.zeros((FAMILIES, BUCKETS), np.float32), 0.0, 60.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int, key: str = "doc_id", where=None) -> tuple[DataFrame, dict[int, int]]:
-    """(key, text, label) of at most ``sample`` rows of each class, by hash of the key, and the classes' sizes."""
+    """(key, text, label) of at most ``sample`` rows of each class, by hash of the key, and the classes' sizes.
+
+    Ids that have labels of both classes are in neither; an id is one row, with its smallest text.
+    """
     known = labels.select(F.col(key), F.col(column).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isin(0, 1))
     known = known if where is None else known.where(where)
+    known = known.groupBy(key).agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most").drop("_most")
     sizes = {int(c): int(n) for c, n in known.groupBy("label").count().collect()}
     order = [F.xxhash64(F.lit(7), F.col(key)), F.col(key)]
-    chosen = known.where("label = 0").orderBy(*order).limit(sample).unionAll(known.where("label = 1").orderBy(*order).limit(sample)).dropDuplicates([key])
-    return docs.select(key, "text").join(F.broadcast(chosen), key), sizes  # at most 2 x sample rows of two numbers
+    chosen = known.where("label = 0").orderBy(*order).limit(sample).unionAll(known.where("label = 1").orderBy(*order).limit(sample))
+    rows = docs.select(key, "text").join(F.broadcast(chosen), key)  # at most 2 x sample rows of two numbers
+    return rows.groupBy(key, "label").agg(F.min("text").alias("text")).select(key, "text", "label"), sizes
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 800, key: str = "doc_id", column: str = "quality") -> QualityModel:
-    """sample: labelled rows of each class that training reads at most; the bound of what comes to the driver."""
-    tune(docs.sparkSession)
+def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 800, key: str = "doc_id", column: str = "quality", sample_bytes: int = 64 << 20) -> QualityModel:
+    """sample, sample_bytes: labelled rows of each class, and bytes of all their n-grams, that training reads at most;
+    the bound of what comes to the driver. Rows beyond sample_bytes, in the order of the hash, are not learnt from."""
+    spark = docs.sparkSession
+    tune(spark)
     rows, sizes = labelled_sample(docs, labels, column, sample, key)
-    if min(sizes.get(0, 0), sizes.get(1, 0)) < 5:
+    if min(sizes.get(0, 0), sizes.get(1, 0)) < 1:
         return KEEPS_ALL
 
     def featurize(batches):
@@ -150,60 +160,109 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 800, key: st
                     out.append((np.concatenate(at).astype("<i4").tobytes(), np.concatenate(share).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["k", "label", "at", "share"])
 
-    got = rows.select(F.col(key).cast("long"), "text", "label").mapInArrow(featurize, "k long, label int, at binary, share binary").toArrow().sort_by("k")
-    if not got.num_rows:
-        return KEEPS_ALL
-    y = got.column("label").to_numpy().astype(np.float64)
-    at = [np.frombuffer(b, "<i4") for b in got.column("at").to_pylist()]
-    share = [np.frombuffer(b, "<f4") for b in got.column("share").to_pylist()]
-    return fit_quality(y, at, share, sizes)
+    keep = Scratch(spark)
+    found = keep(rows.select(F.col(key).cast("long"), "text", "label").mapInArrow(trimmed(featurize), "k long, label int, at binary, share binary"))
+    upto = F.sum(F.length("at") + F.length("share")).over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(7), "k"), "k"))  # 2 x sample rows
+    bounded = found.withColumn("upto", upto).where(F.col("upto") <= sample_bytes // 2).drop("upto")
+    model = fit_quality(bounded.toArrow().sort_by("k"), sizes)
+    keep.drop(found)
+    release(spark)
+    return model
+
+
+def flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column's rows in turn, and how many each row has."""
+    one = column.combine_chunks()
+    one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
+    ends = np.frombuffer(one.buffers()[1], "<i4")[one.offset : one.offset + len(one) + 1].astype(np.int64)
+    return np.frombuffer(one.buffers()[2], kind)[ends[0] // 4 : ends[-1] // 4], np.diff(ends) // 4
 
 
-def fit_quality(y: np.ndarray, at: list[np.ndarray], share: list[np.ndarray], sizes: dict[int, int]) -> QualityModel:
+def spans(size: np.ndarray, most: int = 1 << 20):
+    """(first row, row after the last, first number, number after the last) of runs of rows with about so many numbers."""
+    stop = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        begin = int(stop[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(stop, begin + most, side="right")))
+        yield i, j, begin, int(stop[j - 1])
+        i = j
+
+
+def fit_quality(rows: pa.Table, sizes: dict[int, int]) -> QualityModel:
+    """The model of rows (label, at, share): buckets of n-grams and their shares in the text, as 4-byte numbers.
+
+    Memory: the rows' bytes twice, and work space for a run of rows.
+    """
+    y = rows.column("label").to_numpy().astype(np.float64)
     held = np.arange(len(y)) % 5 == 0
     if min((y[~held] == 0).sum(), (y[~held] == 1).sum(), (y[held] == 0).sum(), (y[held] == 1).sum()) < 1:
         return KEEPS_ALL
-    train = np.flatnonzero(~held)
+    at, size = flat(rows.column("at"), "<i4")
+    share, _ = flat(rows.column("share"), "<f4")
+    n = int((~held).sum())
+    of = lambda i, j: np.repeat(np.arange(i, j), size[i:j])
     # n-grams of one training text only say nothing about other texts
-    seen = np.bincount(np.concatenate([at[i] for i in train]), minlength=FAMILIES * BUCKETS) >= 2
-    number = np.cumsum(seen) - 1
-    row, col, val = [], [], []
-    for i in range(len(y)):
-        m = seen[at[i]]
-        row.append(np.full(int(m.sum()), i, np.int32))
-        col.append(number[at[i][m]].astype(np.int32))
-        val.append(share[i][m])
-    row, col, val = map(np.concatenate, (row, col, val))
+    seen = np.zeros(FAMILIES * BUCKETS, np.int64)
+    for i, j, p, q in spans(size):
+        seen += np.bincount(at[p:q][~held[of(i, j)]], minlength=len(seen))
+    seen = seen >= 2
     d = int(seen.sum())
+    number = (np.cumsum(seen) - 1).astype(np.int32)
+    col = np.empty(sum(int(seen[at[p:q]].sum()) for _, _, p, q in spans(size)), np.int32)
+    val, count, k = np.empty(len(col), np.float32), np.zeros(len(y), np.int64), 0
+    total, square = np.zeros(d), np.zeros(d)
+    for i, j, p, q in spans(size):
+        m = seen[at[p:q]]
+        row, c, v = of(i, j)[m], number[at[p:q][m]], share[p:q][m]
+        col[k : k + len(c)], val[k : k + len(c)] = c, v
+        k += len(c)
+        count += np.bincount(row, minlength=len(y))
+        t = ~held[row]
+        total += np.bincount(c[t], weights=v[t], minlength=d)
+        square += np.bincount(c[t], weights=v[t].astype(np.float64) ** 2, minlength=d)
     # each column to unit deviation, so that rare and frequent n-grams count alike before the penalty
-    t = ~held[row]
-    n = len(train)
-    mean = np.bincount(col[t], weights=val[t], minlength=d) / n
-    dev = np.sqrt(np.maximum(np.bincount(col[t], weights=val[t].astype(np.float64) ** 2, minlength=d) / n - mean**2, 0)) + 1e-4
-    val = (val / dev[col]).astype(np.float64)
-    weight = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum()))
+    dev = np.sqrt(np.maximum(square / n - (total / n) ** 2, 0)) + 1e-4
+    for p in range(0, len(col), 1 << 20):
+        val[p : p + (1 << 20)] /= dev[col[p : p + (1 << 20)]]
+    weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum()))
     weight[held] = 0
-    w = _logistic(row, col, val, y, weight, d, penalty=3e-6)
-    z = np.bincount(row, weights=val * w[0][col], minlength=len(y)) + w[1]
+    w, b = _logistic(count, col, val, y, weight, d, penalty=3e-6)
+    z = products(count, col, val, w) + b
     real = np.array([sizes[0], sizes[1]], np.float64)
     h = np.flatnonzero(held)
     share_h = np.array([(y[h] == c).sum() for c in (0, 1)])
     slope, shift = platt(z[h], y[h], np.where(y[h] == 1, real[1] / share_h[1], real[0] / share_h[0]))
     full = np.zeros(FAMILIES * BUCKETS)
-    full[seen] = w[0] / dev
-    return QualityModel(full.reshape(FAMILIES, BUCKETS).astype(np.float32), slope, slope * w[1] + shift)
+    full[seen] = w / dev
+    return QualityModel(full.reshape(FAMILIES, BUCKETS).astype(np.float32), slope, slope * b + shift)
+
+
+def products(size: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Each row's sum of val x w[col]; rows have ``size`` entries in turn."""
+    out = np.zeros(len(size))
+    for i, j, p, q in spans(size):
+        some = i + np.flatnonzero(size[i:j])
+        if len(some):
+            first = np.cumsum(size[i:j]) - size[i:j]
+            out[some] = np.add.reduceat(val[p:q] * w[col[p:q]], first[some - i])
+    return out
 
 
-def _logistic(row, col, val, y, weight, d, penalty, steps=80):
+def _logistic(size, col, val, y, weight, d, penalty, steps=80):
     """Weighted logistic regression by accelerated gradient steps; no randomness."""
     w, b, v, vb, at = np.zeros(d), 0.0, np.zeros(d), 0.0, 1.0
-    norm = np.bincount(row, weights=val**2, minlength=len(y))
+    norm = np.zeros(len(y))
+    for i, j, p, q in spans(size):
+        norm += np.bincount(np.repeat(np.arange(i, j), size[i:j]), weights=val[p:q].astype(np.float64) ** 2, minlength=len(y))
     rate = 1 / (0.25 * float((weight * (norm + 1)).sum()) + penalty)
     for _ in range(steps):
-        z = np.bincount(row, weights=val * v[col], minlength=len(y)) + vb
+        z = products(size, col, val, v) + vb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        new = v - rate * (np.bincount(col, weights=val * g[row], minlength=d) + penalty * v)
-        newb = vb - rate * g.sum()
+        slope = penalty * v
+        for i, j, p, q in spans(size):
+            slope += np.bincount(col[p:q], weights=val[p:q] * np.repeat(g[i:j], size[i:j]), minlength=d)
+        new, newb = v - rate * slope, vb - rate * g.sum()
         nxt = (1 + np.sqrt(1 + 4 * at * at)) / 2
         v, vb = new + (at - 1) / nxt * (new - w), newb + (at - 1) / nxt * (newb - b)
         w, b, at = new, newb, nxt

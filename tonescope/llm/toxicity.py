@@ -12,7 +12,8 @@
 Labels are read only for step 1's counts and the share of toxic rows; step 3 and 4 see votes and posteriors.
 
 Defined results: a null text scores as an empty one, which is what the classifier gives without features; without
-labelled rows of both classes, or without terms, every score is 0.
+labelled rows of both classes, or without terms, every score is 0. Ids with labels of both classes are not learnt from;
+repeated labels of an id count once; of rows that repeat a labelled id, that with the smallest text is learnt from.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix64, trimmed, tune
+from .common import Scratch, blocks, mix64, release, trimmed, tune
 from .quality import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+").findall
@@ -139,37 +140,76 @@ class ToxicityModel:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1500, key: str = "doc_id", column: str = "toxic") -> ToxicityModel:
-    """sample: labelled rows of each class that come to the driver at most, as their sets of different words.
+    """sample: labelled rows of each class that training reads at most. Rows of the held-out fold are never read.
 
-    Rows of the held-out fold are never read.
+    Texts stay with the tasks. The driver gets the hashes of their words and features, then the names of the features
+    that several texts have, then the words that hold a term.
     """
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
     rows, sizes = labelled_sample(docs, labels, column, sample, key, where=~held_out(key))
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 1:
         return ToxicityModel()
+    keep = Scratch(spark)
+    rows = keep(rows.select(F.col(key).cast("long").alias("k"), "text", "label"))
 
-    def words(batches):
+    def hashes(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            signs = [votes_of(t, set(), {})[LEXICONS + 3 :] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(sorted(set(text_words(t)))) for t in texts]), pa.array([s[0] for s in signs], pa.int32()), pa.array([s[1] for s in signs], pa.int32())], ["k", "label", "words", "loud", "signs"])
+            out = []
+            for t in b.column(1).to_pylist():
+                words = set(text_words(t))
+                out.append([np.unique(np.fromiter(map(hash_of, x), "<u4", len(x))).tobytes() for x in (words, {f for w in words for f in features_of(w)})] + votes_of(t, set(), {})[LEXICONS + 3 :])
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]], ["k", "label", "words", "features", "loud", "signs"])
+
+    got = rows.mapInArrow(trimmed(hashes), "k long, label int, words binary, features binary, loud int, signs int").toArrow().sort_by("k")
+    labels_, words = got.column("label").to_numpy(), [np.frombuffer(x, "<u4") for x in got.column("words").to_pylist()]
+    # copies with one label would make chance words look telling; a copy with the other label tells the most
+    unlike = np.sort(np.concatenate([(at := np.flatnonzero(labels_ == c))[different([words[i] for i in at])] for c in (0, 1)]))
+    got = got.take(pa.array(unlike))
+    if not len(got) or not 0 < got.column("label").to_numpy().sum() < len(got):
+        return ToxicityModel()
+    value, times = np.unique(np.frombuffer(b"".join(got.column("features").to_pylist()), "<u4"), return_counts=True)
+    often = spark.sparkContext.broadcast(value[times >= LEAST_TEXTS])  # features of the sample's texts
 
-    got = rows.select(F.col(key).cast("long"), "text", "label").mapInArrow(words, "k long, label int, words string, loud int, signs int").toArrow().sort_by("k")
-    share = sizes[1] / (sizes[0] + sizes[1])
-    return fit_toxicity([w.split(" ") if w else [] for w in got.column("words").to_pylist()], got.column("label").to_numpy(), np.stack([got.column("loud").to_numpy(), got.column("signs").to_numpy()], 1), share)
+    def names(batches):
+        known = set(often.value.tolist())
+        for b in batches:
+            found = [" ".join(sorted({f for w in set(text_words(t)) for f in features_of(w) if hash_of(f) in known})) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["k", "features"])
 
+    named = rows.mapInArrow(trimmed(names), "k long, features string").toArrow().sort_by("k").take(pa.array(unlike))
+    one: dict[str, str] = {}
+    of = [[one.setdefault(f, f) for f in x.split(" ")] if x else [] for x in named.column("features").to_pylist()]
 
-def fit_toxicity(words: list[list[str]], labels: np.ndarray, signs: np.ndarray, share: float, least: float = 25.0) -> ToxicityModel:
-    """least: the log-likelihood ratio (G squared) from which a feature is taken to go with toxic texts or with others."""
-    # copies with one label would make chance words look telling; a copy with the other label tells the most
-    unlike = np.concatenate([(at := np.flatnonzero(labels == c))[different([words[i] for i in at])] for c in (0, 1)])
-    unlike.sort()
-    words, labels, signs = [words[i] for i in unlike], labels[unlike], signs[unlike]
+    def holding(terms: dict[str, int]) -> list[str]:
+        shared = spark.sparkContext.broadcast(terms)
+
+        def hold(batches):
+            for b in batches:
+                words = {w for t in b.column(1).to_pylist() for w in set(text_words(t)) if any(f in shared.value for f in features_of(w))}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+        kept = spark.createDataFrame([(int(k),) for k in got.column("k").to_pylist()], "k long")
+        return sorted(r["word"] for r in rows.join(F.broadcast(kept), "k", "left_semi").mapInArrow(trimmed(hold), "word string").distinct().collect())
+
+    model = fit_toxicity(of, got.column("label").to_numpy(), np.stack([got.column("loud").to_numpy(), got.column("signs").to_numpy()], 1), sizes[1] / (sizes[0] + sizes[1]), holding)
+    keep.drop(rows)
+    del got, named, of, one, words
+    release(spark)
+    return model
+
+
+#: A feature that fewer texts of the sample have tells nothing.
+LEAST_TEXTS = 4
+
+
+def fit_toxicity(of: list[list[str]], labels: np.ndarray, signs: np.ndarray, share: float, holding, least: float = 25.0) -> ToxicityModel:
+    """of: each text's features. holding: terms -> the texts' words that hold one.
+
+    least: the log-likelihood ratio (G squared) from which a feature is taken to go with toxic texts or with others.
+    """
     n = [int((labels == c).sum()) for c in (0, 1)]
-    if not min(n):
-        return ToxicityModel()
-    features: dict[str, list[str]] = {}
-    of = [sorted({f for w in ws for f in features.setdefault(w, features_of(w))}) for ws in words]
     found = telling(of, labels.astype(np.float64), least)
     df = [Counter(f for fs, y in zip(of, labels) if y == c for f in fs if f in found) for c in (0, 1)]
     # a term is one with which most texts are toxic, at the whole table's share of toxic rows
@@ -183,24 +223,28 @@ def fit_toxicity(words: list[list[str]], labels: np.ndarray, signs: np.ndarray,
     p = label_model.posterior(votes)
     names = list(telling(of, p, least))
     # most toxic texts hold several terms; words that hold one are texts by themselves, so that one can be enough
-    alone = [fs for fs in features.values() if any(f in terms for f in fs)]
+    alone = [features_of(w) for w in holding(terms)]
     votes = np.array([votes_of(None, set(fs), terms) for fs in alone], np.int64)
     weights, bias = _linear([*of, *alone], np.concatenate([p, label_model.posterior(votes)]), names, 0.5)
     return ToxicityModel(weights, bias, terms, label_model)
 
 
-def different(words: list[list[str]], alike: float = 0.4) -> np.ndarray:
-    """Indices of texts whose word sets are not nearly those of an earlier one (Jaccard of alike or more)."""
-    often = Counter(w for ws in words for w in ws)
+def different(words: list[np.ndarray], alike: float = 0.4) -> np.ndarray:
+    """Indices of texts whose sets of word hashes are not nearly those of an earlier one (Jaccard of alike or more)."""
+    if not words:
+        return np.zeros(0, np.int64)
+    value, times = np.unique(np.concatenate(words), return_counts=True)
+    rare = value[times <= max(8, 0.05 * len(words))]
     seen: dict[tuple[int, int, int], list[int]] = {}
-    sets: dict[int, set[str]] = {}
+    sets: dict[int, np.ndarray] = {}
     for i, ws in enumerate(words):
-        mine = {w for w in ws if often[w] <= max(8, 0.05 * len(words))} or set(ws)
-        h = np.fromiter((hash_of(w) for w in mine), np.uint64, len(mine))
+        mine = np.intersect1d(ws, rare, assume_unique=True)
+        mine = mine if len(mine) else ws
+        h = mine.astype(np.uint64)
         least = [int(mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min()) if len(h) else 0 for k in range(20)]
         keys = [(k, least[k], least[k + 1]) for k in range(0, 20, 2)]
-        near = {j for k in keys for j in seen.get(k, ())}
-        if any(len(mine & sets[j]) >= alike * len(mine | sets[j]) for j in near):
+        both = [len(np.intersect1d(mine, sets[j], assume_unique=True)) / max(1, len(mine) + len(sets[j])) for j in {j for k in keys for j in seen.get(k, ())}]
+        if any(x / (1 - x) >= alike for x in both) or (not len(h) and seen.get(keys[0])):
             continue
         sets[i] = mine
         for k in keys:
@@ -223,7 +267,7 @@ def telling(of: list[list[str]], p: np.ndarray, least: float) -> dict[str, tuple
     share = float(np.clip(p.mean(), 1e-6, 1 - 1e-6))
     out = {}
     for f, c in all_.items():
-        if c < 4:
+        if c < LEAST_TEXTS:
             continue
         a = float(one[f])
         g = 2 * ((a * math.log(a / (c * share)) if a > 0 else 0) + ((c - a) * math.log((c - a) / (c * (1 - share))) if c - a > 1e-9 else 0))
