@@ -48,8 +48,32 @@ def test_edges(spark, nothing):
     assert sharding.histogram_shards(nothing, 8).count() == 0
     same = spark.createDataFrame([(5, "ab", 1)] * 9 + [(None, None, 2)], "doc_id long, text string, shard int")
     rows = sharding.histogram_shards(same, 3).collect()
-    assert len(rows) == 10 and len({r["shard"] for r in rows if r["doc_id"] == 5}) == 1
-    assert sorted(r["slot"] for r in rows if r["doc_id"] == 5) in (list(range(9)), list(range(1, 10)))
+    total = sum(3 if r["text"] else 1 for r in rows)
+    by = {s: sum(3 if r["text"] else 1 for r in rows if r["shard"] == s) for s in range(3)}
+    assert len(rows) == 10 and all(abs(b - total / 3) < 3 for b in by.values())
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(3))
+
+
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_hot_key(spark, law):
+    """One id holds a third of the rows, some of them equal, and null another part; clashing names stay."""
+    r = random.Random(3)
+    rows = [(9, "same" if i % 3 else "x" * r.randint(0, 30)) for i in range(400)] + [(None, None)] * 300 + [(i, "y" * r.randint(0, 30)) for i in range(20, 520)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit("k")).withColumn("_slot", F.lit("s")).withColumn("slot", F.lit("z")).repartition(5)
+    out = sharding.histogram_shards(df, 8, law=law, per_shard=4).cache()
+    assert set(out.columns) == {"doc_id", "text", "_key", "_slot", "shard", "slot"} and out.where("_key <> 'k' OR _slot <> 's'").count() == 0
+    found = out.collect()
+    assert sorted((str(x["doc_id"]), str(x["text"])) for x in found) == sorted((str(i), str(t)) for i, t in rows)
+    size = (lambda x: 1) if law == "rows" else lambda x: len(x["text"] or "") + 1
+    by = {s: [x for x in found if x["shard"] == s] for s in range(8)}
+    share = sum(map(size, found)) / 8
+    assert all(abs(sum(map(size, v)) - share) <= (1 if law == "rows" else 31) for v in by.values())
+    order = []
+    for s in range(8):
+        mine = sorted(by[s], key=lambda x: x["slot"])
+        assert [x["slot"] for x in mine] == list(range(len(mine)))
+        order += [-1 if x["doc_id"] is None else x["doc_id"] for x in mine]
+    assert order == sorted(order)
 
 
 def test_query_columns(spark, docs, corpus, tmp_path):

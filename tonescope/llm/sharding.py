@@ -3,10 +3,12 @@
 Rows are dealt to shards by ranges of an integer key so that the shards' bytes are near equal. Nothing is sampled:
 tasks count the exact bytes and rows below candidate boundaries (probes), the counts of all tasks are summed, and the
 probes are refined between the two that enclose each wanted boundary until every splitter meets its tolerance. Only
-then do the rows move, once, to the ranges that the splitters make.
+then do the rows move, once, to the ranges that the splitters make. A key whose rows reach beyond a boundary is parted
+there: its rows are ordered by a hash of their place in the table, and the same counting finds the place to cut.
 
-Defined results: null keys come first, as if smaller than any; rows with one key stay together, so with repeated keys
-the sizes are as near as whole keys allow; a null or empty text counts one byte; an empty table gives an empty result.
+Defined results: null keys come first, as if smaller than any; rows with one key are neighbours, but a boundary may part
+them; a null or empty text counts one byte; an empty table gives an empty result; columns named shard or slot are
+replaced, others keep their names and values.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, tune
+from .common import Scratch, tune
 
 #: What a null key counts as.
 LOWEST = -(2**63)
@@ -26,12 +28,19 @@ LOWEST = -(2**63)
 
 @dataclass(frozen=True)
 class Splitters:
-    """Boundaries: a row is beyond cut i if its key > keys[i]. rows[i]: the rows up to there; shard[i]: it also parts two shards."""
+    """Boundaries: a row is beyond cut i if its key > keys[i]. rows[i]: the rows up to there; shard[i]: it also parts two shards.
+
+    goal: the bytes wanted up to each cut. under: those of smaller keys, and under_rows their rows, where that is known
+    and keys[i] has several rows, else -1.
+    """
 
     keys: np.ndarray
     rows: np.ndarray
     bytes: np.ndarray
     shard: np.ndarray
+    goal: np.ndarray
+    under: np.ndarray
+    under_rows: np.ndarray
     rounds: int
 
 
@@ -42,13 +51,20 @@ def find_splitters(sizes: DataFrame, n_shards: int, per_shard: int = 32, toleran
     splitter is the smallest key at which the goal is reached. inner_tolerance: the same, in parts of a range, for
     the boundaries inside shards. A round moves (probes x 24 bytes) per task, whatever the table's size.
     """
-    low, high, total, n = sizes.agg(F.min("key"), F.max("key"), F.sum("size"), F.count("*")).first()
+    total = sizes.agg(F.sum("size")).first()[0] or 0
     parts = n_shards * per_shard
-    if not n or parts < 2:
-        return Splitters(*[np.zeros(0, np.int64)] * 3, np.zeros(0, bool), 0)
     goal = np.array([int(total) * i / parts for i in range(1, parts)])
     of_shard = np.arange(1, parts) % per_shard == 0
     slack = np.where(of_shard, tolerance * total / n_shards, inner_tolerance * total / parts)
+    return reach(sizes, goal, slack, of_shard, probes)
+
+
+def reach(sizes: DataFrame, goal: np.ndarray, slack: np.ndarray, of_shard: np.ndarray, probes: int = 2048) -> Splitters:
+    """Splitters of sizes (key long, size long) at each of which ascending goals of bytes are reached, or nearly."""
+    low, high, total, n = sizes.agg(F.min("key"), F.max("key"), F.sum("size"), F.count("*")).first()
+    if not n or not len(goal):
+        none = np.zeros(0, np.int64)
+        return Splitters(none, none, none, np.zeros(0, bool), none, none, none, 0)
     below = {low - 1: (0, 0), high: (int(total), n)}  # key -> bytes and rows up to it
     rounds = 0
     while True:
@@ -71,7 +87,10 @@ def find_splitters(sizes: DataFrame, n_shards: int, per_shard: int = 32, toleran
         take.append(known[r - 1] if closer else known[r])
     keys = np.maximum.accumulate(np.array(take, np.int64))  # a loose cut may not fall behind an exact one before it
     rows, size = (np.array([below[int(k)][j] for k in keys], np.int64) for j in (1, 0))
-    return Splitters(keys, rows, size, of_shard, rounds)
+    before = [below.get(int(k) - 1, (0, r)) for k, r in zip(keys, rows)]
+    several = np.array([r - b[1] > 1 for r, b in zip(rows, before)])
+    under, under_rows = (np.array([b[j] if m else -1 for b, m in zip(before, several)], np.int64) for j in (0, 1))
+    return Splitters(keys, rows, size, of_shard, goal, under, under_rows, rounds)
 
 
 def _count_below(sizes: DataFrame, ask: list[int]) -> dict[int, tuple[int, int]]:
@@ -94,39 +113,69 @@ def _count_below(sizes: DataFrame, ask: list[int]) -> dict[int, tuple[int, int]]
     return {int(k): (int(s), int(r)) for k, s, r in zip(ask, np.cumsum(size), np.cumsum(rows))}
 
 
+#: Beyond it come all rows of a key.
+LAST = 2**63 - 1
+
+
 def histogram_shards(df: DataFrame, n_shards: int, key: str = "doc_id", size: Column | None = None, tie: list[Column] = (), law: str = "bytes", per_shard: int = 32, tolerance: float = 0.0) -> DataFrame:
     """df with ``shard`` (0 to n_shards - 1) and ``slot`` (the row's place in its shard, gapless from 0).
 
     key: a column of integers. size: bytes of a row; by default those of its text, plus 1. tie: orders rows of one
-    key. law: "bytes" (sizes near equal) or "rows" (each row counts 1). The result is ordered by key within a shard.
+    key that no boundary parts. law: "bytes" (sizes near equal) or "rows" (each row counts 1). The result is ordered by
+    key within a shard.
     """
     if law not in ("bytes", "rows"):
         raise ValueError(f"no law {law}")
     spark = df.sparkSession
     tune(spark)
-    df = df.drop("shard", "slot")
+    keep = Scratch(spark)
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    own = "_"
+    while any(c.startswith(own) for c in names):
+        own += "_"
+    col = lambda c: F.col(own + c)
     weight = F.lit(1).cast("long") if law == "rows" else size if size is not None else F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
     at = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST + 1))
-    cuts = find_splitters(checkpointed(df.select(at.alias("key"), weight.alias("size"))), n_shards, per_shard, tolerance)
-    keys, rows = cuts.keys, cuts.rows
-    # equal cuts (a heavy key, or fewer keys than ranges) leave ranges between them empty
+    sizes = keep(df.select(at.alias("key"), weight.alias("size")))
+    cuts = find_splitters(sizes, n_shards, per_shard, tolerance)
+    keys, rows, ties = cuts.keys, cuts.rows.copy(), np.full(len(cuts.keys), LAST)
+    # boundaries that fall among the rows of one key
+    parted = np.flatnonzero((cuts.under >= 0) & (cuts.bytes - cuts.goal > (cuts.bytes - cuts.under) / 1e9) & (cuts.goal > cuts.under))
+    if len(parted):
+        df = keep(df.withColumn(own + "row", F.monotonically_increasing_id()))  # a row's place must not change any more
+        placed = F.xxhash64(col("row"))
+        for k in np.unique(keys[parted]).tolist():
+            mine = parted[keys[parted] == k]
+            inside = keep(df.where(at == k).select(placed.alias("key"), weight.alias("size")))
+            found = reach(inside, cuts.goal[mine] - cuts.under[mine[0]], np.zeros(len(mine)), cuts.shard[mine])
+            ties[mine], rows[mine] = found.keys, cuts.under_rows[mine[0]] + found.rows
+            keep.drop(inside)
+    keep.drop(sizes)
+    # equal cuts (fewer keys than ranges) leave ranges between them empty
     shard_of = np.concatenate([[0], np.cumsum(cuts.shard)]).astype(np.int64)
     first = np.concatenate([[0], rows])  # rows before each range
     shard_first = np.array([first[np.flatnonzero(shard_of == s)[0]] if (shard_of == s).any() else 0 for s in range(n_shards)], np.int64) if len(keys) else np.zeros(n_shards, np.int64)
+    hot = np.unique(keys[parted])
 
     @F.pandas_udf("int")
-    def range_of(k):
+    def range_of(k, t):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(keys, k.to_numpy(np.int64), side="left").astype(np.int32))
+        k, t = k.to_numpy(np.int64), t.to_numpy(np.int64)
+        out = np.searchsorted(keys, k, side="left")
+        for h in hot:
+            some = np.flatnonzero(k == h)
+            i, j = np.searchsorted(keys, [h, h + 1], side="left")
+            out[some] += np.searchsorted(ties[i:j], t[some], side="left")
+        return pd.Series(out.astype(np.int32))
 
-    places = spark.createDataFrame([(int(i), int(s), int(first[i] - shard_first[s])) for i, s in enumerate(shard_of)], "_range int, shard int, _base long")
+    places = spark.createDataFrame([(int(i), int(s), int(first[i] - shard_first[s])) for i, s in enumerate(shard_of)], f"{own}range int, shard int, {own}base long")
     place = F.broadcast(places)  # n_shards x per_shard rows
-    within = Window.partitionBy("_range").orderBy("_key", *tie)
-    dealt = df.withColumn("_key", at).withColumn("_range", range_of(F.col("_key")))
-    dealt = dealt.withColumn("_slot", F.row_number().over(within) - 1)
-    out = dealt.join(place, "_range", "left").withColumn("slot", F.col("_slot") + F.col("_base"))
-    return out.drop("_range", "_key", "_slot", "_base")
+    within = Window.partitionBy(own + "range").orderBy(col("key"), col("tie"), *tie)
+    dealt = df.withColumn(own + "key", at).withColumn(own + "tie", F.xxhash64(col("row")) if len(parted) else F.lit(0).cast("long"))
+    dealt = dealt.withColumn(own + "range", range_of(col("key"), col("tie")))
+    dealt = dealt.withColumn(own + "slot", F.row_number().over(within) - 1)
+    return dealt.drop("shard", "slot").join(place, own + "range", "left").select(*names, "shard", (col("slot") + col("base")).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
