@@ -228,8 +228,10 @@ class ChunkEncoder:
     The pre-tokenizers in use never join characters across the start of a run of white space, and look ahead only
     within that run and the character after it. So a text's ids are those of its chunks (white space with the word
     behind it) in turn. spaced: white space has ids of its own (byte-level BPE); else it is dropped (word BPE), and
-    chunks are the words between ASCII white space, whose A-Z are small letters to such tokenizers. When the table holds ``most`` chunks, those that came
-    once go, which only costs time. Keys are words after one space (str) or literal chunks (bytes).
+    chunks are the words between ASCII white space, whose A-Z are small letters to such tokenizers. Texts that hold the
+    literal form of an added token, which the library finds before it cuts words, are encoded whole. When the table
+    holds ``most`` chunks, those that came once go, which only costs time. Keys are words after one space (str) or
+    literal chunks (bytes).
     """
 
     def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
@@ -237,7 +239,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # chunks hold no literal forms, but their small letters may
+        self.whole = Tokenizer.from_file(path)
+        added = self.whole.get_added_tokens_decoder().values()
+        if any(a.normalized for a in added):
+            raise ValueError("added tokens that are found in normalized text are not supported")
+        self.added = sorted(a.content for a in added)
         self.most = most
         self.spaced = spaced
         if hasattr(self.tokenizer.model, "_resize_cache"):  # the table here takes its place
@@ -335,6 +342,13 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the number of each text's ids; null is an empty text."""
+        apart = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        if apart:
+            flat, counts = self.encode([None if i in apart else t for i, t in enumerate(texts)])
+            whole = [np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.int32) for i in apart]
+            flat = np.insert(flat, np.repeat(np.cumsum(counts)[apart], list(map(len, whole))), np.concatenate(whole))
+            counts[apart] = list(map(len, whole))
+            return flat, counts
         if len(self.codes) > self.most:
             self._prune()
         look, keys, counts = self.codes.__getitem__, [], np.zeros(len(texts), np.int64)

@@ -5,8 +5,9 @@ writer: integer columns in run-length encoding, row indexes, and Bloom filters o
 ``range`` number, then the rows' order) is the order of the ids, so a reader can take stripes in parallel, and a
 look-up of documents skips stripes and row groups by their minimum, maximum and Bloom filter.
 
-Defined results: a null or empty text has no ids but the end id; documents of equal doc_id are ordered by text; null
-doc_ids come first; an empty table gives an empty file set that reads as an empty table.
+Defined results: a null or empty text has no ids but the end id; rows of equal doc_id are ordered by a hash of their
+text, equal rows by their place in the table, so ranges can part them; null doc_ids come first; an empty table gives an
+empty file set that reads as an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     """Encode every whole text of df, append end_id, and write the ids to ORC files at path in ascending key order."""
     tune(df.sparkSession)
     n = ranges or max(2 * partitions(df.sparkSession), 8)
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("_hash"), F.monotonically_increasing_id().alias("_at"))
+    order = ["doc_id", "_hash", "_at"]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def encode(batches):
