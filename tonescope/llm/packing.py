@@ -1,10 +1,13 @@
 """Packing of documents into sequences of a fixed length, by swap-based local search.
 
 Documents become token ids with an end id; only longer ones are cut, into whole sequences, the first piece being the
-short one. Pieces are dealt by a hash of (doc_id, piece) into groups of about ``group`` pieces, as many as the pieces
-need, so each task packs a bounded number and none of them is special. In a group best-fit decreasing gives a start;
-the search then takes the emptiest sequences and moves documents out of them, or exchanges one for one or two for
-one, always towards a larger sum of squared fills, until they are empty or nothing helps.
+short one. Pieces are dealt by a hash of their place in the table into groups of about ``group`` pieces, as many as the
+pieces need, so each task packs a bounded number, whatever ids repeat. In a group pieces go to the sequence that they
+fit best, in their order, which is the start. The search then takes the emptiest sequences in turn and moves documents
+out of them, or exchanges one for one or two for one with other underfull sequences; each step raises the sum of
+squared fills. It ends when the sequences are as few as the tokens allow, or when no step of any sequence raises the
+sum. In the second case the underfull sequences and as many full ones are filled anew, the largest documents first, and
+searched again, with more full ones each time, and what needs fewer sequences is kept.
 
 Defined results: a null or empty text is one piece that holds the end id; repeated rows are pieces of their own; an
 empty table gives an empty result. A group leaves one sequence partly filled at most when the search succeeds, so
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ceil_div, checkpointed, chunk_encoder, tune
+from .common import blocks, ceil_div, chunk_encoder, trimmed, tune
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -58,7 +61,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, key: s
 
 
 def pack(pieces: DataFrame, length: int, group: int = 8192) -> DataFrame:
-    """pieces (a checkpointed or stored table with doc_id, piece, length) with ``sequence_id`` and ``offset``."""
+    """pieces (a stored table with doc_id, piece, length, whose rows keep their places) with ``sequence_id`` and ``offset``."""
     groups = max(1, ceil_div(pieces.count(), group))
 
     def pack_group(table: pa.Table) -> pa.Table:
@@ -67,7 +70,7 @@ def pack(pieces: DataFrame, length: int, group: int = 8192) -> DataFrame:
         order = np.lexsort([table.column("ids_crc32").to_numpy(), table.column("piece").to_numpy(), table.column("doc_id").to_numpy(zero_copy_only=False)]) if "ids_crc32" in table.column_names else np.arange(len(size))
         table = table.take(pa.array(order))
         size = size[order]
-        bin_of = search(size, best_fit(size, length), length)
+        bin_of, _ = pack_items(size, length)
         by_bin = np.argsort(bin_of, kind="stable")
         before = np.cumsum(size[by_bin]) - size[by_bin]
         firsts = np.flatnonzero(np.diff(bin_of[by_bin], prepend=-1))
@@ -76,17 +79,17 @@ def pack(pieces: DataFrame, length: int, group: int = 8192) -> DataFrame:
         number = table.column("_group").to_numpy() * (1 << 24) + bin_of
         return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInArrow(pack_group, schema)
 
 
-def best_fit(size: np.ndarray, length: int) -> np.ndarray:
-    """The bin of each item by best-fit decreasing. Bins are found by a bit mask of the room that open ones have."""
+def best_fit(size: np.ndarray, length: int, order: np.ndarray | None = None) -> np.ndarray:
+    """The bin of each item: the open one it fits best, in the given order. Bins are found by a bit mask of their room."""
     bin_of = np.empty(len(size), np.int64)
     by_room: dict[int, list[int]] = {}
     mask = n = 0
-    for i in np.argsort(-size, kind="stable").tolist():
+    for i in (range(len(size)) if order is None else order.tolist()):
         s = int(size[i])
         fits = mask >> s
         if fits:
@@ -104,68 +107,97 @@ def best_fit(size: np.ndarray, length: int) -> np.ndarray:
     return bin_of
 
 
-def search(size: np.ndarray, bin_of: np.ndarray, length: int, rounds: int = 3) -> np.ndarray:
-    """Local search from bin_of: every step raises the sum of squared fills; bins that empty are gone.
+def pack_items(size: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """The bin of each item, numbered from 0, and how many steps the search took."""
+    bin_of, steps = search(size, best_fit(size, length), length)
+    least = ceil_div(int(size.sum()), length)
+    more = 1
+    while len(np.unique(bin_of)) > least:
+        fill = np.bincount(bin_of, weights=size).astype(np.int64)
+        under, full = np.flatnonzero(fill < length), np.flatnonzero(fill == length)
+        # full ones of the smallest items help the most
+        mean = fill[full] / np.bincount(bin_of, minlength=len(fill))[full]
+        pool = np.concatenate([under, full[np.argsort(mean, kind="stable")[: more * max(len(under), 16)]]])
+        items = np.flatnonzero(np.isin(bin_of, pool))
+        fresh, n = search(size[items], best_fit(size[items], length, np.argsort(-size[items], kind="stable")), length)
+        steps += n
+        if fresh.max() + 1 < len(pool):
+            bin_of[items] = len(fill) + fresh
+            bin_of = np.unique(bin_of, return_inverse=True)[1].astype(np.int64)
+        if len(pool) == len(fill):
+            break
+        more *= 2
+    return bin_of, steps
+
 
-    A step takes one or two items of the emptiest bin (the donor) and moves them to another underfull bin, or
-    exchanges them for one smaller item there. The receiver ends fuller than the donor was, so the sum rises.
+def search(size: np.ndarray, bin_of: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """Local search from bin_of: every step raises the sum of squared fills; bins that empty are gone. Also the steps.
+
+    A step takes one or two items of a bin, the donor, and moves them to another underfull bin, or exchanges them for
+    one smaller item there, so that the receiver ends fuller than the donor was. Donors come in the order of their fill.
     """
-    fill = np.bincount(bin_of, weights=size).astype(np.int64)
     bin_of = bin_of.copy()
-    least = ceil_div(int(size.sum()), length)
-    for _ in range(rounds):
+    fill = np.bincount(bin_of, weights=size).astype(np.int64)
+    left, least = int((fill > 0).sum()), ceil_div(int(size.sum()), length)
+    steps, before = 0, -1
+    while left > least and steps != before:
+        before = steps
         under = np.flatnonzero((fill > 0) & (fill < length))
-        if (fill > 0).sum() <= least or len(under) < 2:
-            break
-        items = np.flatnonzero(np.isin(bin_of, under))
-        stuck, gone = np.zeros(len(fill), bool), 0
-        for donor in under[np.argsort(fill[under], kind="stable")].tolist():
-            if (fill > 0).sum() <= least:
+        for k, donor in enumerate(under[np.argsort(fill[under], kind="stable")].tolist()):
+            if left <= least:
                 break
-            if fill[donor] == length:
-                continue
-            while fill[donor] and (step := _step(size, bin_of, fill, items, donor, length, stuck)):
+            if k % 32 == 0:  # items of bins that became full take no part any more
+                active = np.flatnonzero(fill[bin_of] < length)
+            while 0 < fill[donor] < length and (step := _step(size, bin_of, fill, active, donor, length)):
                 out, back, to = step
-                moved = int(size[out].sum()) - (int(size[back]) if back is not None else 0)
+                moved = int(size[out].sum()) - (0 if back is None else int(size[back]))
                 bin_of[out] = to
                 if back is not None:
                     bin_of[back] = donor
                 fill[donor] -= moved
                 fill[to] += moved
-            stuck[donor] = fill[donor] > 0
-            gone += fill[donor] == 0
-        if not gone:
-            break
-    return np.unique(bin_of, return_inverse=True)[1].astype(np.int64)
-
-
-def _step(size, bin_of, fill, items, donor, length, stuck):
-    """(items that leave the donor, item that comes back or None, receiver), the one that drains the donor most."""
-    own = np.flatnonzero(bin_of == donor)
-    own = own[np.argsort(-size[own], kind="stable")]
+                steps += 1
+            left -= int(fill[donor] == 0)
+    return np.unique(bin_of, return_inverse=True)[1].astype(np.int64), steps
+
+
+def _step(size, bin_of, fill, active, donor, length):
+    """(items that leave the donor, item that comes back or None, receiver): the step that drains the donor most and,
+    of equal ones, fills the receiver best. active: the items of all underfull bins, and perhaps of some that are full."""
+    homes, sizes = bin_of[active], size[active]
+    own = active[homes == donor]
+    mine = size[own].tolist()
+    kinds = sorted(set(mine))
+    give = np.array(sorted({*kinds, *(a + b for i, a in enumerate(kinds) for b in kinds[i + 1 :]), *(2 * a for a in kinds if mine.count(a) > 1)}))  # what one or two items amount to
     room = length - fill
-    room[donor] = -1
-    room[fill == 0] = -1
-    others = items[bin_of[items] != donor]
-    give = [([i], int(size[i])) for i in own[:12].tolist()] + [([i, j], int(size[i] + size[j])) for a, i in enumerate(own[:6].tolist()) for j in own[a + 1 : 6].tolist()]
+    room[donor] = room[fill == 0] = 0
     best, found = 0, None
-    seen = set()
-    where = bin_of[others]
-    space, small = room[where], size[others]
-    most = int(room.max(initial=0))
-    for out, s in give:
-        if s in seen or s <= best:
-            continue
-        seen.add(s)
-        if most >= s:
-            fits = np.flatnonzero(room >= s)
-            to = int(fits[np.argmin(room[fits])])
-            if fill[to] + s > fill[donor] and s > best:
-                best, found = s, (np.array(out), None, to)
-                continue
-        less = s - small
-        less[(less > space) | (fill[where] + less <= fill[donor])] = 0
-        k = int(np.argmax(less)) if len(less) else 0
-        if len(less) and less[k] > best:
-            best, found = int(less[k]), (np.array(out), int(others[k]), int(where[k]))
-    return found
+    bins = np.flatnonzero(room)
+    bins = bins[np.argsort(room[bins], kind="stable")]
+    at = np.searchsorted(room[bins], give)  # the tightest bin for each
+    fits = at < len(bins)
+    out, to = give[fits], bins[at[fits]]
+    score = np.where(fill[to] + out > fill[donor], out * (length + 1) - (room[to] - out), 0)
+    if len(score) and score.max() > 0:
+        k = int(score.argmax())
+        best, found = int(score[k]), (int(out[k]), None, int(to[k]))
+    where = room[homes]
+    some = np.flatnonzero((where > 0) & (sizes < give[-1]) & (sizes + where >= give[0]))
+    where, back = where[some], sizes[some]
+    at = np.searchsorted(give, back + where, side="right") - 1  # the most that may come for each item
+    drain = give[at] - back
+    score = np.where((drain > 0) & (length - where + drain > fill[donor]), drain * (length + 1) - (where - drain), 0)
+    if len(score) and score.max() > best:
+        k = int(score.argmax())
+        found = (int(give[at[k]]), int(active[some[k]]), int(homes[some[k]]))
+    if found is None:
+        return None
+    amount, back, to = found
+    one = own[size[own] == amount]
+    if len(one):
+        return one[:1], back, to
+    for k, i in enumerate(own.tolist()):
+        other = own[k + 1 :][size[own[k + 1 :]] == amount - size[i]]
+        if len(other):
+            return np.array([i, int(other[0])]), back, to
+    return None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embed_dedup, html_extract, minhash, packing, piece_sampling, quality, sharding, token_orc, toxicity, warc
-from .common import checkpointed, tokenizer_path
+from .common import Scratch, tokenizer_path
 
 SHARDS = 8
 
@@ -55,7 +55,7 @@ def op6_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = checkpointed(packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, length=2048))
+    pieces = Scratch(docs.sparkSession)(packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, length=2048))
     return packing.pack(pieces, length=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
