@@ -338,7 +338,7 @@ def confirmed(source: DataFrame, pairs: DataFrame, many: DataFrame | None, p: Ne
 BLOCK = ["bucket", "first", "second"]
 
 
-def block_tasks(placed: DataFrame, p: NearDup) -> DataFrame:
+def block_tasks(placed: DataFrame, keep: Scratch, p: NearDup) -> DataFrame:
     """(BLOCK, side, doc_id, component) of members (bucket, doc_id, component) whose bucket holds several components.
 
     A bucket's largest component is its main one. If the members outside are one block at most, they (side 1) go to
@@ -346,7 +346,7 @@ def block_tasks(placed: DataFrame, p: NearDup) -> DataFrame:
     """
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     kinds = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"))
-    kinds = kinds.where("kinds > 1 AND n > 2").select("bucket", (F.col("n") - F.col("main.c")).alias("out"), "n", F.col("main.component").alias("main"))
+    kinds = keep(kinds.where("kinds > 1 AND n > 2").select("bucket", (F.col("n") - F.col("main.c")).alias("out"), "n", F.col("main.component").alias("main")))
     rows = placed.join(kinds, "bucket").withColumn("side", (F.col("component") != F.col("main")).cast("int"))
     few, mains = F.col("out") <= p.block, F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("out")) / p.block)).cast("int")
     blocks = F.ceil(F.col("n") / p.block).cast("int")
@@ -411,7 +411,7 @@ def candidates(t: pa.Table, p: NearDup, most: int | None) -> tuple[np.ndarray, n
     return one, two, np.unique(one, return_counts=True)[1][np.searchsorted(np.unique(one), one)], opened
 
 
-def block_pairs(placed: DataFrame, reps: DataFrame, p: NearDup, most: int | None) -> DataFrame:
+def block_pairs(placed: DataFrame, reps: DataFrame, keep: Scratch, p: NearDup, most: int | None) -> DataFrame:
     """(a, b, n, open): candidates of all block tasks."""
 
     def find(batches):
@@ -420,7 +420,7 @@ def block_pairs(placed: DataFrame, reps: DataFrame, p: NearDup, most: int | None
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(np.full(len(a), opened))], ["a", "b", "n", "open"])
 
-    rows = block_tasks(placed, p).join(reps.select("doc_id", "n_shingles", "sketch", "parity"), "doc_id").select(*BLOCK, "side", "doc_id", "component", "n_shingles", "sketch", "parity")
+    rows = block_tasks(placed, keep, p).join(reps.select("doc_id", "n_shingles", "sketch", "parity"), "doc_id").select(*BLOCK, "side", "doc_id", "component", "n_shingles", "sketch", "parity")
     tasks = rows.repartition(partitions(rows.sparkSession), *BLOCK).sortWithinPartitions(*BLOCK, "doc_id")
     return tasks.mapInArrow(trimmed(find), "a long, b long, n long, open boolean").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("open").alias("open"))
 
@@ -479,7 +479,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), key: str = "doc_id"
     # pairs without the centre
     for most in (p.first, None):
         placed = keep(placed_in(members.where("n > 2").select("bucket", "doc_id"), parts, "doc_id", "component"))
-        found = keep(block_pairs(placed, reps, p, most))
+        found = keep(block_pairs(placed, reps, keep, p, most))
         new = keep(found.join(near.select("a", "b"), ["a", "b"], "left_anti"))
         parts = _after(keep, parts, source, new, many, p)
         opened = not found.where("open").isEmpty()
