@@ -140,3 +140,40 @@ def test_tfidf_weighs_what_all_rows_hold(spark):
         got = dict(zip(stages[0].vocabulary, r["_grams_unit"].toArray()))
         length = math.sqrt(3 * common**2 + (2 * rare**2 if got["bar"] else 0))
         assert got["news"] == pytest.approx(common / length) and got["bar"] in (0, pytest.approx(rare / length))
+
+
+def test_scorer_masks_entities_and_is_saved_whole(spark, tmp_path):
+    rows = [(i, f"{'Guess what happens next to' if i % 2 else 'Council reviews the plan of'} {w} {i}", i % 2) for i, w in enumerate(["roads", "schools", "harbour", "budget", "parks"] * 60)]
+    df = spark.createDataFrame(rows, "id int, headline string, label_clickbait int")
+    scorer = models.fit_scorer(df.where("id < 90"), df.where("id >= 90"), "label_clickbait", trees=3, iterations=20)
+    assert scorer.calibrator.method == "isotonic"
+    scorer.save(str(tmp_path / "m"))
+    again = models.Scorer.load(str(tmp_path / "m"))
+    pairs = spark.createDataFrame([(0, "Biden visits NEW bridge"), (0, "TRUMP visits NEW bridge"), (1, "Guess what the left said"), (1, "Guess what Republicans said")], "k int, headline string")
+    found = again.predict(pairs).collect()
+    assert all(len({r["probability"] for r in found if r["k"] == k}) == 1 for k in (0, 1))
+    assert sorted(r["probability"] for r in found) == sorted(r["probability"] for r in scorer.predict(pairs).collect())
+    few = models.fit_scorer(df.where("id < 90"), df.where("id BETWEEN 90 AND 150"), "label_clickbait", trees=2, iterations=5)
+    few.save(str(tmp_path / "few"))
+    assert models.Scorer.load(str(tmp_path / "few")).calibrator.method == "sigmoid" == few.calibrator.method
+
+
+def test_short_words_count_once(spark):
+    grams = models.prepared(spark.createDataFrame([("a bc",)], "headline string")).first()["_chars"]
+    assert sorted(grams) == sorted([" a ", " bc", "bc ", " bc "])
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [(k, float(v)) for k in "ab" for v in r.choice([r.normal() * 50, 1.0, 2.5, r.normal()], 101 + ord(k))] + [("c", 3.0), ("c", None)]
+    got = {x["k"]: x for x in stats.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for k in "abc":
+        values = [v for x, v in rows if x == k and v is not None]
+        assert got[k]["n"] == len(values) and (got[k]["p50"], got[k]["p95"]) == pytest.approx(tuple(np.percentile(values, [50, 95])))
+
+
+def test_small_groups_have_no_area(spark):
+    df = spark.createDataFrame([("a", i % 2, i / 10) for i in range(7)] + [("b", i % 2, i / 10) for i in range(8)], "k string, y int, p double")
+    assert {r["k"]: r["roc_auc"] is None for r in stats.ranking(df, ["k"], "y", "p", least=8).collect()} == {"a": True, "b": False}

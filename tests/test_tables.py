@@ -166,3 +166,50 @@ def test_feedback_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(spark.table("windows").collect()) == sorted(batch.collect())
+
+
+def test_labelling_run_ends_with_the_budget(spark):
+    from tonescope.functions.text import cache_key
+
+    heads = spark.createDataFrame([(i, f"headline {i % 12}") for i in range(20)], "doc_id long, headline string")
+    none = spark.createDataFrame([], "key string, " + ", ".join(f"{x} int" for x in DIMENSIONS) + ", out_of_scope boolean, line_no long")
+    known = heads.where("doc_id IN (1, 2)").select(cache_key("m", "1", "headline").alias("key"), *[F.lit(2).alias(x) for x in DIMENSIONS], F.lit(True).alias("out_of_scope"), F.col("doc_id").alias("line_no"))
+    seen = []
+
+    def annotate(rows, n):
+        seen.append(n)
+        return rows.select("key", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("key", *[F.col("k").alias(x) for x in DIMENSIONS], (F.col("k") > 0).alias("out_of_scope"))
+
+    found, fresh = labels.labelling_run(heads, none.unionByName(known), "m", annotate, F.lit(1.0), n_samples=3, budget=10.0)
+    rows = {r["doc_id"]: r for r in found.collect()}
+    # 0, 3, 4 and 5 cost three each; 6 would be asked with 12 of 10 spent
+    assert sorted(rows) == list(range(6)) and {i for i in rows if rows[i]["asked"]} == {0, 3, 4, 5} and seen == [3]
+    assert rows[1]["outrage"] == 2 and rows[0]["outrage"] == 1 and rows[0]["out_of_scope"] and fresh.count() == 4
+    assert labels.labelling_run(heads, none, "m", annotate, F.lit(0.0), limit=15)[0].count() == 15
+    assert tuple(labels.coverage(heads, heads.where("doc_id < 3")).first()) == (20, 6)
+
+
+def test_gate_needs_labels_and_report(spark):
+    heads = spark.createDataFrame([("You won't believe it",)], "headline string")
+    known = spark.createDataFrame([("You won't believe it", *[2] * 6, 1)], "headline string, " + ", ".join(f"{x} int" for x in DIMENSIONS) + ", line_no int")
+    report = spark.createDataFrame([("fear", True), ("outrage", False)], "dimension string, usable boolean")
+    weak = labels.gated_targets(heads, None, report).first()
+    assert weak["target_fear"] == 0.0 and labels.gated_targets(heads, known, None).first() == weak == labels.gated_targets(heads, known, report.where("NOT usable")).first()
+    strong = labels.gated_targets(heads, known, report).first()
+    assert strong["target_fear"] == 1.0 and strong["target_outrage"] == 0.0
+
+
+def test_exact_sample(spark):
+    import hashlib
+
+    for n, share in ((0, 0.5), (1, 0.15), (37, 0.5), (500, 0.15), (500, 1.0)):
+        rows = split.exact_sample(spark.range(n).withColumnRenamed("id", "doc_id"), share).collect()
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"7|{i}".encode()).hexdigest(), i))
+        assert {r["doc_id"] for r in rows if r["sampled"]} == set(order[: round(n * share)]) and len(rows) == n
+
+
+def test_queue_is_counted_and_stamped(spark, tmp_path):
+    assert feedback.queue_count(spark, str(tmp_path / "none")) == 0
+    rows = feedback.stamped(spark.createDataFrame([("a", None), ("b", 5.0)], "headline string, ts double"))
+    rows.write.json(str(tmp_path / "queue"))
+    assert feedback.queue_count(spark, str(tmp_path / "queue")) == 2 and {r["headline"]: r["ts"] > 1e9 for r in rows.collect()} == {"a": True, "b": False}

@@ -66,10 +66,15 @@ def detected() -> Column:
     return F.transform(F.array_sort(F.filter(every, lambda e: e["minus"] <= -0.6)), lambda e: e["name"])
 
 
-def with_score_record(df: DataFrame, headline: str = "headline") -> DataFrame:
-    """df with manipulation_score, intensity, detected_techniques, model: what scoring answers for each headline."""
-    scored = with_scores(df, headline).withColumn("manipulation_score", F.round(rules_score(), 3))
-    return scored.withColumns({"intensity": band(rules_score()), "detected_techniques": detected(), "model": F.lit("rules-fallback")})
+def with_score_record(df: DataFrame, headline: str = "headline", probability: str | None = None) -> DataFrame:
+    """df with manipulation_score, intensity, detected_techniques, model: what scoring answers for each headline.
+
+    probability: a column with a trained model's answer; without one the rules' score serves.
+    """
+    score = rules_score() if probability is None else F.col(probability)
+    scored = with_scores(df, headline).withColumn("manipulation_score", F.round(score, 3))
+    name = "rules-fallback" if probability is None else "boosted-calibrated"
+    return scored.withColumns({"intensity": band(score), "detected_techniques": detected(), "model": F.lit(name)})
 
 
 def with_features(df: DataFrame, headline: str = "headline") -> DataFrame:

@@ -32,7 +32,7 @@ def shingles(c: Column | str, k: int) -> Column:
     """Distinct runs of k characters; a text of at most k characters is its one shingle."""
     t = col(c)
     n = F.length(t)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
+    runs = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))  # one pass; substring() would count from the start each time
     return F.when(n <= k, F.array(t)).otherwise(F.array_distinct(runs))
 
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import DIMENSIONS
+
 
 class ContractError(ValueError):
     """Violations by rule."""
@@ -88,6 +90,17 @@ def valid_batches(df: DataFrame, batch: str, most: int = 100) -> DataFrame:
     return df.join(ok.select(batch), batch, "left_semi")
 
 
+def meets_label_schema(response: Column) -> Column:
+    """Whether a JSON text is an object of exactly the dimensions, each a whole number 0, 1 or 2, and out_of_scope, a boolean."""
+    parsed = F.try_parse_json(response)
+    kinds = {d: "BIGINT" for d in DIMENSIONS} | {"out_of_scope": "BOOLEAN"}
+    shape = "OBJECT<" + ", ".join(f"{k}: {kinds[k]}" for k in sorted(kinds)) + ">"
+    domain = F.lit(True)
+    for d in DIMENSIONS:
+        domain = domain & F.try_variant_get(parsed, f"$.{d}", "bigint").isin(0, 1, 2)
+    return F.coalesce((F.schema_of_variant(parsed) == shape) & domain, F.lit(False))
+
+
 def coerce_label(c: Column) -> Column:
     """A response's value as 0, 1 or 2: rounded half to even, clamped; what is no finite number counts as 0."""
     number = c.try_cast("double")

@@ -133,9 +133,11 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def _checkpoint_dir(df: DataFrame) -> None:
-    """The cluster's folder in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The cluster's folder in spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -148,8 +150,9 @@ def with_groups(df: DataFrame, links: DataFrame, row_id: str = "doc_id", headlin
     return placed.join(numbered(placed.select("group_min").distinct()), "group_min").drop("norm", "rep", "component")
 
 
-def numbered(groups: DataFrame, buckets: int = 64) -> DataFrame:
+def numbered(groups: DataFrame, buckets: int | None = None) -> DataFrame:
     """(group_min, dup_group): consecutive numbers in group_min's order, by ranges: counts of ranges first, then places in each."""
+    buckets = buckets or int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = groups.repartitionByRange(buckets, "group_min").withColumn("part", F.spark_partition_id())
     _checkpoint_dir(groups)
     ranged = ranged.checkpoint()

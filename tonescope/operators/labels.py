@@ -44,7 +44,7 @@ def cache_split(headlines: DataFrame, cache: DataFrame, model: str, version: str
     return keyed.join(known, "key"), keyed.join(known, "key", "left_anti")
 
 
-def within_budget(costs: DataFrame, budget: float = PARAMS.max_usd_per_run, order: str = "doc_id", cost: str = "usd", parts: int = 64) -> DataFrame:
+def within_budget(costs: DataFrame, budget: float = PARAMS.max_usd_per_run, order: str = "doc_id", cost: str = "usd", parts: int | None = None) -> DataFrame:
     """costs with ``spent`` (by the rows before) and only the rows that start before the budget is used up.
 
     A running sum by ranges of the order: totals of ranges first, then sums within each.
@@ -52,6 +52,7 @@ def within_budget(costs: DataFrame, budget: float = PARAMS.max_usd_per_run, orde
     from .dedup import _checkpoint_dir
 
     _checkpoint_dir(costs)
+    parts = parts or int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = costs.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()).checkpoint()
     sums = ranged.groupBy("_part").agg(F.sum(cost).alias("_sum"))
     before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
@@ -67,6 +68,47 @@ def label(headlines: DataFrame, cache: DataFrame, model: str, scorer: Callable[[
     return hits.select(*columns).unionByName(scorer(misses).select(*columns))
 
 
+def labelling_run(headlines: DataFrame, cache: DataFrame, model: str, annotate: Callable[[DataFrame, int], DataFrame], usd: Column, n_samples: int = PARAMS.n_samples, budget: float = PARAMS.max_usd_per_run, limit: int | None = None, order: str = "doc_id", version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """(labels of the run's headlines, new records for the cache), as an annotating run makes them.
+
+    Headlines come in order, at most the run's cap. What the cache holds is taken from it, and costs nothing; so does a
+    headline that came before. The run ends at the first headline that would need the annotator when the money is
+    spent. annotate: (rows with key and headline, number of samples) -> a row for each key and sample with labels. usd:
+    what one sample of a headline costs. A headline's samples are voted into one record.
+    """
+    most = min(limit or PARAMS.max_headlines, PARAMS.max_headlines)
+    rows = headlines.orderBy(order).limit(most).withColumn("key", cache_key(model, version, "headline"))
+    first = rows.groupBy("key").agg(F.min(order).alias("_first"))
+    known = latest(cache)
+    asked = rows.join(first, "key").join(known.select("key", F.lit(True).alias("_hit")), "key", "left")
+    asked = asked.withColumn("_ask", F.col("_hit").isNull() & (F.col(order) == F.col("_first"))).withColumn("_usd", F.when(F.col("_ask"), usd * n_samples).otherwise(0.0).cast("double"))
+    asked = asked.select(order, "key", "headline", "_ask", "_usd")
+    before = F.coalesce(F.sum("_usd").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # the cap's rows
+    ends = F.min(F.when(F.col("_ask") & (F.col("_spent") >= budget), F.col(order)))
+    spent = asked.withColumn("_spent", before)
+    last = spent.agg(ends.alias("_end"))
+    run = spent.crossJoin(F.broadcast(last)).where("_end IS NULL OR " + order + " < _end").drop("_end")  # one row
+    fresh = votes(annotate(run.where("_ask").select("key", "headline"), n_samples), ["key"])
+    columns = [*DIMENSIONS, "out_of_scope"]
+    every = known.select("key", *columns).unionByName(fresh.select("key", *columns))
+    return run.select(order, "key", "headline", F.col("_ask").alias("asked"), F.col("_spent").alias("spent")).join(every, "key").drop("key"), fresh
+
+
+def coverage(df: DataFrame, labels: DataFrame, headline: str = "headline") -> DataFrame:
+    """(n, n_labelled): how many rows have a label for their headline."""
+    known = labels.select(F.col("headline").alias(headline)).distinct().withColumn("_known", F.lit(1))
+    return df.select(headline).join(known, headline, "left").agg(F.count("*").alias("n"), F.count("_known").alias("n_labelled"))
+
+
+def gated_targets(df: DataFrame, labels: DataFrame | None, report: DataFrame | None, headline: str = "headline", order: str = "line_no") -> DataFrame:
+    """targets() with the dimensions that the agreement report finds usable; without labels or report the rules' scores."""
+    usable = [] if labels is None or report is None else [r["dimension"] for r in report.where("usable").select("dimension").collect()]
+    if not usable:
+        scored = rules.with_scores(df, headline)
+        return scored.withColumnsRenamed({s: f"target_{d}" for d, s in zip(DIMENSIONS, rules.SCORES)})
+    return targets(df, labels, usable, headline, order)
+
+
 def gold_gate(gold: DataFrame, labels: DataFrame, least: float = PARAMS.min_gold_alpha) -> DataFrame:
     """(dimension, alpha, exact_agreement, n_units, usable): agreement with gold labels on equal headlines."""
     left = gold.select(F.col("headline"), *[F.col(d).alias(f"gold_{d}") for d in DIMENSIONS])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +36,21 @@ def idf_table(df: DataFrame, headline: str = "headline", least: int = 1, most: i
 
 
 def _char_grams(n: int):
-    """Of a word with a space at either end: its runs of n characters, or itself if it is shorter."""
+    """Of a word with a space at either end: its runs of n characters, none if it is shorter."""
 
     def grams(word):
         w = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        runs = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))
+        return F.when(F.length(w) >= n, runs).otherwise(F.array().cast("array<string>"))
 
     return grams
 
 
 def prepared(df: DataFrame, headline: str = "headline") -> DataFrame:
-    """df with the masked text, the character n-grams of its words, and the rules' features (of the text as it is)."""
-    masked = rules.with_features(df, headline).withColumn("_masked", F.lower(rules.mask_entities(headline)))
+    """df with the masked text, the character n-grams of its words, and the rules' features, all of the masked text:
+    headlines that differ only in an entity are one to the models."""
+    named = rules.with_features(df.withColumn("_named", rules.mask_entities(headline)), "_named")
+    masked = named.withColumn("_masked", F.lower("_named")).drop("_named")
     grams = [F.flatten(F.transform(words("_masked"), _char_grams(n))) for n in range(PARAMS.char_ngram_min, PARAMS.char_ngram_max + 1)]
     plain = masked.withColumn("_chars", F.concat(*grams)).withColumn("_plain", strip_accents("_masked"))
     return plain.withColumn("_grams", _word_grams("_plain"))
@@ -86,6 +91,22 @@ def with_stack(model: PipelineModel, scored: DataFrame) -> DataFrame:
 class Calibrator:
     """Isotonic regression from 200 rows on, else a logistic curve."""
 
+    method: str
+
+    @classmethod
+    def load(cls, path: str) -> Calibrator:
+        out = cls.__new__(cls)
+        try:
+            out.method, out.model = "isotonic", IsotonicRegressionModel.load(f"{path}/isotonic")
+        except Exception as missing:  # there is a curve of the other kind then
+            if not any(s in str(missing) for s in ("PATH_NOT_FOUND", "does not exist")):
+                raise
+            out.method, out.model = "sigmoid", PipelineModel.load(f"{path}/sigmoid")
+        return out
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/{self.method}")
+
     def __init__(self, df: DataFrame, label: str, p: str):
         rows = df.select(F.col(label).cast("double").alias("label"), F.col(p).alias("_x"))
         n = rows.count()
@@ -102,6 +123,42 @@ class Calibrator:
         return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated"))).drop("_x")
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """The whole model: regression over text, boosted trees over rules and regression, calibration."""
+
+    logistic: PipelineModel
+    stack: PipelineModel
+    calibrator: Calibrator | None = None
+
+    def predict(self, df: DataFrame, headline: str = "headline", calibrated: bool = True) -> DataFrame:
+        """df with ``probability``; entities are masked before anything is computed."""
+        keep = df.columns
+        rows = with_logistic(self.logistic, df, headline).select(*keep, "lr_prob", *[c for c in rules.FEATURES if c not in keep])
+        rows = with_stack(self.stack, rows).select(*keep, "gbt_prob")
+        if not calibrated or self.calibrator is None:
+            return rows.withColumnRenamed("gbt_prob", "probability")
+        return self.calibrator.transform(rows, "gbt_prob").select(*keep, F.col("calibrated").alias("probability"))
+
+    def save(self, folder: str) -> None:
+        self.logistic.write().overwrite().save(f"{folder}/logistic")
+        self.stack.write().overwrite().save(f"{folder}/stack")
+        if self.calibrator is not None:
+            self.calibrator.save(f"{folder}/calibrator")
+
+    @classmethod
+    def load(cls, folder: str) -> Scorer:
+        return cls(PipelineModel.load(f"{folder}/logistic"), PipelineModel.load(f"{folder}/stack"), Calibrator.load(f"{folder}/calibrator"))
+
+
+def fit_scorer(train: DataFrame, validation: DataFrame, label: str, trees: int = PARAMS.gbt_trees, iterations: int = PARAMS.lr_iterations) -> Scorer:
+    """Regression and trees of the training rows, calibration of the validation rows."""
+    logistic = fit_logistic(train, label, iterations=iterations)
+    stack = fit_stack(with_logistic(logistic, train), label, trees=trees)
+    raw = Scorer(logistic, stack).predict(validation, calibrated=False)
+    return Scorer(logistic, stack, Calibrator(raw, label, "probability"))
+
+
 def blend(binary, intensity):
     """What a page badge shows: the mean of both heads."""
     return 0.5 * F.col(binary) + 0.5 * F.col(intensity)

@@ -43,3 +43,20 @@ def check_no_leakage(df: DataFrame, group: str = "dup_group") -> None:
 def balance(df: DataFrame, label: str = "label_clickbait") -> DataFrame:
     """(split, n, positive_share)."""
     return df.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("positive_share"))
+
+
+def exact_sample(df: DataFrame, share: float, row_id: str = "doc_id", seed: int = 7) -> DataFrame:
+    """df with ``sampled``: true for an exact share of the rows (rounded half to even), those with the smallest hashes.
+
+    Rows are counted by the hash's first 16 bits; only the range in which the share ends is put in order.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), row_id))).withColumn("_range", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
+    counts = hashed.groupBy("_range").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_range")  # 65,536 rows at most
+    ranges = counts.select("_range", "_n", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.bround(F.sum("_n").over(Window.partitionBy()) * F.lit(share), 0).alias("_most"))
+    rows = hashed.join(F.broadcast(ranges), "_range")
+    edge = (F.col("_before") < F.col("_most")) & (F.col("_before") + F.col("_n") > F.col("_most"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", row_id))
+    whole = rows.where(~edge).withColumn("sampled", F.col("_before") < F.col("_most"))
+    part = rows.where(edge).withColumn("sampled", F.col("_before") + place <= F.col("_most"))
+    return whole.unionByName(part).drop("_hash", "_range", "_n", "_before", "_most")

@@ -82,8 +82,11 @@ def below(df: DataFrame, keys: list[str], value: str, sums: dict[str, str]) -> D
     return own.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_range", *[f"_{x}_{n}" for n in sums for x in "bi"])
 
 
-def ranking(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """(keys..., roc_auc, average_precision, n, n_pos). Ties count half in the area; precision is summed at each step of recall."""
+def ranking(df: DataFrame, keys: list[str], y: str, p: str, least: int = 0) -> DataFrame:
+    """(keys..., roc_auc, average_precision, n, n_pos). Ties count half in the area; precision is summed at each step of recall.
+
+    roc_auc is null for one class only, and for fewer than ``least`` rows.
+    """
     tied = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("_pos"), F.count("*").cast("double").alias("_all"))
     curve = below(tied, keys, "_p", {"_pos_below": "_pos", "_all_below": "_all"})
     whole = tied.groupBy(*keys).agg(F.sum("_pos").alias("_pos_n"), F.sum("_all").alias("_n"))
@@ -92,10 +95,28 @@ def ranking(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     step = F.col("_pos") * (F.col("_pos_n") - F.col("_pos_below")) / (F.col("_n") - F.col("_all_below"))
     sums = curve.groupBy(*keys).agg(F.sum(F.col("_pos") * (neg_below + neg / 2)).alias("_area"), F.sum(step).alias("_steps"), F.max("_pos_n").alias("_pos_n"), F.max("_n").alias("_n"))
     pos, n = F.col("_pos_n"), F.col("_n")
-    auc, ap = F.when((pos > 0) & (pos < n), F.col("_area") / (pos * (n - pos))), F.when(pos > 0, F.col("_steps") / pos)
+    auc, ap = F.when((pos > 0) & (pos < n) & (n >= least), F.col("_area") / (pos * (n - pos))), F.when(pos > 0, F.col("_steps") / pos)
     return sums.select(*keys, auc.alias("roc_auc"), ap.alias("average_precision"), n.cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys..., a column for each share, n): exact quantiles, interpolated between neighbours, of the values that are there.
+
+    Values are counted first, and placed by ranges, so that no task holds all values of a key.
+    """
+    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").cast("double").alias("_c"))
+    placed = below(tied, keys, "_v", {"_less": "_c"})
+    whole = tied.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    curve = placed.join(F.broadcast(whole), keys)  # a row for each key
+    at = lambda place: F.max(F.when((F.col("_less") <= place) & (place < F.col("_less") + F.col("_c")), F.col("_v")))
+    out = {}
+    for name, share in shares.items():
+        place = (F.col("_n") - 1) * share
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out[name] = low + (high - low) * part
+    return curve.groupBy(*keys).agg(*[c.alias(k) for k, c in out.items()], F.max("_n").cast("bigint").alias("n"))
+
+
 def thresholded(df: DataFrame, keys: list[str], y: str, p: str, threshold: float = 0.5) -> DataFrame:
     """(keys..., f1, positive_rate, n); f1 is 0 where it is undefined."""
     hit, true = (F.col(p) >= threshold).cast("double"), F.col(y).cast("double")

@@ -90,6 +90,9 @@ TEMPLATES = ("{e} announces new transport plan", "{e} slams rivals in long debat
 SIDES = (("Biden", "Trump"), ("Democrats", "Republicans"), ("the left", "the right"), ("liberal", "conservative"))
 BASES = ("Council passes bridge bill in close vote", "Central bank keeps rates unchanged", "Court upholds ruling in zoning case")
 DEVICES = ("You won't believe this: {b}", "SHOCKING: {b} — what happened next will surprise you")
+ARCHETYPES = ("Council approves budget for road repairs", "Guess what the council approved", "SHOCKING: you won't believe this heartbreaking secret!!!")
+_FULL = lambda v, last="false", more="": "{" + ", ".join(f'"{d}": {v}' for d in DIMS) + f', "out_of_scope": {last}' + more + "}"
+RESPONSES = (_FULL(0), _FULL(2, "true"), _FULL(3), _FULL('"1"'), _FULL(1, "0"), _FULL(1, more=', "note": 1'), "{}", "no object", "[1]", None, _FULL(1.5), _FULL("null"))
 VOTE = "(doc_id * 7 + k * 3 + {i}) % 3"
 LABEL_TEXT = "['7', '1', NULL, 'abc', '1.5', '2.5', '-3', 'NaN']"
 
@@ -181,3 +184,36 @@ ORACLE: dict[str, str] = {
     "label_counts": f"WITH {LABELLED_SQL} SELECT label, count(*) AS n, round(avg(intensity), 6) AS mean_intensity, round(avg(CAST(length(body) > 0 AS DOUBLE)), 6) AS with_body FROM labelled GROUP BY label",
     "sample_tables": "SELECT * FROM (VALUES ('headlines', 0, 250), ('headlines', 1, 250), ('posts', 0, 120), ('posts', 1, 120)) v(kind, label_clickbait, n)",
 }
+
+_PAGES = f"hh AS ({ORACLE['html_headlines']})"
+_SAMPLED = "o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM probe)"
+_MIDDLE = lambda i: "list_sort([" + ", ".join(f"(length(headline) * 7 + {k} * {i + 2} + {i}) % 3" for k in (1, 2, 3)) + "])[2]"
+
+ORACLE |= {
+    "page_scores": f"WITH {_PAGES}, {scored('hh')} SELECT page_id, place, regexp_replace(headline, {quoted('(?i)' + X.alternation(X.ENTITIES))}, '{X.MASK}', 'g') AS masked, round({SCORE}, 6) AS score, CASE WHEN {SCORE} >= {real(0.65)} THEN 'red' WHEN {SCORE} >= {real(0.35)} THEN 'amber' ELSE 'green' END AS colour FROM scored",
+    "delivery_gap": f"""WITH {PROBE_SQL}, {WINDOWS}, o AS (SELECT doc_id, n_windows, idx, w, len(list_intersect(h, b)) / CAST(greatest(1, len(h)) AS DOUBLE) AS e, len(list_intersect(b, ['not', 'no', 'never', 'none'])) > 0 AS neg FROM (SELECT doc_id, n_windows, idx, w, {HEAD_WORDS('headline')} AS h, {HEAD_WORDS('w')} AS b FROM win)),
+        m AS (SELECT doc_id, max(n_windows) AS n_windows, max(e) AS d, max(CASE WHEN neg THEN (1 - e) / 2 ELSE 0 END) AS c FROM o GROUP BY doc_id),
+        x AS (SELECT doc_id, w FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY e DESC, idx) AS k FROM o) WHERE k = 1)
+        SELECT p.doc_id, p.headline, round(d, 3) AS delivery_score, round(1 - d, 3) AS gap_score, round(c, 3) AS max_contradiction, CASE WHEN d IS NULL THEN NULL WHEN d >= 0.6 THEN 'delivered' WHEN c >= 0.5 OR (d < 0.3 AND c >= 0.15) THEN 'overpromises' WHEN d >= 0.3 THEN 'partially_supported' ELSE 'not_directly_supported' END AS verdict,
+            substr(x.w, 1, 280) AS best_window, CAST(n_windows AS BIGINT) AS n_windows, CASE WHEN d IS NULL THEN 'empty body' END AS error FROM probe p LEFT JOIN m USING (doc_id) LEFT JOIN x USING (doc_id)""",
+    "validation_remainder": f"WITH {PROBE_SQL}, {_SAMPLED} SELECT doc_id, CASE WHEN k <= round_even(n * {real(0.15)}, 0) THEN 'val' ELSE 'train' END AS part FROM o",
+    "guarded_auc": f"""{EVAL}, g AS (SELECT *, doc_id % 40 AS part FROM e), k AS (SELECT part FROM g GROUP BY part HAVING count(*) >= 8)
+        SELECT a.part, round(sum(CASE WHEN a.p > b.p THEN {real(1.0)} WHEN a.p = b.p THEN {real(0.5)} ELSE {real(0.0)} END) / count(*), 6) AS roc_auc FROM g a JOIN g b ON a.part = b.part AND a.label = 1 AND b.label = 0 JOIN k ON k.part = a.part GROUP BY a.part""",
+    "label_schema_check": f"""WITH r AS (SELECT doc_id, list_extract([{', '.join('NULL' if r is None else quoted(r) for r in RESPONSES)}], CAST(doc_id % {len(RESPONSES)} + 1 AS INTEGER)) AS r FROM documents)
+        SELECT doc_id, coalesce(CASE WHEN json_valid(r) THEN json_type(r) = 'OBJECT' AND list_sort(json_keys(r)) = [{', '.join(map(quoted, sorted((*DIMS, 'out_of_scope'))))}] AND json_type(r, '$.out_of_scope') = 'BOOLEAN' AND {' AND '.join(f"json_type(r, '$.{d}') IN ('UBIGINT', 'BIGINT') AND json_extract_string(r, '$.{d}') IN ('0', '1', '2')" for d in DIMS)} END, false) AS valid FROM r""",
+    "labelling_loop": f"""WITH {PROBE_SQL}, r AS (SELECT doc_id, headline FROM probe ORDER BY doc_id LIMIT 500), c AS (SELECT headline, max(doc_id) AS last FROM probe WHERE doc_id % 3 = 0 GROUP BY headline),
+        a AS (SELECT r.doc_id, headline, last, last IS NULL AND r.doc_id = min(r.doc_id) OVER (PARTITION BY headline) AS asked FROM r LEFT JOIN c USING (headline)),
+        s AS (SELECT *, coalesce(sum(CASE WHEN asked THEN 3 * length(headline) ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM a),
+        run AS (SELECT * FROM s WHERE doc_id < coalesce((SELECT min(doc_id) FROM s WHERE asked AND spent >= 20000), 9223372036854775807))
+        SELECT doc_id, asked, CAST(spent AS BIGINT) AS spent, {', '.join(f'CAST(CASE WHEN last IS NULL THEN {_MIDDLE(i)} ELSE (last + {i}) % 3 END AS INTEGER) AS {d}' for i, d in enumerate(DIMS))}, CASE WHEN last IS NULL THEN length(headline) % 2 = 1 ELSE last % 2 = 0 END AS out_of_scope FROM run""",
+    "labels_present": f"WITH {PROBE_SQL} SELECT count(*) AS n, count(*) FILTER (headline IN (SELECT headline FROM probe WHERE doc_id % 4 = 0)) AS n_labelled FROM probe",
+    "gated_targets": f"""WITH gate AS ({ORACLE['gold_gate']}), {SCORED.removeprefix('WITH ')}
+        SELECT doc_id, {', '.join(f"CASE WHEN (SELECT usable FROM gate WHERE dimension = '{d}') AND doc_id % 4 = 0 AND doc_id % 8 <> 0 THEN (doc_id % 3) / {real(2.0)} ELSE s_{d} END AS target_{d}" for d in DIMS)} FROM scored""",
+    "score_records": f"""{SCORED}, d AS (SELECT doc_id, {SCORE} AS score, {BAND} AS band, unnest([{', '.join(f"{{'s': s_{d}, 'i': {i}, 'd': '{d}'}}" for i, d in enumerate(DIMS))}]) AS e FROM scored)
+        SELECT doc_id, round(any_value(score), 3) AS manipulation_score, any_value(band) AS intensity, coalesce(string_agg(e.d, ',' ORDER BY e.s DESC, e.i) FILTER (e.s >= {real(0.6)}), '') AS detected, 'rules-fallback' AS model FROM d GROUP BY doc_id""",
+    "archetype_order": f"""WITH src AS (SELECT unnest(range({len(ARCHETYPES)})) AS place, unnest([{', '.join(map(quoted, ARCHETYPES))}]) AS headline), {scored('src')}, z AS (SELECT place, round({SCORE}, 6) AS score FROM scored)
+        SELECT CAST(place AS INTEGER) AS place, score, score BETWEEN 0 AND 1 AS in_range, coalesce(score > lag(score) OVER (ORDER BY place), true) AS above FROM z""",
+    "feedback_queue": f"""WITH {PROBE_SQL}, r AS (SELECT headline, list_extract(['agree', 'too_high', 'bad', NULL], CAST(doc_id % 4 + 1 AS INTEGER)) AS v, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE body END AS c FROM probe),
+        x AS (SELECT coalesce(length(headline) BETWEEN 1 AND 500 AND v IN ('agree', 'too_high', 'too_low') AND (c IS NULL OR length(c) <= 1000), false) AS ok FROM r)
+        SELECT count(*) FILTER (ok) AS queued, count(*) FILTER (ok) AS stamped, count(*) FILTER (NOT ok) AS refused FROM x""",
+}

@@ -34,8 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, headline, body)."""
-    # a sentence that ends within 300 characters shows it within 302; a longer one is cut
-    sentence = F.substring(F.split(F.substring("text", 1, 302), r"(?<=[.!?])[ \n\t\r]", 2)[0], 1, 300)
+    sentence = F.split("text", r"(?<=[.!?])[ \n\t\r]", 2)[0]
     begin = F.element_at(F.array(*[F.lit(b) for b in BEGINNINGS]), (F.col("doc_id") % 12 + 1).cast("int"))
     return documents(spark, sf_dir).select("doc_id", "lang", F.concat(begin, sentence).alias("headline"), F.col("text").alias("body"))
 
@@ -53,7 +52,7 @@ def quoted(text: str) -> str:
 
 PROBE_SQL = f"""probe AS (
     SELECT doc_id, lang, list_extract([{", ".join(map(quoted, BEGINNINGS))}], CAST(doc_id % 12 + 1 AS INTEGER))
-        || substr(coalesce(nullif(regexp_extract(text, {quoted(SENTENCE)}, 1), ''), text), 1, 300) AS headline, text AS body
+        || coalesce(nullif(regexp_extract(text, {quoted(SENTENCE)}, 1), ''), text) AS headline, text AS body
     FROM documents
 )"""
 LABELLED_SQL = f"""{PROBE_SQL}, labelled AS (

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
@@ -13,7 +14,7 @@ from ..functions.lexicon import DIMENSIONS as DIMS
 from ..operators import contracts, dedup, delivery, labels, models, split, stats
 from ..sources import io
 from ..streaming import feedback
-from .oracle import BASES, DEVICES, SIDES, TEMPLATES
+from .oracle import ARCHETYPES, BASES, DEVICES, RESPONSES, SIDES, TEMPLATES
 from .probe import labelled, probe
 
 BUDGET = 20_000
@@ -331,9 +332,13 @@ def coerced_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", contracts.coerce_label(F.element_at(raw, (F.col("doc_id") % 8 + 1).cast("int"))).alias("label"))
 
 
-def request_validation(spark, d):
+def feedback_rows(spark, d) -> DataFrame:
     verdicts = F.array(*[F.lit(v) for v in ("agree", "too_high", "bad", None)])
-    rows = probe(spark, d).withColumn("user_verdict", F.element_at(verdicts, (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("comment", F.when(F.col("doc_id") % 6 != 0, F.col("body")))
+    return probe(spark, d).withColumn("user_verdict", F.element_at(verdicts, (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("comment", F.when(F.col("doc_id") % 6 != 0, F.col("body")))
+
+
+def request_validation(spark, d):
+    rows = feedback_rows(spark, d)
     counts = lambda k: contracts.with_validity(rows, k).agg(F.sum(F.col("valid").cast("bigint")).alias("accepted"), F.sum((~F.col("valid")).cast("bigint")).alias("rejected")).select(F.lit(k).alias("kind"), "accepted", "rejected")
     return counts("score").unionAll(counts("delivery_gap")).unionAll(counts("feedback"))
 
@@ -344,8 +349,8 @@ def feedback_windows(spark, d):
 
 
 def latency_percentiles(spark, d):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(q[0], 6).alias("p50"), F.round(q[1], 6).alias("p95"), F.count("value").alias("n"))
+    q = stats.quantiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return q.select("event_type", six(F.col("p50"), "p50"), six(F.col("p95"), "p95"), "n")
 
 
 def max_abs_difference(spark, d):
@@ -360,10 +365,84 @@ def union_frames(spark, d):
 
 
 def hash_sample(spark, d):
-    """An exact share of the rows, in the order of a hash: the sampling operator."""
-    rows = probe(spark, d).select("doc_id")
-    n = int(rows.agg(F.bround(F.count("*") * F.lit(0.15), 0)).first()[0])
-    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(7), "doc_id")), "doc_id").limit(n)
+    """An exact share of the rows, by a hash: the sampling operator."""
+    return split.exact_sample(probe(spark, d).select("doc_id"), 0.15).where("sampled").select("doc_id")
+
+
+def validation_remainder(spark, d):
+    """A validation sample, and the training rows that are left."""
+    rows = split.exact_sample(probe(spark, d).select("doc_id"), 0.15)
+    return rows.select("doc_id", F.when(F.col("sampled"), "val").otherwise("train").alias("part"))
+
+
+def guarded_auc(spark, d):
+    """The area under the curve of groups that have at least eight rows and both classes."""
+    rows = evaluated(spark, d).withColumn("part", F.col("doc_id") % 40)
+    return stats.ranking(rows, ["part"], "label", "p", least=8).where("roc_auc IS NOT NULL").select("part", six(F.col("roc_auc"), "roc_auc"))
+
+
+def label_schema_check(spark, d):
+    responses = F.array(*[F.lit(r) for r in RESPONSES])
+    rows = table(spark, d, "documents").select("doc_id", F.element_at(responses, (F.col("doc_id") % len(RESPONSES) + 1).cast("int")).alias("response"))
+    return rows.select("doc_id", contracts.meets_label_schema(F.col("response")).alias("valid"))
+
+
+def labelling_loop(spark, d):
+    """A run of an annotator that answers by a headline's length: cache, votes of three samples, and a budget."""
+    rows = probe(spark, d).select("doc_id", "headline")
+    known = rows.where("doc_id % 3 = 0").select(text.cache_key("model", "1", "headline").alias("key"), *[((F.col("doc_id") + i) % 3).cast("int").alias(x) for i, x in enumerate(DIMS)], (F.col("doc_id") % 2 == 0).alias("out_of_scope"), F.col("doc_id").alias("line_no"))
+
+    def annotate(asked: DataFrame, n: int) -> DataFrame:
+        each = asked.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        size = F.length("headline")
+        return each.select("key", *[((size * 7 + F.col("k") * (i + 2) + i) % 3).cast("int").alias(x) for i, x in enumerate(DIMS)], ((size + F.col("k")) % 2 == 0).alias("out_of_scope"))
+
+    found, _ = labels.labelling_run(rows, known, "model", annotate, F.length("headline"), budget=BUDGET)
+    return found.select("doc_id", "asked", F.col("spent").cast("bigint").alias("spent"), *DIMS, "out_of_scope")
+
+
+def labels_present(spark, d):
+    rows = probe(spark, d)
+    return labels.coverage(rows, rows.where("doc_id % 4 = 0"))
+
+
+def gated_targets(spark, d):
+    """Targets by labels in the dimensions that the gold labels confirm."""
+    rows = probe(spark, d).withColumn("own", F.concat_ws(" ", "headline", F.col("doc_id").cast("string")))
+    known = rows.where("doc_id % 4 = 0").select(F.col("own").alias("headline"), *[(F.col("doc_id") % 3).cast("int").alias(x) for x in DIMS], (F.col("doc_id") % 8 == 0).alias("out_of_scope"), F.lit(1).alias("line_no"))
+    found = labels.gated_targets(rows.select("doc_id", F.col("own").alias("headline")), known, gold_gate(spark, d))
+    return found.select("doc_id", *[f"target_{x}" for x in DIMS])
+
+
+def score_records(spark, d):
+    rows = rules.with_score_record(probe(spark, d))
+    return rows.select("doc_id", "manipulation_score", "intensity", F.array_join("detected_techniques", ",").alias("detected"), "model")
+
+
+def trained_scores(spark, d):
+    """Scoring records by a model that was trained, saved and loaded again."""
+    rows = model_rows(spark, d)
+    one = lambda name: rows.where(F.col("split") == name)
+    dedup._checkpoint_dir(rows)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scorer-{uuid.uuid4().hex}"
+    models.fit_scorer(one("train"), one("val"), "bait").save(folder)
+    found = rules.with_score_record(models.Scorer.load(folder).predict(one("test")), probability="probability")
+    return found.select("doc_id", "bait", "manipulation_score", "intensity", F.array_join("detected_techniques", ",").alias("detected"), "model")
+
+
+def archetype_order(spark, d):
+    """Scores of headlines from sober to shrill: each in range, each above the one before."""
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(ARCHETYPES)], "place int, headline string")
+    found = rules.with_scores(rows).withColumn("score", F.round(rules.rules_score(), 6))
+    before = F.lag("score").over(Window.orderBy("place"))  # three rows
+    return found.select("place", "score", F.col("score").between(0, 1).alias("in_range"), F.coalesce(F.col("score") > before, F.lit(True)).alias("above"))
+
+
+def feedback_queue(spark, d):
+    """Events that the queue takes, each with the time at which it came in, and those that it refuses."""
+    taken, refused = feedback.valid_feedback(feedback_rows(spark, d))
+    counts = feedback.stamped(taken).agg(F.count("*").alias("queued"), F.count("ts").alias("stamped"))
+    return counts.crossJoin(refused.agg(F.count("*").alias("refused")))  # one row each
 
 
 def label_counts(spark, d):
@@ -383,7 +462,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         near_dup_pairs_exact, near_dup_groups, near_dup_lsh, near_dup_lsh_candidates, group_split, split_balance, leakage_check, graded_posts, dry_run_labels, label_cache_reuse, label_median_vote, budget_cutoff, request_cost,
         agreement_alpha, gold_gate, label_override, ece, roc_auc, average_precision, f1_report, spearman_mae, multitask_eval_loss, rule_baseline_eval, body_windows, delivery_verdict, delivery_gap, html_headlines, page_scores,
         entity_swap_invariance, directional_lift, ensemble_blend, tfidf_idf_table, tfidf_logreg, gbt_stack, isotonic_calibration, basic_tokens, word_pieces, coerced_labels, request_validation, feedback_windows,
-        latency_percentiles, max_abs_difference, union_frames, hash_sample, label_counts, sample_tables,
+        latency_percentiles, max_abs_difference, union_frames, hash_sample, label_counts, sample_tables, validation_remainder, guarded_auc, label_schema_check, labelling_loop, labels_present, gated_targets,
+        score_records, trained_scores, archetype_order, feedback_queue,
     )
 } | {"shingles": shingle_counts}
 QUERIES["group_split"] = lambda spark, d: group_split(spark, d).select("doc_id", "dup_group", "split")

@@ -59,22 +59,29 @@ def train(spark: SparkSession, folder: str, trees: int = PARAMS.gbt_trees, itera
     """report: measures of rules, regression, boosted trees and calibrated trees by set; models are saved beside it."""
     rows = spark.read.parquet(f"{folder}/processed")
     one = lambda name: rows.where(F.col("split") == name)
-    logistic = models.fit_logistic(one("train"), "label_clickbait", iterations=iterations)
+    scorer = models.fit_scorer(one("train"), one("val"), "label_clickbait", trees, iterations)
     keep = ["headline", "split", "label_clickbait", "lr_prob", *rules.FEATURES]
-    scored = models.with_logistic(logistic, rows).select(*keep)
-    stack = models.fit_stack(scored.where("split = 'train'"), "label_clickbait", trees=trees)
-    boosted = models.with_stack(stack, scored).select(*keep, "gbt_prob")
-    fitted = models.Calibrator(boosted.where("split = 'val'"), "label_clickbait", "gbt_prob")
-    final = rules.with_scores(fitted.transform(boosted, "gbt_prob")).withColumn("rules_prob", rules.rules_baseline())
+    boosted = models.with_stack(scorer.stack, models.with_logistic(scorer.logistic, rows).select(*keep)).select(*keep, "gbt_prob")
+    final = rules.with_scores(scorer.calibrator.transform(boosted, "gbt_prob")).withColumn("rules_prob", rules.rules_baseline())
     ladder = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p")) for n, c in (("rules", "rules_prob"), ("logistic", "lr_prob"), ("boosted", "gbt_prob"), ("calibrated", "calibrated"))]))
     long = final.where("split <> 'train'").select("split", "label_clickbait", ladder.alias("m")).select("split", "label_clickbait", "m.model", "m.p")
     report = stats.report(long, ["split", "model"], "label_clickbait", "p")
-    logistic.write().overwrite().save(f"{folder}/models/logistic")
-    stack.write().overwrite().save(f"{folder}/models/stack")
+    scorer.save(f"{folder}/models")
     report.write.mode("overwrite").json(f"{folder}/report")
     return spark.read.json(f"{folder}/report")
 
 
+def score(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """rows with the scoring record, by the saved model if there is one, else by the rules."""
+    try:
+        scorer = models.Scorer.load(f"{folder}/models")
+    except Exception as missing:
+        if not any(s in str(missing) for s in ("PATH_NOT_FOUND", "does not exist")):
+            raise
+        return rules.with_score_record(rows)
+    return rules.with_score_record(scorer.predict(rows), probability="probability")
+
+
 def label_headlines(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """labels: dry-run labels of the training headlines, with what the cache holds; new ones are appended to it."""
     cache = f"{folder}/label_cache"

@@ -27,6 +27,22 @@ def append_feedback(spark: SparkSession, source: str, target: str, checkpoint: s
     return accepted.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(target)
 
 
+def stamped(rows: DataFrame) -> DataFrame:
+    """rows with ``ts``, the seconds at which they came in, where they have none."""
+    now = F.unix_micros(F.current_timestamp()) / 1e6
+    return rows.withColumn("ts", F.coalesce(F.col("ts"), now) if "ts" in rows.columns else now)
+
+
+def queue_count(spark: SparkSession, path: str) -> int:
+    """Events in the queue; none if there is no queue yet."""
+    try:
+        return spark.read.text(path).count()
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return 0
+
+
 def verdict_windows(events: DataFrame, ts: str, kind: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """(window_start, kind, n) by tumbling windows; the same plan serves a stream (late bounds its state) and a batch."""
     rows = events.withWatermark(ts, late) if events.isStreaming else events
