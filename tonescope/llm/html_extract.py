@@ -33,9 +33,10 @@ from .common import tune
 _QUOTED = r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:({_QUOTED})>|([^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:@-][^\s=/>]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HEAD_END = re.compile(r"</head(?=[\s>])|<body(?=[\s>])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: No text of theirs is ever shown as text.
-SILENT = frozenset("script style template noscript title svg math iframe object canvas audio video".split())
+SILENT = frozenset("script style template noscript title svg iframe canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: A start tag ends these open elements.
 _LISTS, _CELLS = frozenset(("ul", "ol", "menu", "dl")), frozenset(("table",))
@@ -143,9 +144,14 @@ class Page:
                     lower = text.lower()
                     if len(lower) != end:  # a letter whose small form is longer
                         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-                close = lower.find(f"</{tag}", at)
-                if tag == "head" and close < 0:
-                    continue
+                if tag == "head":  # its end tag may be left out
+                    found = _HEAD_END.search(lower, at)
+                    if found is None:
+                        continue
+                    if found[0] == "<body":
+                        at = found.start()
+                        continue
+                close = found.start() if tag == "head" else lower.find(f"</{tag}", at)
                 stop = text.find(">", close) if close >= 0 else -1
                 at = stop + 1 if stop >= 0 else end
                 continue
