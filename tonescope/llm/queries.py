@@ -54,6 +54,12 @@ def op6_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), minhash.NearDup(percent=85, shingle=3))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op4_quality_rules alone, which SQL can express."""
+    rows = quality.score_quality(documents(spark, sf_dir), quality.KEEPS_ALL, keep=["doc_id"])
+    return rows.select("doc_id", *quality.COUNTS, "base_failed")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = Scratch(docs.sparkSession)(packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, length=2048))
     return packing.pack(pieces, length=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -89,9 +95,55 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_flat_graph": op10_flat_graph,
+    "quality_counts": quality_counts,
 }
 
+WORD = r"[^\x20\x09-\x0D]+"
+#: From link (a, b), a < b, and node (id): the smallest id that each reaches.
+REACHED = """both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(id, m) AS (SELECT id, id FROM node UNION SELECT l.b, r.m FROM reach r JOIN both_ways l ON l.a = r.id WHERE r.m < l.b),
+        component AS (SELECT id, min(m) AS component_id FROM reach GROUP BY id)"""
+
 SQL: dict[str, str] = {
+    "op6_minhash_odd_sketch": f"""
+        WITH RECURSIVE t AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+        sh AS (
+            SELECT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s
+            FROM t
+        ),
+        node AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+        pair AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN node x ON x.id = a JOIN node y ON y.id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        {REACHED}
+        SELECT t.id AS doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, t.id) AS component_id, coalesce(component_id, t.id) = t.id AS kept
+        FROM t LEFT JOIN node USING (id) LEFT JOIN component USING (id)
+    """,
+    "op10_flat_graph": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        node AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT x.id AS a, y.id AS b FROM node x JOIN node y ON x.label = y.label AND len(x.e) = len(y.e) AND x.id < y.id WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.98),
+        {REACHED},
+        degree AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN component ON component.id = vec_id LEFT JOIN degree ON degree.id = vec_id
+    """,
+    "quality_counts": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+        l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM t),
+        g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
+        c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM g),
+        p AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM c, range(3) r(d) WHERE k > 1 GROUP BY doc_id),
+        n AS (
+            SELECT t.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
+            FROM t JOIN l USING (doc_id) LEFT JOIN p USING (doc_id)
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
         d AS (
