@@ -26,11 +26,11 @@ def _word_grams(text, most: int = PARAMS.word_ngram_max):
     return F.concat(found, *[runs(n) for n in range(2, most + 1)])
 
 
-def idf_table(df: DataFrame, headline: str = "headline", least: int = 1, most: int = PARAMS.word_ngram_max, accents: bool = False) -> DataFrame:
-    """(term, df, idf) of masked lower-case runs of 1 to most words; idf = ln((1 + n) / (1 + df)) + 1."""
-    masked = rules.mask_entities(headline)
-    terms = df.select((F.lower(masked) if accents else strip_accents(F.lower(masked))).alias("text")).select(F.array_distinct(_word_grams("text", most)).alias("terms"))
-    counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+def idf_table(df: DataFrame, headline: str = "headline", most: int = PARAMS.word_ngram_max) -> DataFrame:
+    """(term, df, idf) of masked lower-case runs of 1 to most words without accents; idf = ln((1 + n) / (1 + df)) + 1."""
+    plain = strip_accents(F.lower(rules.mask_entities(headline)))
+    terms = df.select(plain.alias("text")).select(F.array_distinct(_word_grams("text", most)).alias("terms"))
+    counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("n"))
     return counts.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
@@ -89,7 +89,7 @@ def with_stack(model: PipelineModel, scored: DataFrame) -> DataFrame:
 
 
 class Calibrator:
-    """Isotonic regression from 200 rows on, else a logistic curve."""
+    """Isotonic regression from ``least`` rows on, else a logistic curve."""
 
     method: str
 
@@ -107,10 +107,10 @@ class Calibrator:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/{self.method}")
 
-    def __init__(self, df: DataFrame, label: str, p: str):
+    def __init__(self, df: DataFrame, label: str, p: str, least: int = 200):
         rows = df.select(F.col(label).cast("double").alias("label"), F.col(p).alias("_x"))
         n = rows.count()
-        self.method = "isotonic" if n >= 200 else "sigmoid"
+        self.method = "isotonic" if n >= least else "sigmoid"
         if self.method == "isotonic":
             self.model = IsotonicRegression(featuresCol="_x", labelCol="label", predictionCol="calibrated").fit(rows)
         else:

@@ -63,6 +63,14 @@ SPANS = "\nUNION ALL ".join(
     + [span_part(DIMS[5], X.CAPS, keep=f"m[k] NOT IN ({', '.join(map(quoted, X.ACRONYMS))})"), span_part(DIMS[5], X.MARKS), span_part(DIMS[5], "(?i)" + X.LISTICLE, True), span_part(DIMS[5], "(?i)" + X.NUMBER_TEASE, True)]
 )
 
+MASKED = f"masked AS (SELECT doc_id, regexp_replace(headline, {quoted('(?i)' + X.alternation(X.ENTITIES))}, 'entitytoken', 'g') AS h FROM probe)"
+#: All rows of ``found`` of one document, in order, each kept that begins at or behind the end of the last one kept.
+MARKED = """marked AS (
+    SELECT doc_id, list_reduce(list([{'start': span_start, 'end': span_end}] ORDER BY span_start, span_end DESC), lambda kept, x: CASE WHEN x[1].start >= kept[len(kept)]."end" THEN list_concat(kept, x) ELSE kept END) AS marks, count(*) AS n
+    FROM found GROUP BY doc_id
+)"""
+ALL_SPANS = "\nUNION ALL ".join([span_part("", "(?i)" + X.alternation(ts)) for ts in X.LEXICONS.values()] + [span_part("", X.MARKS)])
+
 TEXTS = f"WITH RECURSIVE {PROBE_SQL}, named AS (SELECT doc_id, {NORM} AS norm FROM probe), texts AS (SELECT norm, min(doc_id) AS rep FROM named GROUP BY norm)"
 SHINGLED = "sh AS (SELECT rep, unnest(CASE WHEN length(norm) <= 3 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm) - 1), lambda i: substr(norm, i, 3))) END) AS s FROM texts), sz AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep)"
 PAIRS = """pairs AS (
@@ -106,6 +114,9 @@ ORACLE: dict[str, str] = {
     "intensity_bands": f"{SCORED} SELECT {BAND} AS band, count(*) AS n, round(min({SCORE}), 6) AS low, round(max({SCORE}), 6) AS high FROM scored GROUP BY ALL",
     "detected_techniques": f"""{SCORED}, d AS (SELECT doc_id, unnest([{', '.join(f"{{'s': s_{d}, 'i': {i}, 'd': '{d}'}}" for i, d in enumerate(DIMS))}]) AS e FROM scored)
         SELECT doc_id, count(*) FILTER (e.s >= {real(0.6)}) AS n_detected, coalesce(string_agg(e.d, ',' ORDER BY e.s DESC, e.i) FILTER (e.s >= {real(0.6)}), '') AS detected FROM d GROUP BY doc_id""",
+    "highlight_spans": f"""WITH {PROBE_SQL}, t AS (SELECT doc_id, headline, regexp_replace(headline, {quoted(LATIN)}, 'x', 'g') AS t FROM probe),
+        found AS (SELECT DISTINCT doc_id, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end, span_text FROM ({ALL_SPANS})), {MARKED}
+        SELECT doc_id, coalesce(n, 0) AS n_spans, coalesce(len(marks), 0) AS n_marks, coalesce(CAST(to_json(marks) AS VARCHAR), '[]') AS marks FROM probe LEFT JOIN marked USING (doc_id)""",
     "entity_mask": f"""WITH {PROBE_SQL}, t AS (SELECT doc_id, headline, regexp_extract_all(regexp_replace(headline, {quoted(LATIN)}, 'x', 'g'), {quoted('(?i)' + X.alternation(X.ENTITIES))}) AS m FROM probe)
         SELECT doc_id, CAST(len(m) AS BIGINT) AS n_entities, CAST(length(headline) - coalesce(list_sum(list_transform(m, lambda x: length(x))), 0) + 11 * len(m) AS BIGINT) AS masked_length FROM t""",
     "clean_headlines": f"WITH {PROBE_SQL}, s AS (SELECT doc_id, trim(headline, {BLANK}) AS headline FROM probe) SELECT min(doc_id) AS doc_id, headline FROM s WHERE length(headline) BETWEEN 12 AND 300 GROUP BY headline",
@@ -168,8 +179,17 @@ ORACLE: dict[str, str] = {
     "directional_lift": f"""WITH src AS (SELECT b, d, unnest(['base', 'hyped']) AS kind, unnest([b, replace(d, '{{b}}', b)]) AS headline FROM (SELECT unnest([{', '.join(map(quoted, BASES))}]) AS b), (SELECT unnest([{', '.join(map(quoted, DEVICES))}]) AS d)),
         {scored('src')} SELECT b AS base, d AS device, round(max(CASE WHEN kind = 'hyped' THEN {SCORE} END) - max(CASE WHEN kind = 'base' THEN {SCORE} END), 6) AS lift, max(CASE WHEN kind = 'hyped' THEN {SCORE} END) - max(CASE WHEN kind = 'base' THEN {SCORE} END) >= 0.05 AS holds FROM scored GROUP BY ALL""",
     "ensemble_blend": f"{EVAL}, z AS (SELECT doc_id, {real(0.5)} * p + {real(0.5)} * intensity AS x FROM e) SELECT doc_id, round(x, 6) AS blend, CASE WHEN x >= {real(0.65)} THEN 'red' WHEN x >= {real(0.35)} THEN 'amber' ELSE 'green' END AS colour FROM z",
-    "tfidf_idf_table": f"""WITH {PROBE_SQL}, m AS (SELECT doc_id, regexp_replace(headline, {quoted('(?i)' + X.alternation(X.ENTITIES))}, 'entitytoken', 'g') AS h FROM probe), w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(h), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: length(x) >= 2)) AS term FROM m)
-        SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM probe)) / CAST(1 + count(*) AS DOUBLE)) + 1, 6) AS idf FROM w GROUP BY term HAVING count(*) >= 2""",
+    "tfidf_idf_table": f"""WITH {PROBE_SQL}, {MASKED}, w AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(h)), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: length(x) >= 2) AS w FROM masked),
+        g AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w)
+        SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM probe)) / CAST(1 + count(*) AS DOUBLE)) + 1, 6) AS idf FROM g GROUP BY term""",
+    "basic_tokens": f"""WITH {PROBE_SQL}, {MASKED}, t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(h)), '[\\p{{P}}\\p{{S}}]|[^\\s\\p{{Z}}\\p{{P}}\\p{{S}}]+') AS t FROM masked)
+        SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM t""",
+    "isotonic_calibration": f"""{EVAL}, x AS (SELECT p, count(*) AS n, sum(label) AS s FROM e GROUP BY p),
+        c AS (SELECT p, row_number() OVER w AS i, sum(n) OVER w AS n, sum(s) OVER w AS s FROM x WINDOW w AS (ORDER BY p)),
+        run AS (SELECT a.i AS i, b.i AS j, (b.s - coalesce(z.s, 0)) / CAST(b.n - coalesce(z.n, 0) AS DOUBLE) AS mean FROM c a JOIN c b ON b.i >= a.i LEFT JOIN c z ON z.i = a.i - 1),
+        low AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS least FROM run),
+        fit AS (SELECT j AS i, max(least) AS calibrated FROM low GROUP BY j)
+        SELECT doc_id, label, round(e.p, 6) AS p, round(calibrated, 6) AS calibrated FROM e JOIN c ON c.p = e.p JOIN fit USING (i)""",
     "coerced_labels": f"""WITH r AS (SELECT doc_id, list_extract({LABEL_TEXT}, CAST(doc_id % 8 + 1 AS INTEGER)) AS raw FROM documents), n AS (SELECT doc_id, raw, TRY_CAST(raw AS DOUBLE) AS x FROM r)
         SELECT doc_id, CAST(CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE greatest(0, least(2, round_even(x, 0))) END AS INTEGER) AS label FROM n""",
     "request_validation": f"""WITH {PROBE_SQL}, r AS (SELECT headline, body, list_extract(['agree', 'too_high', 'bad', NULL], CAST(doc_id % 4 + 1 AS INTEGER)) AS v, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE body END AS c FROM probe)

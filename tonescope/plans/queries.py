@@ -71,7 +71,7 @@ def highlight_spans(spark, d):
     """Spans to mark: overlapping ones resolved."""
     found = F.array_distinct(F.flatten(F.array(*[text.spans("headline", "(?iU)" + X.alternation(ts)) for ts in X.LEXICONS.values()], text.spans("headline", X.MARKS))))
     marked = rules.mark_spans(found)
-    return probe(spark, d).select("doc_id", F.size(found).alias("n_spans"), F.size(marked).alias("n_marks"), F.to_json(marked).alias("marks"))
+    return probe(spark, d).select("doc_id", F.size(found).cast("bigint").alias("n_spans"), F.size(marked).cast("bigint").alias("n_marks"), F.to_json(marked).alias("marks"))
 
 
 def clean_headlines(spark, d):
@@ -281,8 +281,7 @@ def ensemble_blend(spark, d):
 
 
 def tfidf_idf_table(spark, d):
-    """As its SQL has it: single words of two headlines or more, with accents."""
-    return models.idf_table(probe(spark, d), least=2, most=1, accents=True).select("term", "df", six(F.col("idf"), "idf"))
+    return models.idf_table(probe(spark, d)).select("term", "df", six(F.col("idf"), "idf"))
 
 
 def model_rows(spark, d) -> DataFrame:
@@ -308,13 +307,13 @@ def gbt_stack(spark, d):
 
 def isotonic_calibration(spark, d):
     rows = evaluated(spark, d)
-    fitted = models.Calibrator(rows, "label", "p")
-    return fitted.transform(rows.select("doc_id", "label", "p"), "p")
+    fitted = models.Calibrator(rows, "label", "p", least=1)
+    return fitted.transform(rows.select("doc_id", "label", "p"), "p").select("doc_id", "label", six(F.col("p"), "p"), six(F.col("calibrated"), "calibrated"))
 
 
 def basic_tokens(spark, d):
     tokens = tokenizer.basic_tokens(rules.mask_entities("headline"))
-    return probe(spark, d).select("doc_id", F.size(tokens).alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
+    return probe(spark, d).select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
 
 
 def word_pieces(spark, d):
