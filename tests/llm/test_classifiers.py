@@ -108,3 +108,39 @@ def test_shouting_is_of_the_whole_text():
     shouts = lambda text: toxicity.votes_of(text, set(), {})[toxicity.LEXICONS + 3]
     assert shouts("quiet words " * 200 + "LOUD WORDS " * 2000) == 1
     assert shouts("LOUD WORDS " * 200 + "quiet words " * 2000) == 0
+
+
+def test_curve_is_that_of_the_population():
+    r = np.random.default_rng(3)
+    z = r.normal(size=20_000)
+    y = (r.random(len(z)) < 1 / (1 + np.exp(0.4 - 1.7 * z))).astype(float)
+    some = (y == 1) | (r.random(len(z)) < 0.5)  # half of class 0, which counts twice
+    for at, weight in ((y >= 0, np.ones(len(z))), (some, np.where(y == 1, 1.0, 2.0))):
+        assert quality.platt(z[at], y[at], weight[at]) == pytest.approx((1.7, -0.4), abs=0.1)
+
+
+def test_regression_is_at_the_optimum_of_the_dense_problem():
+    r = np.random.default_rng(4)
+    n, d = 60, 12
+    size = r.integers(0, 6, n)
+    col, val = r.integers(0, d, size.sum()).astype(np.int32), r.random(size.sum()).astype(np.float32)
+    dense = np.zeros((n, d))
+    np.add.at(dense, (np.repeat(np.arange(n), size), col), val)
+    y, weight = (r.random(n) < 0.4).astype(float), r.random(n) / n
+    w, b = quality._logistic(size, col, val, y, weight, d, penalty=0.01, steps=5000)
+    assert quality.products(size, col, val, w) == pytest.approx(dense @ w, abs=1e-6)
+    miss = weight * (1 / (1 + np.exp(-(dense @ w + b))) - y)
+    assert np.abs(dense.T @ miss + 0.01 * w).max() < 1e-4 and abs(miss.sum()) < 1e-4
+
+
+def test_calibration_error_on_unseen_rows_with_noisy_labels(spark, labelled):
+    docs, _, truth = labelled
+    r = random.Random(11)
+    noisy = {i: q ^ (r.random() < 0.15) for i, (q, _) in truth.items()}
+    labels = spark.createDataFrame([(i, int(q), 0) for i, q in noisy.items()], LABELS)
+    seen = {x["doc_id"] for x in quality.labelled_sample(docs, labels, "quality", 150)[0].collect()}
+    rows = [x for x in quality.score_quality(docs, quality.train_quality(docs, labels, sample=150)).collect() if x["doc_id"] not in seen]
+    p, y = np.array([x["quality_score"] for x in rows]), np.array([noisy[x["doc_id"]] for x in rows], float)
+    bins = np.minimum((p * 5).astype(int), 4)
+    error = sum(abs(p[bins == b].sum() - y[bins == b].sum()) for b in range(5)) / len(p)
+    assert len(rows) > 200 and error < 0.15
