@@ -40,6 +40,7 @@ SILENT = frozenset("script style template noscript title svg iframe canvas audio
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: A start tag ends these open elements.
 _LISTS, _CELLS = frozenset(("ul", "ol", "menu", "dl")), frozenset(("table",))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ENDS = {"li": (frozenset(("li",)), _LISTS), "dt": (frozenset(("dt", "dd")), _LISTS), "dd": (frozenset(("dt", "dd")), _LISTS), "tr": (frozenset(("tr", "td", "th")), _CELLS), "td": (frozenset(("td", "th")), _CELLS), "th": (frozenset(("td", "th")), _CELLS), "option": (frozenset(("option",)), frozenset(("select",)))}
 
 #: Kinds of tags that features tell apart.
@@ -124,6 +125,8 @@ class Page:
             if m[1]:
                 if tag == "a":
                     link = 0
+                if tag in HEADINGS and tag not in open_tags:  # any of them ends the open one
+                    tag = next((t for t in reversed(open_tags) if t in HEADINGS), tag)
                 if tag in ("p", "br") and tag not in open_tags:
                     self._add(open_nodes[-1], " ", False)
                 elif tag in open_tags[1:]:
@@ -280,9 +283,12 @@ class Trees:
 def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int, depth: int, rate: float, bins: int = 32, l2: float = 2.0) -> Trees:
     """Second-order boosting for the logistic loss on binned features; no randomness."""
     n, d = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
-    binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], 1)
-    cell = binned + np.arange(d) * bins
+    flags = np.array([bool(np.isin(x[:, j], (0, 1)).all()) for j in range(d)])
+    edges = [np.array([0.5]) if flags[j] else np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
+    numbers = np.flatnonzero(~flags)
+    cell = np.stack([np.searchsorted(edges[j], x[:, j], side="left") + j * bins for j in numbers], 1)
+    # of flags only the set ones are counted: few of a row are
+    set_row, set_flag = np.nonzero(x * flags)
     inner = 2**depth - 1
     feature, threshold, leaf = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
     share = float((weight * y).sum() / weight.sum())
@@ -291,13 +297,27 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int, depth: i
     for t in range(trees):
         p = 1 / (1 + np.exp(-z))
         g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
-        node = np.zeros(n, np.int64)
+        node, above = np.zeros(n, np.int64), None
         for level in range(depth):
             width = 2**level
-            slot = ((node - (width - 1))[:, None] * d * bins + cell).ravel()
-            sums = [np.bincount(slot, weights=np.repeat(v, d), minlength=width * d * bins).reshape(width, d, bins) for v in (g, h)]
-            left = [s.cumsum(2)[:, :, :-1] for s in sums]
-            whole = [s[:, :1].sum(2)[:, :, None] for s in sums]
+            place = node - (width - 1)
+            # the smaller child of each node is counted; the other is what the node has besides
+            rows_of = np.bincount(place, minlength=width).reshape(-1, min(width, 2))
+            counted = np.arange(width) % 2 == np.repeat(rows_of.argmin(1), min(width, 2))
+            some, some_set = counted[place], counted[place[set_row]]
+            slot = (place[some][:, None] * d * bins + cell[some]).ravel()
+            slot_set = (place[set_row] * d * bins + set_flag * bins + 1)[some_set]
+            whole = [np.bincount(place, weights=v, minlength=width)[:, None, None] for v in (g, h)]
+            sums = []
+            for k, v in enumerate((g, h)):
+                c = np.bincount(slot, weights=np.repeat(v[some], len(numbers)), minlength=width * d * bins) + np.bincount(slot_set, weights=v[set_row[some_set]], minlength=width * d * bins)
+                c = c.reshape(width, d, bins)
+                c[:, flags, 0] = whole[k][:, :, 0] - c[:, flags, 1]
+                if level:
+                    c[~counted] = above[k] - c[counted]
+                sums.append(c)
+            above = sums
+            left = [v.cumsum(2)[:, :, :-1] for v in sums]
             right = [w - v for w, v in zip(whole, left)]
             gain = left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2) - whole[0] ** 2 / (whole[1] + l2)
             gain[(left[1] < 1) | (right[1] < 1)] = 0
@@ -358,6 +378,8 @@ class _Maker:
         text = " ".join(out)
         if self.r.random() < 0.2:
             text = f"<b>{text}</b>" if self.r.random() < 0.5 else text.replace(" ", ' <a href="/x">', 1).replace(".", "</a>.", 1)
+        elif self.r.random() < 0.08:
+            text = text.replace(" ", self.r.choice([' <a class="external" href="/x">', ' <span class="caps">', ' <em class="x">']), 1) + self.r.choice(["</a>", "</span>", "</em>"])
         return text
 
     def attr(self, names: str, chance: float = 0.75) -> str:
@@ -384,7 +406,7 @@ class _Maker:
         style = self.r.random()
         if style < 0.6:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
-        return (" | " if style < 0.75 else " ").join(items)
+        return (" | " if style < 0.75 else " " if style < 0.9 else "").join(items)
 
     def box(self) -> str:
         """One piece of boilerplate."""
@@ -443,34 +465,67 @@ class _Maker:
             p = self.prose(r.choice([1, 4, 8]), r.choice([8, 40, 120, 300]))
             return r.choice([f"<p>{p}</p>", f"<p>{p}</p>", f"<p>{p}", f"<p><b>{p}<br>", f"<div>{p}</div>" if r.random() < 0.3 else f"<p>{p}</p>"])
         if k < 0.78:
-            return f"<h{r.randint(2, 4)}>{self.title()}</h{r.randint(2, 4)}>"
+            level = r.randint(2, 4)
+            return f"<h{level}>{self.title()}</h{level if r.random() < 0.95 else 2}>"
         if k < 0.86:
-            return "<ul>" + "".join(f"<li>{self.prose(3, 25)}" + r.choice(["", "</li>"]) for _ in range(r.randint(2, 6))) + "</ul>"
+            kind = r.choice(["ul", "ul", "ol", "dl"])
+            if kind == "dl":
+                return "<dl>" + "".join(f"<dt>{self.title(1, 3)}</dt><dd>{self.prose(3, 25)}</dd>" for _ in range(r.randint(2, 5))) + "</dl>"
+            return f"<{kind}>" + "".join(f"<li>{self.prose(3, 25)}" + r.choice(["", "</li>"]) for _ in range(r.randint(2, 6))) + f"</{kind}>"
         if k < 0.91:
-            return f"<blockquote><p>{self.prose()}</p></blockquote>"
+            return f"<blockquote><p>{self.prose()}</p></blockquote>" if r.random() < 0.7 else f"<pre>{' '.join(self.words(r.randint(3, 20)))}</pre>"
         if k < 0.95:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{self.title(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 5))) + "</table>"
         return f"<figure><img src=a.png><figcaption>{self.prose(4, 15)}</figcaption></figure>"
 
-    def page(self) -> str:
+    def bare(self) -> str:
+        """Boilerplate that only its place, its shortness and its links tell."""
         r = self.r
-        self.full_stop = r.choice([".", ".", ".", ".", "", "!!", " |", "%%%"])
-        main = [f"<h1>{self.title(3, 14)}</h1>"] * (r.random() < 0.8) + [self.block() for _ in range(r.choice([1, 1, 2, 3, 4, 6, 10, 18, 30]))]
+        inside = r.choice([self.links(2, 5), f"&copy; {self.title(1, 4)}", f"&copy; {self.title(1, 3)} {self.links(1, 3)}", f"{self.title(2, 6)} {self.links(1, 2)}"])
+        return r.choice(["<{0}>{1}</{0}>", "<{0}><font size=1>{1}</font></{0}>", "<{0}><small>{1}</small></{0}>"]).format(r.choice(["p", "div", "center"]), inside)
+
+    def body(self) -> str:
+        """The main text, with its headline, in its element."""
+        r = self.r
+        blocks = [self.block() for _ in range(r.choice([1, 1, 2, 2, 3, 4, 6, 10, 18, 30]))]
+        headline = f"<h{(level := r.choice([1, 1, 1, 2]))}>{self.title(2, 14)}</h{level}>" if r.random() < 0.8 else ""
         if r.random() < 0.35:
             for _ in range(r.randint(1, 2)):
-                main.insert(r.randint(1, len(main)), self.drop(r.choice([self.advert, self.share, self.related, self.notice, self.sidebar, self.form])()))
+                blocks.insert(r.randint(0, len(blocks)), self.drop(r.choice([self.advert, self.share, self.related, self.notice, self.sidebar, self.form])()))
+        parted = r.random()
+        if parted < 0.12:  # parts with headings of their own
+            cuts = sorted(r.sample(range(len(blocks) + 1), min(len(blocks), r.randint(1, 3))))
+            parts = [blocks[i:j] for i, j in zip([0, *cuts], [*cuts, len(blocks)])]
+            tag = r.choice(["section", "section", "div"])
+            blocks = [f"<{tag}{self.attr('section part chapter', 0.3)}>" + (f"<h2>{self.title()}</h2>" if r.random() < 0.7 else "") + "".join(p) + f"</{tag}>" for p in parts if p]
+        text = "".join(blocks)
+        if 0.12 < parted < 0.32:  # the headline stands beside the body
+            text = self.element(r.choice(["div", "div", "section"]), TOKENS["main"] + " text body", text, 0.8)
         if r.random() < 0.12:
-            main.append(self.drop(self.comments()))
-        text = "".join(main)
-        shape = r.random()
-        if shape < 0.45:
-            text = self.element("article", "article post entry hentry story", text, 0.3)
-        elif shape < 0.6:
-            text = self.element("main", "content main", text, 0.4)
-        elif shape < 0.9:
-            text = self.element(r.choice(["div", "section"]), TOKENS["main"] + " text body", text, 0.85)
-        for _ in range(r.choice([0, 0, 1, 1, 2])):
-            text = self.element(r.choice(["div", "main", "section"]), "content main wrapper container page site layout", text, 0.6)
+            text += self.drop(self.comments())
+        text, shape = headline + text, r.random()
+        if shape < 0.4:
+            return self.element("article", "article post entry hentry story", text, 0.3)
+        if shape < 0.58:
+            return self.element("main", "content main", text, 0.4)
+        return self.element(r.choice(["div", "section"]), TOKENS["main"] + " text body", text, 0.85) if shape < 0.9 else text
+
+    def table(self, front: list[str], text: str, back: list[str]) -> str:
+        """A page whose columns are cells of a table."""
+        r = self.r
+        end = r.choice(["</td>", "</td>", ""])
+        row = [f"<td{self.attr(TOKENS['main'], 0.5)}>{text}</td>"]
+        for _ in range(r.choice([0, 1, 1, 2])):
+            side = r.choice([self.links, self.sidebar, self.menu, self.advert])()
+            row.insert(r.randint(0, len(row)), f"<td{self.attr(TOKENS['menu'] + ' ' + TOKENS['side'], 0.5)}>{self.drop(side)}{end}")
+        wide = "".join(f"<tr><td colspan={len(row)}>{x}{end}</tr>" for x in front)
+        low = "".join(f"<tr><td colspan={len(row)}>{x}{end}</tr>" for x in back)
+        return f"<table{r.choice(['', ' width=100%', ' border=0'])}>{wide}<tr>{''.join(row)}</tr>{low}</table>"
+
+    def page(self) -> str:
+        r = self.r
+        self.full_stop = r.choice([".", ".", ".", ".", "", "!!", " |", "%%%"])
+        text = self.body()
         front = [self.drop(f()) for f in (self.header, self.menu, self.advert, self.notice, self.form) if r.random() < 0.35]
         back = [self.drop(f()) for f in (self.comments, self.related, self.sidebar, self.share, self.form, self.notice, self.advert, self.footer) if r.random() < 0.3]
         if r.random() < 0.4:
@@ -478,7 +533,19 @@ class _Maker:
         r.shuffle(front)
         if r.random() < 0.15:
             back = [*[self.box() for _ in range(2)], *back]
-        return f"<!DOCTYPE html><html><head><title>{self.title()}</title><style>p{{}}</style></head><body>{''.join(front)}{text}{''.join(back)}" + r.choice(["</body></html>", "</body></html>", ""])
+        if r.random() < 0.12:
+            front = [self.drop(r.choice([self.bare(), self.links(2, 6)])), *front]
+        if r.random() < 0.12:
+            back = [*back, self.drop(self.bare())]
+        if r.random() < 0.1:
+            text, front, back = self.table(front, text, back), [], []
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            if r.random() < 0.3:  # the nearest boxes share the main text's wrapper
+                a, b = r.randint(0, len(front)), r.randint(0, len(back))
+                text, front, back = "".join(front[a:]) + text + "".join(back[:b]), front[:a], back[b:]
+            text = self.element(r.choice(["div", "div", "main", "section"]), "content main wrapper wrap container page site layout columns", text, 0.6)
+        between = r.choice(["", "", "", "<hr>", "\n"])
+        return f"<!DOCTYPE html><html><head><title>{self.title()}</title><style>p{{}}</style></head><body>{between.join([*front, text, *back])}" + r.choice(["</body></html>", "</body></html>", ""])
 
 
 def labelled_page(text: str) -> tuple[Page, np.ndarray]:
