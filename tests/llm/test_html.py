@@ -50,6 +50,11 @@ def test_boilerplate_goes(trees, name, place, shell):
     assert text_of(f"<html><head><title>T</title></head><body>{body}</body></html>", trees) == want
 
 
+def test_articles_of_one_word(trees):
+    page = '<body><nav><ul><li><a href="/a">That</a></li><li><a href="/b">and</a></li></ul></nav><div class="ad">Ouan un ouer enleon de.</div><article><h1>Éaux.</h1><p>Éaux.</p></article><footer>&copy; a.example.com &middot; Ist der die ein.</footer></body>'
+    assert text_of(page, trees) == "Éaux. Éaux."
+
+
 def test_text_rules():
     def everything(html):
         page = H.Page(html)

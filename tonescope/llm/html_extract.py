@@ -489,6 +489,8 @@ class _Maker:
         r = self.r
         blocks = [self.block() for _ in range(r.choice([1, 1, 2, 2, 3, 4, 6, 10, 18, 30]))]
         headline = f"<h{(level := r.choice([1, 1, 1, 2]))}>{self.title(2, 14)}</h{level}>" if r.random() < 0.8 else ""
+        if r.random() < 0.08:  # pages of a few words
+            headline, blocks = f"<h1>{self.title(1, 3)}</h1>", [r.choice(["<p>{}</p>", "<p><b>{}<br>", "<p>{}"]).format(self.title(1, 4))]
         if r.random() < 0.35:
             for _ in range(r.randint(1, 2)):
                 blocks.insert(r.randint(0, len(blocks)), self.drop(r.choice([self.advert, self.share, self.related, self.notice, self.sidebar, self.form])()))
