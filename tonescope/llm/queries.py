@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, minhash, packing, piece_sampling, quality, sharding, token_orc, toxicity, warc
+from . import embed_dedup, html_extract, minhash, packing, piece_sampling, quality, sharding, token_orc, toxicity, url_rules, warc
 from .common import Scratch, tokenizer_path
 
 SHARDS = 8
@@ -84,6 +84,15 @@ def op10_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), embed_dedup.FlatGraph(threshold=0.98))
 
 
+#: What the query blocks and allows.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([url_rules.parse_rule(*r) for r in URL_RULES], url_rules.RULES)
+    return url_rules.judge_urls(pages(spark, sf_dir), rules, keep=["page_id"])
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_html_boosted": op2_html_boosted,
@@ -95,6 +104,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_flat_graph": op10_flat_graph,
+    "op12_url_filters": op12_url_filters,
     "quality_counts": quality_counts,
 }
 
@@ -144,6 +154,17 @@ SQL: dict[str, str] = {
         )
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n
     """,
+    "op12_url_filters": f"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS k FROM pages),
+        p AS (
+            SELECT page_id, CASE WHEN k > 0 THEN translate(regexp_extract(substr(url, k + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                CASE WHEN k > 0 THEN regexp_extract(regexp_replace(substr(url, k + 3), '^[^/?#]*', ''), '^[^?#]*') ELSE '' END AS path
+            FROM u
+        ),
+        r(h, x, v) AS (VALUES {", ".join(f"('{h}', '/{x}', '{v}')" for h, x, v in ((*r.split("/", 1), v) for r, v in URL_RULES))}),
+        m AS (SELECT page_id, arg_max(h || x, length(h) * 1000 + length(x)) AS rule, arg_max(v, length(h) * 1000 + length(x)) AS verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
         d AS (
