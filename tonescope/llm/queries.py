@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, minhash, packing, piece_sampling, quality, sharding, token_orc, toxicity, url_rules, warc
+from . import embed_dedup, html_extract, minhash, packing, piece_sampling, quality, sharding, source_audit, token_orc, toxicity, url_rules, warc
 from .common import Scratch, tokenizer_path
 
 SHARDS = 8
@@ -84,6 +84,10 @@ def op10_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), embed_dedup.FlatGraph(threshold=0.98))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(documents(spark, sf_dir))
+
+
 #: What the query blocks and allows.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_flat_graph": op10_flat_graph,
+    "op11_source_divergence": op11_source_divergence,
     "op12_url_filters": op12_url_filters,
     "quality_counts": quality_counts,
 }
@@ -154,6 +159,25 @@ SQL: dict[str, str] = {
         )
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+        v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS n FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        tot AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM grp LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT lang, source, kept.term, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (tot.n + 2 * v.v) AS p, coalesce(c.n, 0) AS n
+            FROM tot JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+        ),
+        q AS (SELECT lang, term, 1 + (1000000000 * (kept.n + 2)) // (v.n + 2 * v.v) AS q FROM kept JOIN v USING (lang)),
+        pair AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM every UNION ALL FROM term))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
     "op12_url_filters": f"""
         WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS k FROM pages),
         p AS (
