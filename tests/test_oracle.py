@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables her
 
 def cells(df):
     def cell(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT") or v != v:
             return "null"
         return f"{float(v):.6f}" if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "-") in "iuf" else str(v)
 
