@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, minhash, packing, piece_sampling, quality, sharding, source_audit, token_orc, toxicity, url_rules, warc
+from . import embed_dedup, html_extract, minhash, packing, piece_sampling, prefix_trie, quality, sharding, source_audit, token_orc, toxicity, url_rules, warc
 from .common import Scratch, tokenizer_path
 
 SHARDS = 8
@@ -97,6 +97,10 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages(spark, sf_dir), rules, keep=["page_id"])
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_html_boosted": op2_html_boosted,
@@ -110,6 +114,7 @@ QUERIES = {
     "op10_flat_graph": op10_flat_graph,
     "op11_source_divergence": op11_source_divergence,
     "op12_url_filters": op12_url_filters,
+    "op13_prefix_trie": op13_prefix_trie,
     "quality_counts": quality_counts,
 }
 
@@ -189,6 +194,25 @@ SQL: dict[str, str] = {
         m AS (SELECT page_id, arg_max(h || x, length(h) * 1000 + length(x)) AS rule, arg_max(v, length(h) * 1000 + length(x)) AS verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
     """,
+    "op13_prefix_trie": f"""
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL),
+        crc AS (
+            SELECT DISTINCT conv_id, (4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda crc, d:
+                list_reduce(list_prepend(xor(crc, d), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h FROM t
+        ),
+        o AS (SELECT conv_id, list(t ORDER BY place) AS l FROM t GROUP BY conv_id),
+        seq AS (SELECT c.conv_id, coalesce(b.l[1 : h], []) || o.l[h + 1 :] AS l FROM crc c JOIN o USING (conv_id) LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+        m AS (SELECT conv_id, d, l[1 : d] AS p, len(l) = d AS ends FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM seq)),
+        node AS (
+            SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+                CASE WHEN d > 0 THEN len(regexp_extract_all(p[d].x, '{WORD}')) ELSE 0 END AS w FROM m GROUP BY d, p
+        ),
+        kids AS (SELECT d - 1 AS d, p[1 : d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+        up AS (SELECT k AS d, node.p[1 : k] AS p, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * w AS saved FROM node LEFT JOIN kids USING (d, p), range(100) r(k) WHERE k <= node.d),
+        roll AS (SELECT d, p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY ALL)
+        SELECT x.conv_id, x.d AS depth, a.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+        FROM node x JOIN roll USING (d, p) LEFT JOIN kids USING (d, p) LEFT JOIN node a ON a.d = x.d - 1 AND a.p = x.p[1 : x.d - 1]
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
         d AS (
