@@ -1,7 +1,7 @@
 """Conversation prefix trie: the distinct beginnings of conversations as succinct level-order tries (LOUDS).
 
 Conversations are sequences of turns (role, text); a node stands for each distinct beginning. Equal conversations are one
-sequence with a number first. Sequences are dealt to shards by a beginning that at most ``most`` turns lie under; numpy
+sequence with a number first. Sequences are dealt to shards by a beginning that a task's fair share of turns, ``most`` at most, lies under; numpy
 builds a trie for each shard, and rolls its nodes up in reverse level order. Beginnings with more turns under them (the
 root always, hot first turns, long shared openings) are the heavy upper levels: they are summed by Spark, and merged with
 what their shards pass up.
@@ -268,10 +268,12 @@ class PrefixTrie:
         rows = every.join(one, "conv_id").withColumn("ends", F.when(F.col("depth") == F.col("length"), F.col("ends")))
         rows = keep(rows.drop("last"))
         keep.drop(every, lasts)
+        n = rows.count()
+        n_buckets = max(2 * partitions(spark), ceil_div(n, most))
+        most = max(1, min(most, ceil_div(n, n_buckets)))  # no shard is more than a bucket's fair share
         heavy = with_group(rows.withColumns({"node": F.struct(*self.KEY), "below": F.col("length") - F.col("depth") + 1}), "node", {"size": ("sum", "below")}, "conv_id", having=F.col("size") > most)
         #: Rows of the sequences within the heavy upper levels.
         self.upper = keep(heavy.select("conv_id", *self.KEY, "q1", "q2", "words", "n"))
-        n_buckets = max(2 * partitions(spark), ceil_div(rows.count(), most))
         start = rows.join(self.upper.groupBy("conv_id").agg(F.max("depth").alias("start")), "conv_id", "left").withColumn("start", F.coalesce("start", F.lit(0)))
         bucket = F.pmod(F.xxhash64(*self.KEY), F.lit(n_buckets)).cast("int")
         dealt = start.where("depth = start + 1").select("conv_id", "start", bucket.alias("bucket"))
