@@ -1,8 +1,8 @@
 import pytest
-from pyspark.ml import PipelineModel
 
 from tonescope import __main__ as cli
 from tonescope.functions.lexicon import DIMENSIONS
+from tonescope.operators import models
 from tonescope.plans import stages
 
 
@@ -33,7 +33,10 @@ def test_training(spark, folder):
     report = {(r["split"], r["model"]): r for r in stages.train(spark, folder, trees=3, iterations=15).collect()}
     assert {m for _, m in report} == {"rules", "logistic", "boosted", "calibrated"}
     assert all(0 <= r["ece"] <= 1 for r in report.values())
-    assert PipelineModel.load(f"{folder}/models/logistic").stages
+    scorer = models.Scorer.load(spark, f"{folder}/models")
+    assert scorer.logistic.features.size > 500 and len(scorer.stack.roots) == 3
+    found = stages.score(spark, folder, spark.createDataFrame([("Guess what happened next",)], "headline string")).first()
+    assert found["model"] == "boosted-calibrated" and 0 <= found["manipulation_score"] <= 1
 
 
 def test_labels_are_cached(spark, folder):

@@ -1,11 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonescope.functions import rules
-from tonescope.operators import models, stats
+from tonescope.operators import stats
 
 
 def frame(spark, rows, schema):
@@ -78,94 +78,7 @@ def test_loss_masks_targets(spark):
     assert clipped == pytest.approx(0.0, abs=1e-9)
 
 
-def test_models_learn(spark):
-    rows = [(i, f"Guess what the {w} did" if i % 2 else f"Board reports on {w}", i % 2) for i, w in enumerate(["mayor", "baker", "port", "school", "river", "choir"] * 20)]
-    df = frame(spark, rows, "doc_id int, headline string, bait int")
-    model = models.fit_logistic(df.where("doc_id < 80"), "bait", iterations=20)
-    scored = models.with_logistic(model, df.where("doc_id >= 80"))
-    assert stats.ranking(scored, [], "bait", "lr_prob").first()["roc_auc"] == 1.0
-    swap = frame(spark, [(1, "Guess what Biden did"), (2, "Guess what Trump did")], "doc_id int, headline string")
-    assert len({r["lr_prob"] for r in models.with_logistic(model, swap).collect()}) == 1
-    calibrated = models.Calibrator(scored, "bait", "lr_prob")
-    assert calibrated.method == "sigmoid" and all(0 <= r["calibrated"] <= 1 for r in calibrated.transform(scored.select("lr_prob"), "lr_prob").collect())
-
-
-def test_queries_train_the_whole_models(spark, monkeypatch):
-    """The reference's settings: 2000 iterations, 400 trees at rate 0.05, of depth 6 for its 63 leaves."""
-    from tonescope.plans import queries
-
-    seen = {}
-
-    class Enough(Exception):
-        pass
-
-    def recorder(name):
-        def make(**settings):
-            seen[name] = settings
-            raise Enough
-
-        return make
-
-    rows = frame(spark, [(1, "Guess what", 1, "train")], "doc_id int, headline string, bait int, split string")
-    monkeypatch.setattr(queries, "model_rows", lambda *_: rows)
-    with monkeypatch.context() as m:
-        m.setattr(models, "LogisticRegression", recorder("logistic"))
-        for name in ("tfidf_logreg", "gbt_stack"):
-            with pytest.raises(Enough):
-                queries.QUERIES[name](spark, "")
-            assert seen.pop("logistic")["maxIter"] == 2000
-    monkeypatch.setattr(models, "GBTClassifier", recorder("stack"))
-    monkeypatch.setattr(models, "fit_logistic", lambda *_, **__: None)
-    monkeypatch.setattr(models, "with_logistic", lambda _, df: df.select("*", *[F.lit(0.0).alias(c) for c in ("lr_prob", *rules.FEATURES)]))
-    with pytest.raises(Enough):
-        queries.gbt_stack(spark, "")
-    assert {k: seen["stack"][k] for k in ("maxIter", "stepSize", "maxDepth")} == {"maxIter": 400, "stepSize": 0.05, "maxDepth": 6}
-
-
-def test_idf_table_is_whole(spark):
-    table = {r["term"]: (r["df"], r["idf"]) for r in models.idf_table(frame(spark, [("Café news today",), ("cafe news",), ("x",)], "headline string")).collect()}
-    assert {t: n for t, (n, _) in table.items()} == {"cafe": 2, "news": 2, "today": 1, "cafe news": 2, "news today": 1}
-    assert table["today"][1] == pytest.approx(math.log(4 / 2) + 1)
-
-
-def test_tfidf_weighs_what_all_rows_hold(spark):
-    rows = models.prepared(frame(spark, [("news Café",), ("news cafe bar",)], "headline string"))
-    stages = models.fit_tfidf(rows)
-    assert set(stages[0].vocabulary) == {"news", "cafe", "bar", "news cafe", "cafe bar"}
-    out = rows
-    for stage in stages:
-        out = stage.transform(out)
-    common, rare = 1.0, math.log(3 / 2) + 1
-    for r in out.collect():
-        got = dict(zip(stages[0].vocabulary, r["_grams_unit"].toArray()))
-        length = math.sqrt(3 * common**2 + (2 * rare**2 if got["bar"] else 0))
-        assert got["news"] == pytest.approx(common / length) and got["bar"] in (0, pytest.approx(rare / length))
-
-
-def test_scorer_masks_entities_and_is_saved_whole(spark, tmp_path):
-    rows = [(i, f"{'Guess what happens next to' if i % 2 else 'Council reviews the plan of'} {w} {i}", i % 2) for i, w in enumerate(["roads", "schools", "harbour", "budget", "parks"] * 60)]
-    df = spark.createDataFrame(rows, "id int, headline string, label_clickbait int")
-    scorer = models.fit_scorer(df.where("id < 90"), df.where("id >= 90"), "label_clickbait", trees=3, iterations=20)
-    assert scorer.calibrator.method == "isotonic"
-    scorer.save(str(tmp_path / "m"))
-    again = models.Scorer.load(str(tmp_path / "m"))
-    pairs = spark.createDataFrame([(0, "Biden visits NEW bridge"), (0, "TRUMP visits NEW bridge"), (1, "Guess what the left said"), (1, "Guess what Republicans said")], "k int, headline string")
-    found = again.predict(pairs).collect()
-    assert all(len({r["probability"] for r in found if r["k"] == k}) == 1 for k in (0, 1))
-    assert sorted(r["probability"] for r in found) == sorted(r["probability"] for r in scorer.predict(pairs).collect())
-    few = models.fit_scorer(df.where("id < 90"), df.where("id BETWEEN 90 AND 150"), "label_clickbait", trees=2, iterations=5)
-    few.save(str(tmp_path / "few"))
-    assert models.Scorer.load(str(tmp_path / "few")).calibrator.method == "sigmoid" == few.calibrator.method
-
-
-def test_short_words_count_once(spark):
-    grams = models.prepared(spark.createDataFrame([("a bc",)], "headline string")).first()["_chars"]
-    assert sorted(grams) == sorted([" a ", " bc", "bc ", " bc "])
-
-
 def test_quantiles(spark):
-    import numpy as np
-
     r = np.random.default_rng(4)
     rows = [(k, float(v)) for k in "ab" for v in r.choice([r.normal() * 50, 1.0, 2.5, r.normal()], 101 + ord(k))] + [("c", 3.0), ("c", None)]
     got = {x["k"]: x for x in stats.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
@@ -174,6 +87,26 @@ def test_quantiles(spark):
         assert got[k]["n"] == len(values) and (got[k]["p50"], got[k]["p95"]) == pytest.approx(tuple(np.percentile(values, [50, 95])))
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_quantiles_of_any_scale(spark, parts):
+    """Values from 1e-9 to 1e12 of either sign, most of them close together, in many ranges."""
+    r = np.random.default_rng(8)
+    v = np.concatenate([10.0 ** r.uniform(-9, 12, 900) * r.choice([-1, 1], 900), 1000 + r.random(3000), [0.0, -0.0, 5.0, 5.0]])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame([("a", float(x)) for x in v] + [(None, 1.0), (None, 3.0)], "k string, v double")
+        got = {x["k"]: x for x in stats.quantiles(df, ["k"], "v", {"p1": 0.01, "p50": 0.5, "p99": 0.99}).collect()}
+        placed = stats.below(df.where("k IS NOT NULL").groupBy("k", "v").agg(F.count("*").cast("double").alias("c")), ["k"], "v", {"less": "c"}).collect()
+        shares = stats.below(df.where("k IS NOT NULL").groupBy("k", "v").agg(F.count("*").cast("double").alias("c")).withColumn("one", F.lit(1.0)), ["k"], "v", {"x": "one"}).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (got["a"]["p1"], got["a"]["p50"], got["a"]["p99"]) == pytest.approx(tuple(np.percentile(v, [1, 50, 99])), rel=1e-12)
+    assert got[None]["p50"] == 2.0 and got[None]["n"] == 2
+    order = np.sort(v)
+    assert all(x["less"] == np.searchsorted(order, x["v"]) and x["_of_less"] == len(v) for x in placed) and shares == len(placed)
+
+
 def test_small_groups_have_no_area(spark):
     df = spark.createDataFrame([("a", i % 2, i / 10) for i in range(7)] + [("b", i % 2, i / 10) for i in range(8)], "k string, y int, p double")
     assert {r["k"]: r["roc_auc"] is None for r in stats.ranking(df, ["k"], "y", "p", least=8).collect()} == {"a": True, "b": False}

@@ -25,7 +25,7 @@ class Params:
     lr_iterations: int = 2000
     gbt_trees: int = 400
     gbt_rate: float = 0.05
-    gbt_depth: int = 6  # 64 leaves at most
+    gbt_leaves: int = 63
     body_window_sents: int = 4
     max_windows: int = 6
     n_samples: int = 3
@@ -34,6 +34,7 @@ class Params:
     input_usd_per_mtok: float = 5.0
     output_usd_per_mtok: float = 25.0
     min_gold_alpha: float = 0.6
+    student_temperature: float = 2.0
     intensity_loss_weight: float = 1.0
     taxonomy_loss_weight: float = 0.5
     binary_loss_weight: float = 0.5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,6 @@ UNKNOWN, LONGEST = "[UNK]", 100
 
 def _plain(texts: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks; there is no such built-in function."""
-    import unicodedata
-
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
 
@@ -24,13 +24,16 @@ def strip_marks(text: Column) -> Column:
     return F.pandas_udf(plain, T.StringType())(text)
 
 
-def strip_accents(text: Column) -> Column:
+def without_accents(text: str) -> str:
     """Compatibility decomposition without combining characters, as vectorizers of scikit-learn do it."""
+    if text.isascii():
+        return text
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
-    def plain(texts: pd.Series) -> pd.Series:
-        import unicodedata
 
-        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def strip_accents(text: Column) -> Column:
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else without_accents(t))
 
     return F.pandas_udf(plain, T.StringType())(text)
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..config import PARAMS
 from ..functions.text import normalize, shingles
+from .store import shared_folder
 
 
 def texts(df: DataFrame, row_id: str = "doc_id", headline: str = "headline") -> DataFrame:
@@ -133,14 +134,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def _checkpoint_dir(df: DataFrame) -> None:
-    """The cluster's folder in spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
 
 
 def with_groups(df: DataFrame, links: DataFrame, row_id: str = "doc_id", headline: str = "headline") -> DataFrame:

@@ -1,161 +1,172 @@
-"""Clickbait models: TF-IDF, logistic regression, boosted trees on rule features, and calibration."""
+"""Clickbait models: TF-IDF, logistic regression, boosted trees on rule features, calibration, and students of a teacher."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PARAMS
 from ..functions import rules
-from ..functions.text import words
-from ..functions.tokenizer import strip_accents
+from . import linear
+from .boosting import Trees, fit_trees
+from .features import TextFeatures, idf_table, masked
+from .isotonic import Isotonic
+from .store import stored
 
+__all__ = ["Calibrator", "Heads", "Scorer", "blend", "fit_heads", "fit_logistic", "fit_scorer", "fit_stack", "idf_table", "with_logistic", "with_stack"]
 
-def _word_grams(text, most: int = PARAMS.word_ngram_max):
-    """Words of two characters or more of lower-case text, then their runs of 2 to most words."""
-    found = F.regexp_extract_all(text, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    runs = lambda n: F.when(F.size(found) >= n, F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i: F.array_join(F.slice(found, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(found, *[runs(n) for n in range(2, most + 1)])
+STACKED = [*rules.FEATURES, "lr_prob"]
 
 
-def idf_table(df: DataFrame, headline: str = "headline", most: int = PARAMS.word_ngram_max) -> DataFrame:
-    """(term, df, idf) of masked lower-case runs of 1 to most words without accents; idf = ln((1 + n) / (1 + df)) + 1."""
-    plain = strip_accents(F.lower(rules.mask_entities(headline)))
-    terms = df.select(plain.alias("text")).select(F.array_distinct(_word_grams("text", most)).alias("terms"))
-    counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = df.agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+def logit(p):
+    """Of a probability, which is kept a little off 0 and 1."""
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    return F.log(q / (1 - q))
 
 
-def _char_grams(n: int):
-    """Of a word with a space at either end: its runs of n characters, none if it is shorter."""
+@dataclass
+class Heads:
+    """Linear heads over the TF-IDF of words, word runs and characters; a row of weights for each, the intercept last."""
 
-    def grams(word):
-        w = F.concat(F.lit(" "), word, F.lit(" "))
-        runs = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))
-        return F.when(F.length(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+    features: TextFeatures
+    weights: np.ndarray
+    names: list[str]
 
-    return grams
+    def predict(self, df: DataFrame, headline: str = "headline") -> DataFrame:
+        """df with a column of logits for each head."""
+        keep = df.columns
+        rows = self.features.scored(df, masked(headline), self.weights, "_heads")
+        return rows.select(*[c for c in keep if c not in self.names], *[F.col("_heads")[i].alias(n) for i, n in enumerate(self.names)])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.features.save(spark, f"{path}/vocabulary")
+        head, place = np.nonzero(self.weights)
+        table = pd.DataFrame({"head": head.astype("int32"), "place": place.astype("int32"), "weight": self.weights[head, place]})
+        spark.createDataFrame(table, "head int, place int, weight double").write.mode("overwrite").parquet(f"{path}/weights")
+        spark.createDataFrame([(i, n) for i, n in enumerate(self.names)], "head int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/heads")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Heads:
+        features = TextFeatures.load(spark, f"{path}/vocabulary")
+        names = [r["name"] for r in spark.read.parquet(f"{path}/heads").orderBy("head").collect()]
+        weights = np.zeros((len(names), features.size + 1))
+        table = spark.read.parquet(f"{path}/weights").toPandas()
+        weights[table["head"], table["place"]] = table["weight"]
+        return cls(features, weights, names)
 
-def prepared(df: DataFrame, headline: str = "headline") -> DataFrame:
-    """df with the masked text, the character n-grams of its words, and the rules' features, all of the masked text:
-    headlines that differ only in an entity are one to the models."""
-    named = rules.with_features(df.withColumn("_named", rules.mask_entities(headline)), "_named")
-    masked = named.withColumn("_masked", F.lower("_named")).drop("_named")
-    grams = [F.flatten(F.transform(words("_masked"), _char_grams(n))) for n in range(PARAMS.char_ngram_min, PARAMS.char_ngram_max + 1)]
-    plain = masked.withColumn("_chars", F.concat(*grams)).withColumn("_plain", strip_accents("_masked"))
-    return plain.withColumn("_grams", _word_grams("_plain"))
 
+def fit_heads(train: DataFrame, targets: dict[str, tuple[str, object]], headline: str = "headline", penalty: float | None = None, c: float = 1.0, max_features: int = PARAMS.max_features, iterations: int = PARAMS.lr_iterations, tolerance: float = 1e-6) -> Heads:
+    """Heads for targets (name -> (column, loss of ``linear``)). Sparse rows are stored once; missing targets add nothing.
 
-def fit_tfidf(rows: DataFrame, max_features: int = PARAMS.max_features) -> list:
-    """Fitted stages: words and word pairs in one vocabulary, characters in another, each weighed by idf + 1 and of length 1."""
-    out = []
-    for k in ("_grams", "_chars"):
-        counts = CountVectorizer(inputCol=k, outputCol=f"{k}_tf", vocabSize=max_features).fit(rows)
-        idf = IDF(inputCol=f"{k}_tf", outputCol=f"{k}_idf").fit(counts.transform(rows)).idf
-        out += [counts, ElementwiseProduct(inputCol=f"{k}_tf", outputCol=f"{k}_raw", scalingVec=Vectors.dense(idf.toArray() + 1)), Normalizer(inputCol=f"{k}_raw", outputCol=f"{k}_unit")]
-    return [*out, VectorAssembler(inputCols=["_grams_unit", "_chars_unit"], outputCol="_tfidf")]
+    The penalty is 1 / (c n) if not given, as of a regression whose summed loss weighs c.
+    """
+    columns = [F.coalesce(F.col(t).cast("double"), F.lit(float("nan"))) for t, _ in targets.values()]
+    rows = stored(train.select(masked(headline).alias("text"), F.array(*columns).alias("targets")))
+    features = TextFeatures.fit(rows, "text", max_features)
+    sparse = stored(features.sparse(rows, "text", ["targets"]))
+    penalty = 1.0 / (c * max(1, sparse.count())) if penalty is None else penalty
+    weights = linear.fit_heads(sparse, features.size, [loss for _, loss in targets.values()], penalty, iterations, tolerance)
+    return Heads(features, weights, list(targets))
 
 
-def fit_logistic(train: DataFrame, label: str, headline: str = "headline", c: float = 1.0, iterations: int = PARAMS.lr_iterations) -> PipelineModel:
-    """TF-IDF of words, word pairs and characters into a logistic regression with an L2 penalty of 1 / (c n)."""
-    rows = prepared(train, headline).withColumn("label", F.col(label).cast("double"))
-    lr = LogisticRegression(featuresCol="_tfidf", labelCol="label", regParam=1.0 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=iterations, probabilityCol="_lr", predictionCol="_lr_hat", rawPredictionCol="_lr_raw")
-    return Pipeline(stages=[*fit_tfidf(rows), lr]).fit(rows)
+def fit_logistic(train: DataFrame, label: str, headline: str = "headline", c: float = 1.0, iterations: int = PARAMS.lr_iterations) -> Heads:
+    """A logistic regression over TF-IDF with an L2 penalty of 1 / (c n)."""
+    return fit_heads(train, {"_lr": (label, linear.logistic)}, headline, c=c, iterations=iterations)
 
 
-def with_logistic(model: PipelineModel, df: DataFrame, headline: str = "headline") -> DataFrame:
-    return model.transform(prepared(df, headline)).withColumn("lr_prob", vector_to_array("_lr")[1])
+def with_logistic(model: Heads, df: DataFrame, headline: str = "headline") -> DataFrame:
+    """df with ``lr_prob`` and the rules' features, both of the masked text."""
+    rows = model.predict(df, headline).withColumn("lr_prob", 1 / (1 + F.exp(-F.col("_lr")))).withColumn("_named", rules.mask_entities(headline))
+    return rules.with_features(rows.drop("_lr"), "_named").drop("_named")
 
 
-def fit_stack(scored: DataFrame, label: str, trees: int = PARAMS.gbt_trees, rate: float = PARAMS.gbt_rate, depth: int = PARAMS.gbt_depth, seed: int = PARAMS.seed) -> PipelineModel:
+def fit_stack(scored: DataFrame, label: str, trees: int = PARAMS.gbt_trees, rate: float = PARAMS.gbt_rate, leaves: int = PARAMS.gbt_leaves) -> Trees:
     """Boosted trees over the rules' features and the regression's probability."""
-    assemble = VectorAssembler(inputCols=[*rules.FEATURES, "lr_prob"], outputCol="_stack")
-    gbt = GBTClassifier(featuresCol="_stack", labelCol="label", maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[assemble, gbt]).fit(scored.withColumn("label", F.col(label).cast("double")))
+    return fit_trees(scored, STACKED, label, trees, rate, leaves)
 
 
-def with_stack(model: PipelineModel, scored: DataFrame) -> DataFrame:
-    return model.transform(scored).withColumn("gbt_prob", vector_to_array("probability")[1])
+def with_stack(model: Trees, scored: DataFrame) -> DataFrame:
+    return model.predict(scored, "gbt_prob")
 
 
 class Calibrator:
     """Isotonic regression from ``least`` rows on, else a logistic curve."""
 
-    method: str
+    def __init__(self, df: DataFrame, label: str, p: str, least: int = 200):
+        rows = df.select(F.col(label).cast("double").alias("label"), F.col(p).cast("double").alias("p")).where("label IS NOT NULL AND p IS NOT NULL")
+        n = rows.count()
+        self.method = "isotonic" if n >= least else "sigmoid"
+        if self.method == "isotonic":
+            self.model = Isotonic.fit(rows, "label", "p")
+        else:
+            one = stored(rows.select(F.array(F.lit(0)).alias("idx"), F.array("p").alias("val"), F.array("label").alias("targets")))
+            self.model = linear.fit_heads(one, 1, [linear.logistic], 1e-6 / max(1, n), tolerance=1e-9)
 
     @classmethod
-    def load(cls, path: str) -> Calibrator:
+    def load(cls, spark: SparkSession, path: str) -> Calibrator:
         out = cls.__new__(cls)
-        try:
-            out.method, out.model = "isotonic", IsotonicRegressionModel.load(f"{path}/isotonic")
-        except Exception as missing:  # there is a curve of the other kind then
-            if not any(s in str(missing) for s in ("PATH_NOT_FOUND", "does not exist")):
-                raise
-            out.method, out.model = "sigmoid", PipelineModel.load(f"{path}/sigmoid")
+        out.method = spark.read.parquet(f"{path}/method").first()["method"]
+        if out.method == "isotonic":
+            out.model = Isotonic.load(spark, f"{path}/isotonic")
+        else:
+            out.model = np.array([list(spark.read.parquet(f"{path}/sigmoid").first())])
         return out
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/{self.method}")
-
-    def __init__(self, df: DataFrame, label: str, p: str, least: int = 200):
-        rows = df.select(F.col(label).cast("double").alias("label"), F.col(p).alias("_x"))
-        n = rows.count()
-        self.method = "isotonic" if n >= least else "sigmoid"
+    def save(self, spark: SparkSession, path: str) -> None:
         if self.method == "isotonic":
-            self.model = IsotonicRegression(featuresCol="_x", labelCol="label", predictionCol="calibrated").fit(rows)
+            self.model.save(spark, f"{path}/isotonic")
         else:
-            stages = [VectorAssembler(inputCols=["_x"], outputCol="_v"), LogisticRegression(featuresCol="_v", labelCol="label", regParam=1e-6 / max(1, n), probabilityCol="_cal", predictionCol="_cal_hat", rawPredictionCol="_cal_raw")]
-            self.model = Pipeline(stages=stages).fit(rows)
+            spark.createDataFrame([tuple(self.model[0].tolist())], "slope double, intercept double").coalesce(1).write.mode("overwrite").parquet(f"{path}/sigmoid")
+        spark.createDataFrame([(self.method,)], "method string").coalesce(1).write.mode("overwrite").parquet(f"{path}/method")
 
     def transform(self, df: DataFrame, p: str) -> DataFrame:
-        out = self.model.transform(df.withColumn("_x", F.col(p)))
-        out = out if self.method == "isotonic" else out.withColumn("calibrated", vector_to_array("_cal")[1]).drop("_v", "_cal", "_cal_hat", "_cal_raw")
-        return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated"))).drop("_x")
+        if self.method == "isotonic":
+            out = self.model.transform(df, p, "calibrated")
+        else:
+            slope, intercept = self.model[0].tolist()
+            out = df.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(slope) * F.col(p) + intercept))))
+        return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")))
 
 
 @dataclass(frozen=True)
 class Scorer:
     """The whole model: regression over text, boosted trees over rules and regression, calibration."""
 
-    logistic: PipelineModel
-    stack: PipelineModel
+    logistic: Heads
+    stack: Trees
     calibrator: Calibrator | None = None
 
     def predict(self, df: DataFrame, headline: str = "headline", calibrated: bool = True) -> DataFrame:
         """df with ``probability``; entities are masked before anything is computed."""
         keep = df.columns
-        rows = with_logistic(self.logistic, df, headline).select(*keep, "lr_prob", *[c for c in rules.FEATURES if c not in keep])
-        rows = with_stack(self.stack, rows).select(*keep, "gbt_prob")
+        rows = with_logistic(self.logistic, df.select(headline, F.struct(*keep).alias("_row")), headline)
+        rows = with_stack(self.stack, rows).select("_row.*", "gbt_prob")
         if not calibrated or self.calibrator is None:
             return rows.withColumnRenamed("gbt_prob", "probability")
         return self.calibrator.transform(rows, "gbt_prob").select(*keep, F.col("calibrated").alias("probability"))
 
-    def save(self, folder: str) -> None:
-        self.logistic.write().overwrite().save(f"{folder}/logistic")
-        self.stack.write().overwrite().save(f"{folder}/stack")
+    def save(self, spark: SparkSession, folder: str) -> None:
+        self.logistic.save(spark, f"{folder}/logistic")
+        self.stack.save(spark, f"{folder}/stack")
         if self.calibrator is not None:
-            self.calibrator.save(f"{folder}/calibrator")
+            self.calibrator.save(spark, f"{folder}/calibrator")
+        spark.createDataFrame([(self.calibrator is not None,)], "calibrated boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts")
 
     @classmethod
-    def load(cls, folder: str) -> Scorer:
-        return cls(PipelineModel.load(f"{folder}/logistic"), PipelineModel.load(f"{folder}/stack"), Calibrator.load(f"{folder}/calibrator"))
+    def load(cls, spark: SparkSession, folder: str) -> Scorer:
+        calibrated = spark.read.parquet(f"{folder}/parts").first()["calibrated"]
+        return cls(Heads.load(spark, f"{folder}/logistic"), Trees.load(spark, f"{folder}/stack"), Calibrator.load(spark, f"{folder}/calibrator") if calibrated else None)
 
 
 def fit_scorer(train: DataFrame, validation: DataFrame, label: str, trees: int = PARAMS.gbt_trees, iterations: int = PARAMS.lr_iterations) -> Scorer:
     """Regression and trees of the training rows, calibration of the validation rows."""
     logistic = fit_logistic(train, label, iterations=iterations)
     stack = fit_stack(with_logistic(logistic, train), label, trees=trees)
-    raw = Scorer(logistic, stack).predict(validation, calibrated=False)
+    raw = stored(Scorer(logistic, stack).predict(validation, calibrated=False).select(label, "probability"))
     return Scorer(logistic, stack, Calibrator(raw, label, "probability"))
 
 

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 #: Lower edges of ten bins as sums of tenths in binary give them. Fixed values.
 EDGES = tuple(i * 0.1 for i in range(10))
 
@@ -67,19 +69,46 @@ def calibration_error(df: DataFrame, keys: list[str], y: str, p: str) -> DataFra
 
 
 def below(df: DataFrame, keys: list[str], value: str, sums: dict[str, str]) -> DataFrame:
-    """df (one row for each key and value) with new columns: sums of columns over the key's smaller values.
+    """df (one row for each key and value) with new columns: sums of columns over the key's smaller values, and over all of
+    them (``_of`` before the name).
 
-    Works by ranges of the value, 4,096 to a unit: totals of ranges first, then sums within each, so that no task
-    sorts all values of a key.
+    Works by ranges of (key, value) that Spark cuts from a sample, about equal in rows whatever the values are: totals of
+    ranges first, then sums within each, so that no task sorts all values of a key. The ranges are stored, as a sample
+    taken again could cut elsewhere.
     """
-    ranged = df.withColumn("_range", F.floor(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col(value) * 4096))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(parts, *keys, value).withColumn("_range", F.spark_partition_id()))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    totals = totals.select(*keys, "_range", *[zero(F.sum(f"_t_{n}").over(earlier)).alias(f"_b_{n}") for n in sums])
-    own = ranged.withColumns({f"_i_{n}": zero(F.sum(c).over(inside)) for n, c in sums.items()}).join(totals, [*keys, "_range"])
-    return own.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_range", *[f"_{x}_{n}" for n in sums for x in "bi"])
+    totals = totals.select(*keys, "_range", *[zero(F.sum(f"_t_{n}").over(earlier)).alias(f"_b_{n}") for n in sums], *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(f"_of_{n}") for n in sums])
+    own = ranged.withColumns({f"_i_{n}": zero(F.sum(c).over(inside)) for n, c in sums.items()})
+    own = own.join(totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[c for c in totals.columns if c not in (*keys, "_range")]), (F.col("_range") == F.col("_r")) & _all([F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]))
+    return own.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_range", "_r", *[f"_k_{k}" for k in keys], *[f"_{x}_{n}" for n in sums for x in "bi"])
+
+
+def _all(conditions: list) -> object:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def tied(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
+    """(keys..., _p, _pos, _all): positives and rows of each score."""
+    return df.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("_pos"), F.count("*").cast("double").alias("_all"))
+
+
+def _curve(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    curve = below(counts, keys, "_p", {"pos_below": "_pos", "all_below": "_all"})
+    pos_n, n_all = F.col("_of_pos_below"), F.col("_of_all_below")
+    neg, neg_below = F.col("_all") - F.col("_pos"), F.col("all_below") - F.col("pos_below")
+    step = F.col("_pos") * (pos_n - F.col("pos_below")) / (n_all - F.col("all_below"))
+    sums = curve.groupBy(*keys).agg(F.sum(F.col("_pos") * (neg_below + neg / 2)).alias("_area"), F.sum(step).alias("_steps"), F.max(pos_n).alias("_pos_n"), F.max(n_all).alias("_n"))
+    pos, n = F.col("_pos_n"), F.col("_n")
+    auc, ap = F.when((pos > 0) & (pos < n) & (n >= least), F.col("_area") / (pos * (n - pos))), F.when(pos > 0, F.col("_steps") / pos)
+    return sums.select(*keys, auc.alias("roc_auc"), ap.alias("average_precision"), n.cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
 
 
 def ranking(df: DataFrame, keys: list[str], y: str, p: str, least: int = 0) -> DataFrame:
@@ -87,16 +116,7 @@ def ranking(df: DataFrame, keys: list[str], y: str, p: str, least: int = 0) -> D
 
     roc_auc is null for one class only, and for fewer than ``least`` rows.
     """
-    tied = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("_pos"), F.count("*").cast("double").alias("_all"))
-    curve = below(tied, keys, "_p", {"_pos_below": "_pos", "_all_below": "_all"})
-    whole = tied.groupBy(*keys).agg(F.sum("_pos").alias("_pos_n"), F.sum("_all").alias("_n"))
-    curve = curve.join(F.broadcast(whole), keys) if keys else curve.crossJoin(F.broadcast(whole))  # a row for each key
-    neg, neg_below = F.col("_all") - F.col("_pos"), F.col("_all_below") - F.col("_pos_below")
-    step = F.col("_pos") * (F.col("_pos_n") - F.col("_pos_below")) / (F.col("_n") - F.col("_all_below"))
-    sums = curve.groupBy(*keys).agg(F.sum(F.col("_pos") * (neg_below + neg / 2)).alias("_area"), F.sum(step).alias("_steps"), F.max("_pos_n").alias("_pos_n"), F.max("_n").alias("_n"))
-    pos, n = F.col("_pos_n"), F.col("_n")
-    auc, ap = F.when((pos > 0) & (pos < n) & (n >= least), F.col("_area") / (pos * (n - pos))), F.when(pos > 0, F.col("_steps") / pos)
-    return sums.select(*keys, auc.alias("roc_auc"), ap.alias("average_precision"), n.cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
+    return _curve(tied(df, keys, y, p), keys, least)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -104,17 +124,16 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
 
     Values are counted first, and placed by ranges, so that no task holds all values of a key.
     """
-    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").cast("double").alias("_c"))
-    placed = below(tied, keys, "_v", {"_less": "_c"})
-    whole = tied.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    curve = placed.join(F.broadcast(whole), keys)  # a row for each key
-    at = lambda place: F.max(F.when((F.col("_less") <= place) & (place < F.col("_less") + F.col("_c")), F.col("_v")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").cast("double").alias("_c"))
+    curve = below(counts, keys, "_v", {"less": "_c"})
+    n = F.col("_of_less")
+    at = lambda place: F.max(F.when((F.col("less") <= place) & (place < F.col("less") + F.col("_c")), F.col("_v")))
     out = {}
     for name, share in shares.items():
-        place = (F.col("_n") - 1) * share
+        place = (n - 1) * share
         low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
         out[name] = low + (high - low) * part
-    return curve.groupBy(*keys).agg(*[c.alias(k) for k, c in out.items()], F.max("_n").cast("bigint").alias("n"))
+    return curve.groupBy(*keys).agg(*[c.alias(k) for k, c in out.items()], F.max(n).cast("bigint").alias("n"))
 
 
 def thresholded(df: DataFrame, keys: list[str], y: str, p: str, threshold: float = 0.5) -> DataFrame:
@@ -125,22 +144,27 @@ def thresholded(df: DataFrame, keys: list[str], y: str, p: str, threshold: float
 
 
 def report(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """(keys..., roc_auc, average_precision, f1, ece, positive_rate, n)."""
-    parts = ranking(df, keys, y, p).drop("n", "n_pos"), thresholded(df, keys, y, p), calibration_error(df, keys, y, p)
-    out = parts[0]
-    for part in parts[1:]:
+    """(keys..., roc_auc, average_precision, f1, ece, positive_rate, n), all of counts by score, which are stored once."""
+    counts = stored(tied(df, keys, y, p))
+    hit, pos, n = (F.col("_p") >= 0.5).cast("double"), F.col("_pos"), F.col("_all")
+    f1 = 2 * F.sum(hit * pos) / F.nullif(F.sum(hit * n) + F.sum(pos), F.lit(0.0))
+    simple = counts.groupBy(*keys).agg(F.coalesce(f1, F.lit(0.0)).alias("f1"), (F.sum(hit * n) / F.sum(n)).alias("positive_rate"), F.sum(n).cast("bigint").alias("n"))
+    bins = counts.groupBy(*keys, bin_of(F.col("_p")).alias("_bin")).agg(F.sum(n).alias("_n"), F.sum(F.col("_p") * n).alias("_conf"), F.sum(pos).alias("_acc"))
+    errors = bins.groupBy(*keys).agg((F.sum(F.abs(F.col("_conf") - F.col("_acc"))) / F.sum("_n")).alias("ece"))
+    out = _curve(counts, keys, 0).drop("n", "n_pos")
+    for part in (simple, errors):
         out = out.join(part, keys) if keys else out.crossJoin(part)  # one row each
-    return out
+    return out.select(*keys, "roc_auc", "average_precision", "f1", "ece", "positive_rate", "n")
 
 
 def spearman(df: DataFrame, keys: list[str], t: str, p: str, least: int = 8) -> DataFrame:
     """(keys..., spearman, mae, n): correlation of mean ranks, and mean absolute error; null for fewer than ``least`` rows
     or a constant column."""
     finite = df.where(F.col(t).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(t).cast("double")) & ~F.isnan(F.col(p).cast("double")))
-    cells = finite.groupBy(*keys, F.col(t).cast("double").alias("_t"), F.col(p).cast("double").alias("_p")).agg(F.count("*").cast("double").alias("_c"))
+    cells = stored(finite.groupBy(*keys, F.col(t).cast("double").alias("_t"), F.col(p).cast("double").alias("_p")).agg(F.count("*").cast("double").alias("_c")))
     for x in "tp":
-        by = below(cells.groupBy(*keys, f"_{x}").agg(F.sum("_c").alias("_k")), keys, f"_{x}", {"_less": "_k"})
-        ranks = by.select(*keys, f"_{x}", (F.col("_less") + (F.col("_k") + 1) / 2).alias(f"_r{x}"))
+        by = below(cells.groupBy(*keys, f"_{x}").agg(F.sum("_c").alias("_k")), keys, f"_{x}", {"less": "_k"})
+        ranks = by.select(*keys, f"_{x}", (F.col("less") + (F.col("_k") + 1) / 2).alias(f"_r{x}"))
         cells = cells.join(ranks, [*keys, f"_{x}"])
     a, b, c = F.col("_rt"), F.col("_rp"), F.col("_c")
     n = F.sum(c)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from ..functions import lexicon as X
 from ..functions import rules, text, tokenizer
 from ..functions.lexicon import DIMENSIONS as DIMS
 from ..operators import contracts, dedup, delivery, labels, models, split, stats
+from ..operators.store import new_path, stored
 from ..sources import io
 from ..streaming import feedback
 from .oracle import ARCHETYPES, BASES, DEVICES, RESPONSES, SIDES, TEMPLATES
@@ -285,24 +285,25 @@ def tfidf_idf_table(spark, d):
 
 
 def model_rows(spark, d) -> DataFrame:
-    """Labelled rows in three sets by a hash, with half of the headlines' bait beginnings as the label to learn."""
-    rows = labelled(spark, d).withColumn("bait", (F.col("doc_id") % 12 < 9).cast("int"))
+    """(doc_id, headline, label, split): labelled documents, their whole texts to learn the label toxic from, in three sets
+    by a hash."""
+    rows = labelled(spark, d).select("doc_id", F.col("body").alias("headline"), "label")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
     return rows.withColumn("split", F.when(part < 7, "train").when(part < 8, "val").otherwise("test"))
 
 
 def tfidf_logreg(spark, d):
     rows = model_rows(spark, d)
-    model = models.fit_logistic(rows.where("split = 'train'"), "bait")
-    return stats.report(models.with_logistic(model, rows.where("split <> 'train'")), ["split"], "bait", "lr_prob")
+    model = models.fit_logistic(rows.where("split = 'train'"), "label")
+    return stats.report(models.with_logistic(model, rows.where("split <> 'train'")), ["split"], "label", "lr_prob")
 
 
 def gbt_stack(spark, d):
     rows = model_rows(spark, d)
-    logistic = models.fit_logistic(rows.where("split = 'train'"), "bait")
-    scored_rows = models.with_logistic(logistic, rows).select("doc_id", "split", "bait", "lr_prob", *rules.FEATURES)
-    stack = models.fit_stack(scored_rows.where("split = 'train'"), "bait")
-    return stats.report(models.with_stack(stack, scored_rows.where("split <> 'train'")), ["split"], "bait", "gbt_prob")
+    logistic = models.fit_logistic(rows.where("split = 'train'"), "label")
+    scored_rows = stored(models.with_logistic(logistic, rows).select("doc_id", "split", "label", *models.STACKED))
+    stack = models.fit_stack(scored_rows.where("split = 'train'"), "label")
+    return stats.report(models.with_stack(stack, scored_rows.where("split <> 'train'")), ["split"], "label", "gbt_prob")
 
 
 def isotonic_calibration(spark, d):
@@ -422,11 +423,10 @@ def trained_scores(spark, d):
     """Scoring records by a model that was trained, saved and loaded again."""
     rows = model_rows(spark, d)
     one = lambda name: rows.where(F.col("split") == name)
-    dedup._checkpoint_dir(rows)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scorer-{uuid.uuid4().hex}"
-    models.fit_scorer(one("train"), one("val"), "bait").save(folder)
-    found = rules.with_score_record(models.Scorer.load(folder).predict(one("test")), probability="probability")
-    return found.select("doc_id", "bait", "manipulation_score", "intensity", F.array_join("detected_techniques", ",").alias("detected"), "model")
+    folder = new_path(spark, "scorer")
+    models.fit_scorer(one("train"), one("val"), "label").save(spark, folder)
+    found = rules.with_score_record(models.Scorer.load(spark, folder).predict(one("test")), probability="probability")
+    return found.select("doc_id", "label", "manipulation_score", "intensity", F.array_join("detected_techniques", ",").alias("detected"), "model")
 
 
 def archetype_order(spark, d):

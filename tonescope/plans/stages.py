@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import PARAMS
 from ..functions import rules
 from ..operators import contracts, dedup, labels, models, split, stats
+from ..operators.store import stored
 from ..sources import io
 
 
@@ -62,11 +63,11 @@ def train(spark: SparkSession, folder: str, trees: int = PARAMS.gbt_trees, itera
     scorer = models.fit_scorer(one("train"), one("val"), "label_clickbait", trees, iterations)
     keep = ["headline", "split", "label_clickbait", "lr_prob", *rules.FEATURES]
     boosted = models.with_stack(scorer.stack, models.with_logistic(scorer.logistic, rows).select(*keep)).select(*keep, "gbt_prob")
-    final = rules.with_scores(scorer.calibrator.transform(boosted, "gbt_prob")).withColumn("rules_prob", rules.rules_baseline())
+    final = stored(rules.with_scores(scorer.calibrator.transform(boosted, "gbt_prob")).withColumn("rules_prob", rules.rules_baseline()))
     ladder = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p")) for n, c in (("rules", "rules_prob"), ("logistic", "lr_prob"), ("boosted", "gbt_prob"), ("calibrated", "calibrated"))]))
     long = final.where("split <> 'train'").select("split", "label_clickbait", ladder.alias("m")).select("split", "label_clickbait", "m.model", "m.p")
     report = stats.report(long, ["split", "model"], "label_clickbait", "p")
-    scorer.save(f"{folder}/models")
+    scorer.save(spark, f"{folder}/models")
     report.write.mode("overwrite").json(f"{folder}/report")
     return spark.read.json(f"{folder}/report")
 
@@ -74,7 +75,7 @@ def train(spark: SparkSession, folder: str, trees: int = PARAMS.gbt_trees, itera
 def score(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     """rows with the scoring record, by the saved model if there is one, else by the rules."""
     try:
-        scorer = models.Scorer.load(f"{folder}/models")
+        scorer = models.Scorer.load(spark, f"{folder}/models")
     except Exception as missing:
         if not any(s in str(missing) for s in ("PATH_NOT_FOUND", "does not exist")):
             raise
