@@ -148,12 +148,6 @@ def test_clean(spark):
     assert sorted(r["row_id"] for r in io.clean(df).collect()) == [1, 5]
 
 
-def test_page_headlines(spark):
-    html = "<H1>A heading with <b>many</b> useful\n words</H1><h2>short</h2><a href=x>one two three fourteenlettersx</a><a>five whole words in this link</a>" + "<h3>Another heading that is long enough</h3>" * 50
-    rows = io.page_headlines(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("place").collect()
-    assert len(rows) == 40 and rows[0]["headline"] == "A heading with many useful words" and rows[1]["tag"] == "a"
-
-
 def test_feedback_stream(spark, tmp_path):
     events = [{"headline": "h", "user_verdict": "agree", "ts": 86400.0 * d} for d in range(3)] + [{"headline": "", "user_verdict": "agree", "ts": 0.0}]
     (tmp_path / "in").mkdir()

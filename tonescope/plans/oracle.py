@@ -104,6 +104,12 @@ RESPONSES = (_FULL(0), _FULL(2, "true"), _FULL(3), _FULL('"1"'), _FULL(1, "0"),
 VOTE = "(doc_id * 7 + k * 3 + {i}) % 3"
 LABEL_TEXT = "['7', '1', NULL, 'abc', '1.5', '2.5', '-3', 'NaN']"
 
+#: Elements of a kind, each to its own end tag, and where they start: by the texts between them and the elements before.
+ELEMENTS = lambda t: f"""SELECT page_id, '{t}' AS tag, m[k] AS e, coalesce(list_sum(list_transform(s[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start FROM (
+            SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<{t}\\b[^>]*>.*?</{t}>') AS m, regexp_split_to_array(html, '(?is)<{t}\\b[^>]*>.*?</{t}>') AS s FROM x))"""
+#: References that the tables' headings hold; the sign itself comes last.
+DECODED = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"
+
 ORACLE: dict[str, str] = {
     "technique_summary": f"{SCORED} SELECT lang, {BAND} AS band, count(*) AS n, round(avg({SCORE}), 6) AS avg_score FROM scored GROUP BY ALL",
     "technique_scores": f"{SCORED} SELECT doc_id, {', '.join(f's_{d}' for d in DIMS)}, round({SCORE}, 6) AS manipulation_score FROM scored",
@@ -170,9 +176,10 @@ ORACLE: dict[str, str] = {
     "delivery_verdict": f"""WITH {PROBE_SQL}, {WINDOWS}, o AS (SELECT doc_id, n_windows, len(list_intersect(h, b)) / CAST(greatest(1, len(h)) AS DOUBLE) AS e, len(list_intersect(b, ['not', 'no', 'never', 'none'])) > 0 AS neg FROM (SELECT doc_id, n_windows, {HEAD_WORDS('headline')} AS h, {HEAD_WORDS('w')} AS b FROM win)),
         m AS (SELECT doc_id, max(n_windows) AS n_windows, max(e) AS d, max(CASE WHEN neg THEN (1 - e) / 2 ELSE 0 END) AS c FROM o GROUP BY doc_id)
         SELECT p.doc_id, round(d, 6) AS delivery, round(c, 6) AS contradiction, CASE WHEN d IS NULL THEN NULL WHEN d >= 0.6 THEN 'delivered' WHEN c >= 0.5 OR (d < 0.3 AND c >= 0.15) THEN 'overpromises' WHEN d >= 0.3 THEN 'partially_supported' ELSE 'not_directly_supported' END AS verdict, CAST(n_windows AS BIGINT) AS n_windows, CASE WHEN d IS NULL THEN 'empty body' END AS error FROM probe p LEFT JOIN m USING (doc_id)""",
-    "html_headlines": """WITH x AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<(?:h1|h2|h3|a)\\b[^>]*>.*?</(?:h1|h2|h3|a)>') AS m FROM pages), e AS (SELECT page_id, unnest(m) AS e, unnest(range(len(m))) AS k FROM x),
-        h AS (SELECT page_id, k, lower(regexp_extract(e, '(?is)^<(h1|h2|h3|a)\\b', 1)) AS tag, trim(regexp_replace(regexp_replace(e, '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g'), ' ') AS headline FROM e),
-        n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place FROM h WHERE length(headline) BETWEEN 25 AND 200 AND (tag <> 'a' OR len(string_split(headline, ' ')) >= 5))
+    "html_headlines": f"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(?:script|style|title)\\b[^>]*>.*?</(?:script|style|title)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS html FROM pages),
+        e AS ({' UNION ALL '.join(ELEMENTS(t) for t in ('h1', 'h2', 'h3', 'a'))}),
+        h AS (SELECT page_id, start, tag, trim(regexp_replace({DECODED("regexp_replace(regexp_replace(e, '(?is)<(?:br|p|div|li|h[1-6])\\b[^>]*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'), ' ') AS headline FROM e),
+        n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS place FROM h WHERE length(headline) BETWEEN 25 AND 200 AND (tag <> 'a' OR len(string_split(headline, ' ')) >= 5))
         SELECT page_id, tag, headline, place FROM n WHERE place < 40""",
     "entity_swap_invariance": f"""WITH src AS (SELECT replace(t, '{{e}}', 'entitytoken') AS headline, t, a, b FROM (SELECT unnest([{', '.join(map(quoted, TEMPLATES))}]) AS t), (SELECT unnest([{', '.join(quoted(a) for a, _ in SIDES)}]) AS a, unnest([{', '.join(quoted(b) for _, b in SIDES)}]) AS b)),
         {scored('(SELECT t AS template, a, b, headline FROM src)')} SELECT template, a AS side_a, b AS side_b, round({SCORE}, 6) AS score_a, round({SCORE}, 6) AS score_b, true AS holds FROM scored""",

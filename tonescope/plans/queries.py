@@ -12,7 +12,7 @@ from ..functions import rules, text, tokenizer
 from ..functions.lexicon import DIMENSIONS as DIMS
 from ..operators import contracts, dedup, delivery, labels, models, split, stats
 from ..operators.store import new_path, stored
-from ..sources import io
+from ..sources import headlines, io
 from ..streaming import feedback
 from .oracle import ARCHETYPES, BASES, DEVICES, RESPONSES, SIDES, TEMPLATES
 from .probe import labelled, probe
@@ -249,7 +249,7 @@ def delivery_gap(spark, d):
 
 
 def html_headlines(spark, d):
-    return io.page_headlines(table(spark, d, "pages"))
+    return headlines.page_headlines(table(spark, d, "pages"))
 
 
 def page_scores(spark, d):

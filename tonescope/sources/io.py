@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PARAMS
 from ..functions.lexicon import DIMENSIONS
-from ..functions.text import collapse, strip
+from ..functions.text import strip
 
 INSTANCE = "id string, postText array<string>, targetTitle string, targetParagraphs array<string>"
 TRUTH = "id string, truthMean double, truthClass string"
@@ -97,17 +97,3 @@ def clean(df: DataFrame, row_id: str = "row_id", headline: str = "headline") ->
     rows = df.withColumn(headline, strip(headline)).where(F.length(headline).between(PARAMS.min_headline_chars, PARAMS.max_headline_chars))
     first = rows.groupBy(headline).agg(F.min(row_id).alias("_first"))
     return rows.join(first.select(F.col("_first").alias(row_id)), row_id, "left_semi")
-
-
-def page_headlines(pages: DataFrame, html: str = "html", key: str = "page_id", most: int = 40) -> DataFrame:
-    """(key, tag, headline, place): headings and links of a page that look like headlines, the first ``most`` of it.
-
-    25 to 200 characters after white space is collapsed; a link has five words or more.
-    """
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:h1|h2|h3|a)\b[^>]*>.*?</(?:h1|h2|h3|a)>"), F.lit(0))
-    rows = pages.select(key, F.posexplode(found).alias("place", "element"))
-    tag = F.lower(F.regexp_extract("element", r"(?is)^<(h1|h2|h3|a)\b", 1))
-    text = collapse(F.regexp_replace("element", r"(?s)<[^>]*>", ""))
-    rows = rows.select(key, "place", tag.alias("tag"), text.alias("headline")).where(F.length("headline").between(25, 200)).where((F.col("tag") != "a") | (F.size(F.split("headline", " ")) >= 5))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("place"))
-    return rows.withColumn("_n", rank).where(F.col("_n") <= most).select(key, "tag", "headline", (F.col("_n") - 1).cast("bigint").alias("place"))
