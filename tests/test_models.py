@@ -55,7 +55,7 @@ def test_tfidf_weighs_what_all_rows_hold(spark):
     found = features.TextFeatures.fit(rows, "t")
     assert set(found.terms["grams"]) == {"news", "cafe", "bar", "news cafe", "cafe bar"}
     common, rare = 1.0, math.log(3 / 2) + 1
-    idx, val, ends = found.encoded(pd.Series(["news café", "news cafe bar", None]))
+    idx, val, ends = found.encoded(["news café", "news cafe bar", None])
     for i, length in enumerate((math.sqrt(3), math.sqrt(3 + 2 * rare**2))):
         got = {found.terms["grams"][j]: v for j, v in zip(idx[ends[i] : ends[i + 1]], val[ends[i] : ends[i + 1]]) if j < len(found.terms["grams"])}
         assert got["news"] == pytest.approx(common / length) and got.get("bar", rare / length) == pytest.approx(rare / length)
@@ -261,3 +261,21 @@ def test_scorer_masks_entities_and_is_saved_whole(spark, tmp_path):
     few = models.fit_scorer(df.where("id < 90"), df.where("id BETWEEN 90 AND 150"), "label_clickbait", trees=2, iterations=5)
     few.save(spark, str(tmp_path / "few"))
     assert models.Scorer.load(spark, str(tmp_path / "few")).calibrator.method == "sigmoid" == few.calibrator.method
+
+
+def test_a_student_follows_its_teacher(spark):
+    from tonescope.operators import distill, split
+
+    openings = ["Guess what: ", "Senator slams rival: ", "Deadly storm: ", "Heartbreaking news: ", "MUST READ NOW: ", ""]
+    rows = [(i, f"{openings[i % 6]}the {w} of {i % 5} towns", i % 6 in (0, 4)) for i, w in enumerate(["roads", "schools", "harbour", "budget", "parks"] * 80)]
+    df = frame(spark, rows, "doc_id int, headline string, y boolean").withColumn("y", F.col("y").cast("int"))
+    scorer = models.fit_scorer(df.where("doc_id < 150"), df.where("doc_id BETWEEN 150 AND 399 AND doc_id % 2 = 0"), "y", trees=20)
+    taught = stored(distill.teacher_logits(scorer, df.withColumn("label", F.col("y"))))
+    student = distill.fit_student(taught.where("doc_id < 250"), max_features=400)
+    assert student.features.size <= 800 and len(student.names) == 8
+    found = {r["head"]: r for r in distill.compared(student, taught.where("doc_id >= 250"), "label").collect()}
+    assert found["binary"]["roc_auc"] > 0.99 and found["outrage"]["roc_auc"] > 0.99 and found["intensity"]["spearman"] > 0.8
+    assert found["student_label"]["roc_auc"] > 0.99 and found["teacher_label"]["n"] == 150
+    none = taught.where("doc_id < 250").withColumn("teacher_fear", F.lit(None).cast("double"))
+    assert distill.fit_student(none, max_features=400, iterations=2).weights[distill.HEADS.index("fear")].tolist() == [0.0] * (student.features.size + 1)
+    assert split.at_most(df, 70).count() == 70 and split.at_most(df, 700).count() == 400

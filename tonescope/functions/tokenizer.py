@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
 import pandas as pd
@@ -26,9 +28,12 @@ def strip_marks(text: Column) -> Column:
 
 def without_accents(text: str) -> str:
     """Compatibility decomposition without combining characters, as vectorizers of scikit-learn do it."""
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else unicodedata.normalize("NFKD", text).translate(_combining())
+
+
+@functools.lru_cache(maxsize=1)
+def _combining() -> dict[int, None]:
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
 
 
 def strip_accents(text: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import functools
+import math
 from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from ..config import PARAMS
 from ..functions import rules
 from ..functions.text import let
 from ..functions.tokenizer import strip_accents, without_accents
-from .linear import scores
+from .linear import SPARSE, scores
 
 #: What a word boundary parts, the same as (?U)\w in the JVM; white space alike.
 WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]{2,}")
@@ -58,40 +59,82 @@ def grams_of(text: str, most: int = PARAMS.word_ngram_max) -> list[str]:
     return found + [" ".join(found[i : i + n]) for n in range(2, most + 1) for i in range(len(found) - n + 1)]
 
 
-@functools.lru_cache(maxsize=100_000)
-def _chars_of(word: str, low: int, high: int) -> tuple[str, ...]:
+def chars_in(word: str, low: int = PARAMS.char_ngram_min, high: int = PARAMS.char_ngram_max) -> list[str]:
+    """Runs of low to high characters of a word with a space at either end."""
     w = f" {word} "
-    return tuple(w[i : i + n] for n in range(low, high + 1) for i in range(len(w) - n + 1))
+    return [w[i : i + n] for n in range(low, high + 1) for i in range(len(w) - n + 1)]
 
 
-def chars_of(text: str, low: int = PARAMS.char_ngram_min, high: int = PARAMS.char_ngram_max) -> list[str]:
-    """Runs of low to high characters within a masked text's words, each with a space at either end."""
-    return list(chain.from_iterable(_chars_of(w, low, high) for w in SOLID.findall(text)))
+def chars_of(text: str) -> list[str]:
+    """Those of all words of a masked text."""
+    return list(chain.from_iterable(map(chars_in, SOLID.findall(text))))
 
 
-KINDS = {"grams": grams_of, "chars": chars_of}
+KINDS = ("grams", "chars")
+
+
+class Coder:
+    """Numbers for the terms of texts: ``find`` gives a term's number, or -1. Each distinct word's runs are looked up once,
+    while the table of words is not full."""
+
+    def __init__(self, find: dict[str, Callable[[str], int]], most_words: int = 200_000):
+        self.find, self.most_words = find, most_words
+        self.words: dict[str, np.ndarray] = {}
+
+    def __call__(self, text: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Of each kind the numbers of a text's terms, each once, and how often each comes."""
+        grams = grams_of(text)
+        out = {"grams": np.unique(np.fromiter(map(self.find["grams"], grams), np.int64, len(grams)), return_counts=True)}
+        words = Counter(SOLID.findall(text))
+        if len(self.words) > self.most_words:
+            self.words.clear()
+        each = []
+        for w in words:
+            if (codes := self.words.get(w)) is None:
+                runs = chars_in(w)
+                codes = self.words[w] = np.fromiter(map(self.find["chars"], runs), np.int64, len(runs))
+            each.append(codes)
+        codes = np.concatenate(each) if each else np.zeros(0, np.int64)
+        places, at = np.unique(codes, return_inverse=True)
+        weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in each])
+        out["chars"] = places, np.bincount(at, weights, len(places)).astype(np.int64) if len(places) else places
+        return {k: (p[p >= 0], n[p >= 0]) for k, (p, n) in out.items()}
+
+
+class _Numbers(dict):
+    """Numbers for terms in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 def _count_terms(batches):
-    """(kind, term, tf, df) of a task's texts, passed on whenever the table is full."""
-    tables = {k: (Counter(), Counter()) for k in KINDS}
+    """(kind, term, tf, df) of a task's texts, passed on whenever a table is full."""
+
+    def fresh():
+        tables = {k: _Numbers() for k in KINDS}
+        return tables, Coder({k: t.__getitem__ for k, t in tables.items()}), {k: np.zeros((2, 1024), np.int64) for k in KINDS}
+
+    tables, coder, counts = fresh()
 
-    def passed_on(kind):
-        tf, df = tables[kind]
-        if tf:
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(tf)), pa.array(list(tf)), pa.array(list(tf.values()), pa.int64()), pa.array([df[t] for t in tf], pa.int64())], ["kind", "term", "tf", "df"])
-        tables[kind] = (Counter(), Counter())
+    def passed_on():
+        for kind, table in tables.items():
+            if table:
+                tf, df = counts[kind][:, : len(table)]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(table)), pa.array(list(table)), pa.array(tf), pa.array(df)], ["kind", "term", "tf", "df"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for kind, of in KINDS.items():
-                terms = of(text or "")
-                tables[kind][0].update(terms)
-                tables[kind][1].update(set(terms))
-                if len(tables[kind][0]) >= MOST_TERMS:
-                    yield from passed_on(kind)
-    for kind in KINDS:
-        yield from passed_on(kind)
+            for kind, (places, n) in coder(text or "").items():
+                while counts[kind].shape[1] < len(tables[kind]):
+                    counts[kind] = np.concatenate([counts[kind], np.zeros_like(counts[kind])], 1)
+                counts[kind][0, places] += n
+                counts[kind][1, places] += 1
+            if max(map(len, tables.values())) >= MOST_TERMS:
+                yield from passed_on()
+                tables, coder, counts = fresh()
+    yield from passed_on()
 
 
 @dataclass
@@ -120,34 +163,56 @@ class TextFeatures:
             idf[kind] = np.log((1 + n) / (1 + top.column("df").to_numpy())) + 1
         return cls(terms, idf)
 
-    def encoded(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def coder(self) -> Coder:
+        """One for each worker."""
+        if "_coder" not in self.__dict__:
+            self._coder = self._new_coder()
+        return self._coder
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_coder"}
+
+    def _new_coder(self) -> Coder:
+        return Coder({k: lambda t, get=self.places[k].get: get(t, -1) for k in KINDS})
+
+    def encoded(self, texts: Iterable[str | None], coder: Coder | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sparse rows as (places, values, ends from a leading 0 on): counts times weights, each kind of length 1."""
-        parts, begin = [], 0
-        for kind, of in KINDS.items():
-            n, find = max(1, len(self.terms[kind])), self.places[kind].get
-            each = [np.fromiter(map(find, found, repeat(-1)), np.int64, len(found)) for found in map(of, texts.fillna(""))]
-            row = np.repeat(np.arange(len(each)), [len(x) for x in each])
-            place = np.concatenate([np.zeros(0, np.int64), *each])
-            code, tf = np.unique((row * n + place)[place >= 0], return_counts=True)
-            row, term = np.divmod(code, n)
-            value = tf * self.idf[kind][term]
-            parts.append((row, term + begin, value / np.sqrt(np.bincount(row, value * value, len(each)))[row]))
-            begin += len(self.terms[kind])
-        row, term, value = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(row, kind="stable")
-        return term[order], value[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
-
-    def sparse(self, rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-        """keep with ``idx`` and ``val`` of masked texts."""
+        coder = coder or self.coder()
+        places, values, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], [0]
+        for text in texts:
+            begin, size = 0, 0
+            for kind, (place, n) in coder(text or "").items():
+                value = n * self.idf[kind][place]
+                places.append(place + begin)
+                values.append(value / math.sqrt(float(value @ value)) if len(value) else value)
+                begin += len(self.terms[kind])
+                size += len(place)
+            sizes.append(size)
+        return np.concatenate(places), np.concatenate(values), np.cumsum(sizes)
+
+    def blocks(self, texts: list[str | None], coder: Coder, chars: int = 500_000):
+        """encoded() of some texts at a time, so that memory is bounded."""
+        begin, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= chars or i + 1 == len(texts):
+                yield begin, i + 1, *self.encoded(texts[begin : i + 1], coder)
+                begin, size = i + 1, 0
+
+    def sparse(self, rows: DataFrame, text: str, targets: str) -> DataFrame:
+        """(idx, val, targets) of masked texts."""
         shared = rows.sparkSession.sparkContext.broadcast(self)  # the vocabulary, at most max_features of each kind
 
-        @F.pandas_udf("idx array<int>, val array<float>")
-        def encode(texts: pd.Series) -> pd.DataFrame:
-            idx, val, ends = shared.value.encoded(texts)
-            cut = lambda x: pd.Series([x[b:e] for b, e in zip(ends[:-1], ends[1:])], dtype=object)
-            return pd.DataFrame({"idx": cut(idx.astype(np.int32)), "val": cut(val.astype(np.float32))})
+        def task(batches):
+            features = shared.value
+            coder = features.coder()
+            for b in batches:
+                for begin, end, idx, val, ends in features.blocks(b.column(0).to_pylist(), coder):
+                    cuts = pa.array(ends, pa.int32())
+                    columns = [pa.ListArray.from_arrays(cuts, pa.array(idx, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(val, pa.float32())), b.column(1).slice(begin, end - begin)]
+                    yield pa.RecordBatch.from_arrays(columns, ["idx", "val", "targets"])
 
-        return rows.withColumn("_sparse", encode(text)).select(*keep, "_sparse.idx", "_sparse.val")
+        return rows.select(text, F.col(targets).alias("targets")).mapInArrow(task, SPARSE)
 
     def scored(self, rows: DataFrame, text: Column, weights: np.ndarray, name: str) -> DataFrame:
         """rows with an array of each head's score of a masked text."""
@@ -156,7 +221,8 @@ class TextFeatures:
         @F.pandas_udf("array<double>")
         def score(texts: pd.Series) -> pd.Series:
             features, w = shared.value
-            return pd.Series(list(scores(*features.encoded(texts), w)), dtype=object)
+            parts = [scores(*block, w) for _, _, *block in features.blocks(texts.where(texts.notna(), None).to_list(), features.coder())]
+            return pd.Series(list(np.concatenate([np.zeros((0, len(w))), *parts])), dtype=object)
 
         return rows.withColumn(name, score(text))
 

@@ -105,12 +105,13 @@ def _gradient(rows: DataFrame, weights: np.ndarray, losses: list[Callable], redu
 
 def quasi_newton(objective: Callable, start: np.ndarray, iterations: int, tolerance: float, memory: int = 10) -> tuple[np.ndarray, int]:
     """The least point of a smooth convex objective (value and gradient of a point): limited-memory BFGS with halved steps,
-    until no gradient entry is over the tolerance. Also the number of steps."""
+    until no gradient entry is over the tolerance, times the start's largest where that is over 1. Also the steps taken."""
     x = start
     value, grad = objective(x)
+    least = tolerance * max(1.0, np.abs(grad).max(initial=0.0))
     past: deque = deque(maxlen=memory)
     for step in range(iterations):
-        if np.abs(grad).max(initial=0.0) <= tolerance:
+        if np.abs(grad).max(initial=0.0) <= least:
             return x, step
         way, kept = -grad, []
         for s, y, rho in reversed(past):

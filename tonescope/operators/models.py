@@ -22,9 +22,9 @@ __all__ = ["Calibrator", "Heads", "Scorer", "blend", "fit_heads", "fit_logistic"
 STACKED = [*rules.FEATURES, "lr_prob"]
 
 
-def logit(p):
+def logit(p, off: float = 1e-6):
     """Of a probability, which is kept a little off 0 and 1."""
-    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    q = F.greatest(F.lit(off), F.least(F.lit(1 - off), p))
     return F.log(q / (1 - q))
 
 
@@ -67,7 +67,7 @@ def fit_heads(train: DataFrame, targets: dict[str, tuple[str, object]], headline
     columns = [F.coalesce(F.col(t).cast("double"), F.lit(float("nan"))) for t, _ in targets.values()]
     rows = stored(train.select(masked(headline).alias("text"), F.array(*columns).alias("targets")))
     features = TextFeatures.fit(rows, "text", max_features)
-    sparse = stored(features.sparse(rows, "text", ["targets"]))
+    sparse = stored(features.sparse(rows, "text", "targets"))
     penalty = 1.0 / (c * max(1, sparse.count())) if penalty is None else penalty
     weights = linear.fit_heads(sparse, features.size, [loss for _, loss in targets.values()], penalty, iterations, tolerance)
     return Heads(features, weights, list(targets))

@@ -60,3 +60,9 @@ def exact_sample(df: DataFrame, share: float, row_id: str = "doc_id", seed: int
     whole = rows.where(~edge).withColumn("sampled", F.col("_before") < F.col("_most"))
     part = rows.where(edge).withColumn("sampled", F.col("_before") + place <= F.col("_most"))
     return whole.unionByName(part).drop("_hash", "_range", "_n", "_before", "_most")
+
+
+def at_most(df: DataFrame, most: int, row_id: str = "doc_id", seed: int = 7) -> DataFrame:
+    """df, or an exact sample of ``most`` of its rows by their hashes if it has more: a bound for fitting a model."""
+    n = df.count()
+    return df if n <= most else exact_sample(df, most / n, row_id, seed).where("sampled").drop("sampled")

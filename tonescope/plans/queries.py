@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as X
 from ..functions import rules, text, tokenizer
 from ..functions.lexicon import DIMENSIONS as DIMS
-from ..operators import contracts, dedup, delivery, labels, models, split, stats
+from ..operators import contracts, dedup, delivery, distill, labels, models, split, stats
 from ..operators.store import new_path, stored
 from ..sources import headlines, io
 from ..streaming import feedback
@@ -284,26 +284,35 @@ def tfidf_idf_table(spark, d):
     return models.idf_table(probe(spark, d)).select("term", "df", six(F.col("idf"), "idf"))
 
 
-def model_rows(spark, d) -> DataFrame:
+def model_rows(spark, d, text: str = "body") -> DataFrame:
     """(doc_id, headline, label, split): labelled documents, their whole texts to learn the label toxic from, in three sets
     by a hash."""
-    rows = labelled(spark, d).select("doc_id", F.col("body").alias("headline"), "label")
+    rows = labelled(spark, d).select("doc_id", F.col(text).alias("headline"), "label")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
     return rows.withColumn("split", F.when(part < 7, "train").when(part < 8, "val").otherwise("test"))
 
 
+#: Labelled rows from which the queries fit a model, and as many to calibrate it, at most; all others are scored.
+FIT_ROWS = 5_000
+
+
+def fitting(rows: DataFrame, name: str) -> DataFrame:
+    return stored(split.at_most(rows.where(F.col("split") == name), FIT_ROWS))
+
+
 def tfidf_logreg(spark, d):
     rows = model_rows(spark, d)
-    model = models.fit_logistic(rows.where("split = 'train'"), "label")
+    model = models.fit_logistic(fitting(rows, "train"), "label")
     return stats.report(models.with_logistic(model, rows.where("split <> 'train'")), ["split"], "label", "lr_prob")
 
 
 def gbt_stack(spark, d):
     rows = model_rows(spark, d)
-    logistic = models.fit_logistic(rows.where("split = 'train'"), "label")
-    scored_rows = stored(models.with_logistic(logistic, rows).select("doc_id", "split", "label", *models.STACKED))
-    stack = models.fit_stack(scored_rows.where("split = 'train'"), "label")
-    return stats.report(models.with_stack(stack, scored_rows.where("split <> 'train'")), ["split"], "label", "gbt_prob")
+    train = fitting(rows, "train")
+    logistic = models.fit_logistic(train, "label")
+    stack = models.fit_stack(models.with_logistic(logistic, train), "label")
+    found = models.with_stack(stack, models.with_logistic(logistic, rows.where("split <> 'train'")))
+    return stats.report(found, ["split"], "label", "gbt_prob")
 
 
 def isotonic_calibration(spark, d):
@@ -422,13 +431,25 @@ def score_records(spark, d):
 def trained_scores(spark, d):
     """Scoring records by a model that was trained, saved and loaded again."""
     rows = model_rows(spark, d)
-    one = lambda name: rows.where(F.col("split") == name)
     folder = new_path(spark, "scorer")
-    models.fit_scorer(one("train"), one("val"), "label").save(spark, folder)
-    found = rules.with_score_record(models.Scorer.load(spark, folder).predict(one("test")), probability="probability")
+    models.fit_scorer(fitting(rows, "train"), fitting(rows, "val"), "label").save(spark, folder)
+    found = rules.with_score_record(models.Scorer.load(spark, folder).predict(rows.where("split = 'test'")), probability="probability")
     return found.select("doc_id", "label", "manipulation_score", "intensity", F.array_join("detected_techniques", ",").alias("detected"), "model")
 
 
+def distilled_student(spark, d):
+    """A student that learnt a trained scorer's and the rules' answers to all headlines, compared with its teacher, and
+    both with the label, on rows that the student has not seen."""
+    rows = model_rows(spark, d, "headline")
+    scorer = models.fit_scorer(fitting(rows, "train"), fitting(rows, "val"), "label")
+    every = probe(spark, d).select("doc_id", "headline")
+    held = rows.where("split = 'test'").select("doc_id", "label")
+    taught = stored(distill.teacher_logits(scorer, every.join(held, "doc_id", "left")))
+    student = distill.fit_student(split.at_most(taught.where("label IS NULL"), 4 * FIT_ROWS))
+    found = distill.compared(student, taught.where("label IS NOT NULL"), "label")
+    return found.select("head", *[six(F.col(c), c) for c in ("roc_auc", "average_precision", "f1", "ece", "spearman", "mae")], "n")
+
+
 def archetype_order(spark, d):
     """Scores of headlines from sober to shrill: each in range, each above the one before."""
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(ARCHETYPES)], "place int, headline string")
@@ -462,7 +483,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         agreement_alpha, gold_gate, label_override, ece, roc_auc, average_precision, f1_report, spearman_mae, multitask_eval_loss, rule_baseline_eval, body_windows, delivery_verdict, delivery_gap, html_headlines, page_scores,
         entity_swap_invariance, directional_lift, ensemble_blend, tfidf_idf_table, tfidf_logreg, gbt_stack, isotonic_calibration, basic_tokens, word_pieces, coerced_labels, request_validation, feedback_windows,
         latency_percentiles, max_abs_difference, union_frames, hash_sample, label_counts, sample_tables, validation_remainder, guarded_auc, label_schema_check, labelling_loop, labels_present, gated_targets,
-        score_records, trained_scores, archetype_order, feedback_queue,
+        score_records, trained_scores, distilled_student, archetype_order, feedback_queue,
     )
 } | {"shingles": shingle_counts}
 QUERIES["group_split"] = lambda spark, d: group_split(spark, d).select("doc_id", "dup_group", "split")
