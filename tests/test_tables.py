@@ -1,10 +1,12 @@
 import gzip
 import json
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests import slot_models
 from tonescope.operators import contracts, dedup, delivery, labels, split
 from tonescope.functions.lexicon import DIMENSIONS
 from tonescope.sources import io
@@ -133,7 +135,10 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("in/instances.jsonl", "\n".join(json.dumps(p) for p in posts))
         z.writestr("in/truth.jsonl", "\n".join(json.dumps(t) for t in ({"id": "1", "truthMean": 0.2, "truthClass": "no"}, {"id": "1", "truthMean": 0.8, "truthClass": "clickbait"}, {"id": "3", "truthMean": 0.1, "truthClass": "no"})))
-    read = lambda s, schema: io.read_jsonl_from_zip(spark, str(tmp_path / "z.zip"), s, schema, str(tmp_path))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.posts.link./in", f"file://{tmp_path}")  # a path that only Spark's readers open
+    read = lambda s, schema: io.read_jsonl_from_zip(spark, "viewfs://posts/in/z.zip", s, schema)
+    with pytest.raises(Exception, match="no member"):
+        read("missing.jsonl", io.TRUTH).count()
     rows = io.graded_posts(read("instances.jsonl", io.INSTANCE), read("truth.jsonl", io.TRUTH)).collect()
     assert [(r["id"], r["headline"], r["target_title"], r["body"], r["intensity"], r["label_clickbait"]) for r in rows] == [("1", "Big  news here", "", "a b", 0.8, 1)]
     (tmp_path / "gold.csv").write_text("headline," + ",".join(DIMENSIONS) + '\n"One, two ""three""",0,1,2,0,0,0\n')
@@ -143,6 +148,60 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/split=train")).count() == 1
 
 
+def test_models_of_any_label_order_give_equal_verdicts(spark):
+    body = "The bridge opens today. It was not easy. " * 9
+    df = spark.createDataFrame([(i, h, b) for i, (h, b) in enumerate([("Bridge opens today", body), ("Bridge never opens", body), ("Nothing", "x."), (None, body), ("Bridge", None)] * 30)], "doc_id int, headline string, body string")
+    rows = [sorted(map(tuple, delivery.delivery_gap(df, s).collect()), key=str) for s in (delivery.overlap_scorer, delivery.model_scorer(delivery.shared_words_model), delivery.model_scorer(slot_models.permuted, batch=7))]
+    assert rows[1] == rows[2]
+    same = lambda rs: [r for r in rs if r[1] is not None]
+    assert same(rows[0]) == same(rows[1]) and {r[5] for r in rows[1]} >= {"delivered", "not_directly_supported"}
+    assert {r["max_contradiction"] for r in delivery.delivery_gap(df, delivery.model_scorer(slot_models.two_labels)).where("max_contradiction IS NOT NULL").collect()} == {0.0}
+    assert delivery.label_places({0: "LABEL_entailment", 1: "x"}) == (0, None) and delivery.label_places({0: "contradiction", 2: "Entailment"}) == (2, 0)
+    with pytest.raises(ValueError):
+        delivery.label_places({0: "a", 1: "b"})
+
+
+def test_streams_with_state(spark, tmp_path):
+    """Repeats within the watermark are dropped, late events are too, sessions end when their gap has passed."""
+    from tonescope.streaming import sessions
+
+    hour = 3600.0
+    first = [("a", 0.0, "u"), ("b", 0.2, "u"), ("a", 0.1, "u"), ("c", 5.0, "u"), ("d", 5.1, "v")]
+    second = [("b", 0.3, "u"), ("e", 40.0, "u"), ("f", 40.1, "v")]
+    third, fourth = [("h", 80.0, "w"), ("e", 40.2, "u")], [("g", 1.0, "u")]  # g comes too late: after a batch that knew of 40 hours
+    (tmp_path / "in").mkdir()
+    schema = "id string, at double, user string"
+    frames = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds(F.col("at") * hour))
+    for i, events in enumerate((first, second, third, fourth)):
+        (tmp_path / f"in/{i}.json").write_text("\n".join(json.dumps(dict(zip(("id", "at", "user"), e))) for e in events))
+        os.utime(tmp_path / f"in/{i}.json", (i + 1, i + 1))
+
+    def run(df, name, mode="append"):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    once = [r["id"] for r in run(sessions.without_repeats(frames(), ["id"], "ts", late="10 hours"), "once")]
+    assert sorted(once) == ["a", "b", "c", "d", "e", "f", "h"]
+    ended = sorted((r["user"], r["n"], r["top"]) for r in run(sessions.sessions(frames(), "ts", "user", "2 hours", late="10 hours", measures={"top": F.max("at")}), "ended"))
+    assert ended == [("u", 1, 5.0), ("u", 2, 40.2), ("u", 4, 0.3), ("v", 1, 5.1), ("v", 1, 40.1)]
+    batch = spark.read.schema(schema).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds(F.col("at") * hour))
+    assert sorted(r["id"] for r in sessions.without_repeats(batch, ["id"], "ts").collect()) == list("abcdefgh")
+    assert {(r["user"], r["n"]) for r in sessions.sessions(batch, "ts", "user", "2 hours").collect()} == {("u", 5), ("u", 1), ("u", 2), ("v", 1), ("w", 1)}
+    slid = {(r["window_start"].hour, r["n"]) for r in sessions.sliding_counts(batch.where("at < 3"), "ts", "user", "2 hours", "1 hour").collect()}
+    assert slid == {(23, 4), (0, 5), (1, 1)}
+
+
+def test_functions_of_sql(spark):
+    from tonescope.functions import sql
+
+    assert "technique_spans" in sql.register(spark)
+    spark.createDataFrame([(1, "MUST READ: Guess what the FBI did!!"), (2, ""), (3, None)], "i int, h string").createOrReplaceTempView("_heads")
+    rows = spark.sql("SELECT i, s.* FROM _heads, LATERAL technique_span_rows(h) s").collect()
+    assert {(r["dimension"], r["text"]) for r in rows} == {("curiosity_gap", "Guess what"), ("sensational_formatting", "MUST"), ("sensational_formatting", "READ"), ("sensational_formatting", "!!")}
+    one = spark.sql("SELECT mask_entities('Biden waits') AS m, normalize_headline(' A-b C ') AS n, intensity_band(0.5) AS b, body_windows('A. B. C.', 2, 1) AS w").first()
+    assert one["m"].endswith("waits") and one["n"] == "ab c" and one["b"] == "moderate" and [x["window"] for x in one["w"]] == ["A. B."]
+
+
 def test_clean(spark):
     df = spark.createDataFrame([(2, " A long headline "), (1, "A long headline"), (3, "short"), (4, "x" * 301), (5, "a long headline")], "row_id long, headline string")
     assert sorted(r["row_id"] for r in io.clean(df).collect()) == [1, 5]

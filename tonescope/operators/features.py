@@ -20,13 +20,14 @@ from ..functions import rules
 from ..functions.text import let
 from ..functions.tokenizer import strip_accents, without_accents
 from .linear import SPARSE, scores
+from .store import stored, trimmed
 
 #: What a word boundary parts, the same as (?U)\w in the JVM; white space alike.
 WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]{2,}")
 SOLID = regex.compile(r"[^\p{White_Space}]+")
 VOCABULARY = "kind string, place int, term string, idf double"
 #: Terms of a task's table at which it passes them on.
-MOST_TERMS = 500_000
+MOST_TERMS = 200_000
 
 
 def word_grams(text: Column | str, most: int = PARAMS.word_ngram_max) -> Column:
@@ -77,7 +78,7 @@ class Coder:
     """Numbers for the terms of texts: ``find`` gives a term's number, or -1. Each distinct word's runs are looked up once,
     while the table of words is not full."""
 
-    def __init__(self, find: dict[str, Callable[[str], int]], most_words: int = 200_000):
+    def __init__(self, find: dict[str, Callable[[str], int]], most_words: int = 50_000):
         self.find, self.most_words = find, most_words
         self.words: dict[str, np.ndarray] = {}
 
@@ -155,7 +156,7 @@ class TextFeatures:
     def fit(cls, rows: DataFrame, text: str, max_features: int = PARAMS.max_features) -> TextFeatures:
         """From masked texts. Terms are ranked by how often they occur, then by themselves; the driver gets those kept."""
         n = rows.count()
-        counts = rows.select(text).mapInArrow(_count_terms, "kind string, term string, tf long, df long").groupBy("kind", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        counts = rows.select(text).mapInArrow(trimmed(_count_terms), "kind string, term string, tf long, df long").groupBy("kind", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         terms, idf = {}, {}
         for kind in KINDS:
             top = counts.where(F.col("kind") == kind).orderBy(F.desc("tf"), "term").limit(max_features).select("term", "df").toArrow()
@@ -200,7 +201,7 @@ class TextFeatures:
                 begin, size = i + 1, 0
 
     def sparse(self, rows: DataFrame, text: str, targets: str) -> DataFrame:
-        """(idx, val, targets) of masked texts."""
+        """(idx, val, targets) of masked texts, stored."""
         shared = rows.sparkSession.sparkContext.broadcast(self)  # the vocabulary, at most max_features of each kind
 
         def task(batches):
@@ -212,7 +213,9 @@ class TextFeatures:
                     columns = [pa.ListArray.from_arrays(cuts, pa.array(idx, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(val, pa.float32())), b.column(1).slice(begin, end - begin)]
                     yield pa.RecordBatch.from_arrays(columns, ["idx", "val", "targets"])
 
-        return rows.select(text, F.col(targets).alias("targets")).mapInArrow(task, SPARSE)
+        out = stored(rows.select(text, F.col(targets).alias("targets")).mapInArrow(trimmed(task), SPARSE))
+        shared.destroy()
+        return out
 
     def scored(self, rows: DataFrame, text: Column, weights: np.ndarray, name: str) -> DataFrame:
         """rows with an array of each head's score of a masked text."""

@@ -12,7 +12,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .store import trimmed
 
 #: Rows of a task of a step at least, and numbers in a piece of a gradient on its way.
 TASK_ROWS, PIECE = 20_000, 1 << 16
@@ -91,7 +92,7 @@ def _gradient(rows: DataFrame, weights: np.ndarray, losses: list[Callable], redu
         if sums:
             yield from pieces(sorted(sums.items()))
 
-    found = rows.mapInArrow(task, "piece int, part binary")
+    found = rows.mapInArrow(trimmed(task), "piece int, part binary")
     if reduce_by > 1:
         found = found.repartition(min(reduce_by, size // PIECE + 1), "piece").mapInArrow(added, "piece int, part binary")
     parts: dict[int, np.ndarray] = {}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +50,20 @@ def _clean() -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session may be over; the folder belongs to the cluster's own cleaning then
             return
+
+
+def trimmed(task):
+    """An Arrow task that gives freed memory back to the system when it ends; its worker lives on for other tasks."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run

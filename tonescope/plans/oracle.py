@@ -244,3 +244,12 @@ ORACLE |= {
         x AS (SELECT coalesce(length(headline) BETWEEN 1 AND 500 AND v IN ('agree', 'too_high', 'too_low') AND (c IS NULL OR length(c) <= 1000), false) AS ok FROM r)
         SELECT count(*) FILTER (ok) AS queued, count(*) FILTER (ok) AS stamped, count(*) FILTER (NOT ok) AS refused FROM x""",
 }
+
+ORACLE |= {
+    "delivery_by_model": f"SELECT doc_id, verdict, n_windows, error FROM ({ORACLE['delivery_verdict']})",
+    "sql_spans": ORACLE["technique_spans"],
+    "sql_windows": ORACLE["body_windows"],
+    "feedback_sliding": "SELECT strftime(date_trunc('day', ts) - to_days(k), '%Y-%m-%d') AS window_start, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY ALL",
+    "feedback_sessions": """WITH g AS (SELECT *, coalesce(CAST(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 8 HOUR AS INTEGER), 0) AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+        SELECT user_id, epoch_us(min(ts)) AS begin_us, epoch_us(max(ts)) AS end_us, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, k""",
+}

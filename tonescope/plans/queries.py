@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
-from ..functions import rules, text, tokenizer
+from ..functions import rules, sql, text, tokenizer
 from ..functions.lexicon import DIMENSIONS as DIMS
 from ..operators import contracts, dedup, delivery, distill, labels, models, split, stats
 from ..operators.store import new_path, stored
 from ..sources import headlines, io
-from ..streaming import feedback
+from ..streaming import feedback, sessions
 from .oracle import ARCHETYPES, BASES, DEVICES, RESPONSES, SIDES, TEMPLATES
 from .probe import labelled, probe
 
@@ -248,6 +248,12 @@ def delivery_gap(spark, d):
     return delivery.delivery_gap(probe(spark, d).select("doc_id", "headline", "body"))
 
 
+def delivery_by_model(spark, d):
+    """Verdicts by a model in the inference slot."""
+    found = delivery.delivery_gap(probe(spark, d).select("doc_id", "headline", "body"), delivery.model_scorer(delivery.shared_words_model))
+    return found.select("doc_id", "verdict", "n_windows", "error")
+
+
 def html_headlines(spark, d):
     return headlines.page_headlines(table(spark, d, "pages"))
 
@@ -450,6 +456,39 @@ def distilled_student(spark, d):
     return found.select("head", *[six(F.col(c), c) for c in ("roc_auc", "average_precision", "f1", "ece", "spearman", "mae")], "n")
 
 
+def sql_spans(spark, d):
+    """The techniques' spans by the functions of SQL."""
+    sql.register(spark)
+    probe(spark, d).createOrReplaceTempView("_probe")
+    return spark.sql("SELECT doc_id, dimension, CAST(start AS BIGINT) AS span_start, CAST(`end` AS BIGINT) AS span_end, text AS span_text FROM (SELECT doc_id, technique_spans(headline) AS s FROM _probe) LATERAL VIEW inline(s) t")
+
+
+def sql_windows(spark, d):
+    """Windows of bodies by the functions of SQL."""
+    sql.register(spark)
+    probe(spark, d).createOrReplaceTempView("_probe")
+    return spark.sql("SELECT doc_id, CAST(size(w) AS BIGINT) AS n_windows, CAST(idx AS BIGINT) AS idx, CAST(length(window) AS BIGINT) AS n_chars, md5(window) AS window_md5 FROM (SELECT doc_id, body_windows(body) AS w FROM _probe) LATERAL VIEW inline(w) t")
+
+
+def timed_events(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def feedback_sliding(spark, d):
+    """Events of each kind in windows of two days that begin each day, without those that came twice."""
+    events = timed_events(spark, d)
+    again = events.where("event_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    once = sessions.without_repeats(events.unionAll(again), ["event_id"], "ts")
+    return sessions.sliding_counts(once, "ts", "event_type").select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n")
+
+
+def feedback_sessions(spark, d):
+    """Sessions of users with less than eight hours from one event to the next."""
+    found = sessions.sessions(timed_events(spark, d), "ts", "user_id", "8 hours", measures={"total": F.sum("value")})
+    stamp = lambda c: F.unix_micros(c)
+    return found.select("user_id", stamp("session_start").alias("begin_us"), (stamp("session_end") - 8 * 3600 * 1_000_000).alias("end_us"), "n", six(F.col("total"), "total"))
+
+
 def archetype_order(spark, d):
     """Scores of headlines from sober to shrill: each in range, each above the one before."""
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(ARCHETYPES)], "place int, headline string")
@@ -480,10 +519,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         technique_summary, technique_scores, technique_spans, feature_vectors, intensity_bands, detected_techniques, entity_mask, highlight_spans, clean_headlines, contract_violations, exact_dedup,
         near_dup_pairs_exact, near_dup_groups, near_dup_lsh, near_dup_lsh_candidates, group_split, split_balance, leakage_check, graded_posts, dry_run_labels, label_cache_reuse, label_median_vote, budget_cutoff, request_cost,
-        agreement_alpha, gold_gate, label_override, ece, roc_auc, average_precision, f1_report, spearman_mae, multitask_eval_loss, rule_baseline_eval, body_windows, delivery_verdict, delivery_gap, html_headlines, page_scores,
+        agreement_alpha, gold_gate, label_override, ece, roc_auc, average_precision, f1_report, spearman_mae, multitask_eval_loss, rule_baseline_eval, body_windows, delivery_verdict, delivery_gap, delivery_by_model, html_headlines, page_scores,
         entity_swap_invariance, directional_lift, ensemble_blend, tfidf_idf_table, tfidf_logreg, gbt_stack, isotonic_calibration, basic_tokens, word_pieces, coerced_labels, request_validation, feedback_windows,
         latency_percentiles, max_abs_difference, union_frames, hash_sample, label_counts, sample_tables, validation_remainder, guarded_auc, label_schema_check, labelling_loop, labels_present, gated_targets,
-        score_records, trained_scores, distilled_student, archetype_order, feedback_queue,
+        score_records, trained_scores, distilled_student, archetype_order, feedback_queue, sql_spans, sql_windows, feedback_sliding, feedback_sessions,
     )
 } | {"shingles": shingle_counts}
 QUERIES["group_split"] = lambda spark, d: group_split(spark, d).select("doc_id", "dup_group", "split")

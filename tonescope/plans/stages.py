@@ -29,7 +29,7 @@ def ingest(spark: SparkSession, folder: str, sources: list[tuple[str, int, str]]
 def ingest_posts(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
     """posts: graded posts of a zip archive, or of the invented sample."""
     if archive:
-        read = lambda suffix, schema: io.read_jsonl_from_zip(spark, archive, suffix, schema, f"{folder}/unpacked")
+        read = lambda suffix, schema: io.read_jsonl_from_zip(spark, archive, suffix, schema)
         rows = io.graded_posts(read("instances.jsonl", io.INSTANCE), read("truth.jsonl", io.TRUTH))
     else:
         rows = io.sample_posts(spark)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import zipfile
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,33 @@ def read_lines(spark: SparkSession, path: str, label: int, source: str, outlet:
     return rows.withColumns({"label_clickbait": F.lit(label), "source": F.lit(source), "outlet": F.lit(outlet).cast("string")})
 
 
-def read_jsonl_from_zip(spark: SparkSession, archive: str, suffix: str, schema: str, folder: str) -> DataFrame:
-    """The first member of a zip archive whose name ends with suffix, as JSON lines; it is unpacked to folder first."""
-    with zipfile.ZipFile(archive) as z:
-        name = next((n for n in z.namelist() if n.endswith(suffix)), None)
-        if name is None:
-            raise FileNotFoundError(f"no member of {archive} ends with {suffix}")
-        path = z.extract(name, folder)
-    return spark.read.schema(schema).json(os.path.abspath(path))
+def _unzipped(suffix: str):
+    """The task that reads archives: (path, line) of the first member whose name ends with suffix, some lines at a time."""
+
+    def task(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                    name = next((n for n in z.namelist() if n.endswith(suffix)), None)
+                    if name is None:
+                        raise FileNotFoundError(f"no member of {path} ends with {suffix}")
+                    with z.open(name) as f:
+                        while lines := list(islice(f, 2_000)):
+                            kept = [x for x in lines if x.strip()]
+                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(kept), pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["path", "line"])
+
+    return task
+
+
+def read_jsonl_from_zip(spark: SparkSession, archive: str, suffix: str, schema: str) -> DataFrame:
+    """The first member of a zip archive whose name ends with suffix, as JSON lines in their order; blank ones don't count.
+
+    The archive may be wherever Spark reads from, and be several (a folder or a pattern): each is one task's, which holds
+    its packed bytes, up to 2 GB, and reads the member as a stream. A line that is no JSON is a row of nulls.
+    """
+    files = spark.read.format("binaryFile").load(archive).select("path", "content")
+    lines = files.mapInArrow(_unzipped(suffix), "path string, line string")
+    return lines.select(F.from_json("line", schema).alias("j")).select("j.*")
 
 
 def graded_posts(instances: DataFrame, truth: DataFrame, source: str = "posts") -> DataFrame:
