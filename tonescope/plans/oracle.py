@@ -94,11 +94,9 @@ WINDOWS = f"""s AS (SELECT doc_id, headline, {SENTENCES} AS s FROM probe),
 w AS (SELECT doc_id, headline, s, unnest(range(0, least(6, CAST(ceil(len(s) / 4.0) AS BIGINT)))) AS idx, least(6, CAST(ceil(len(s) / 4.0) AS BIGINT)) AS n_windows FROM s),
 win AS (SELECT doc_id, headline, n_windows, idx, array_to_string(s[idx * 4 + 1 : idx * 4 + 4], ' ') AS w FROM w)"""
 HEAD_WORDS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower({c}), '[^a-z0-9 ]+', '', 'g'), ' '), '\\s+'), lambda x: x <> ''))"
-TEMPLATES = ("{e} announces new transport plan", "{e} slams rivals in long debate", "Guess what {e} said at lunch", "{e} answers questions on roads")
 SIDES = (("Biden", "Trump"), ("Democrats", "Republicans"), ("the left", "the right"), ("liberal", "conservative"))
-BASES = ("Council passes bridge bill in close vote", "Central bank keeps rates unchanged", "Court upholds ruling in zoning case")
 DEVICES = ("You won't believe this: {b}", "SHOCKING: {b} — what happened next will surprise you")
-ARCHETYPES = ("Council approves budget for road repairs", "Guess what the council approved", "SHOCKING: you won't believe this heartbreaking secret!!!")
+OPENINGS = ("", "Guess what: ", "SHOCKING: you won't believe this heartbreaking secret!!! ")
 _FULL = lambda v, last="false", more="": "{" + ", ".join(f'"{d}": {v}' for d in DIMS) + f', "out_of_scope": {last}' + more + "}"
 RESPONSES = (_FULL(0), _FULL(2, "true"), _FULL(3), _FULL('"1"'), _FULL(1, "0"), _FULL(1, more=', "note": 1'), "{}", "no object", "[1]", None, _FULL(1.5), _FULL("null"))
 VOTE = "(doc_id * 7 + k * 3 + {i}) % 3"
@@ -110,6 +108,9 @@ ELEMENTS = lambda t: f"""SELECT page_id, '{t}' AS tag, m[k] AS e, coalesce(list_
 #: References that the tables' headings hold; the sign itself comes last.
 DECODED = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"
 
+#: Special tokens, letters, letters inside a word, and the words of the lexicons, in the order of their ids.
+PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *map(chr, range(ord("a"), ord("z") + 1)), *[f"##{chr(c)}" for c in range(ord("a"), ord("z") + 1)], *sorted({w for ts in X.LEXICONS.values() for t in ts for w in t.split() if w.isalpha()} | {X.MASK})]
+
 ORACLE: dict[str, str] = {
     "technique_summary": f"{SCORED} SELECT lang, {BAND} AS band, count(*) AS n, round(avg({SCORE}), 6) AS avg_score FROM scored GROUP BY ALL",
     "technique_scores": f"{SCORED} SELECT doc_id, {', '.join(f's_{d}' for d in DIMS)}, round({SCORE}, 6) AS manipulation_score FROM scored",
@@ -181,10 +182,6 @@ ORACLE: dict[str, str] = {
         h AS (SELECT page_id, start, tag, trim(regexp_replace({DECODED("regexp_replace(regexp_replace(e, '(?is)<(?:br|p|div|li|h[1-6])\\b[^>]*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'), ' ') AS headline FROM e),
         n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS place FROM h WHERE length(headline) BETWEEN 25 AND 200 AND (tag <> 'a' OR len(string_split(headline, ' ')) >= 5))
         SELECT page_id, tag, headline, place FROM n WHERE place < 40""",
-    "entity_swap_invariance": f"""WITH src AS (SELECT replace(t, '{{e}}', 'entitytoken') AS headline, t, a, b FROM (SELECT unnest([{', '.join(map(quoted, TEMPLATES))}]) AS t), (SELECT unnest([{', '.join(quoted(a) for a, _ in SIDES)}]) AS a, unnest([{', '.join(quoted(b) for _, b in SIDES)}]) AS b)),
-        {scored('(SELECT t AS template, a, b, headline FROM src)')} SELECT template, a AS side_a, b AS side_b, round({SCORE}, 6) AS score_a, round({SCORE}, 6) AS score_b, true AS holds FROM scored""",
-    "directional_lift": f"""WITH src AS (SELECT b, d, unnest(['base', 'hyped']) AS kind, unnest([b, replace(d, '{{b}}', b)]) AS headline FROM (SELECT unnest([{', '.join(map(quoted, BASES))}]) AS b), (SELECT unnest([{', '.join(map(quoted, DEVICES))}]) AS d)),
-        {scored('src')} SELECT b AS base, d AS device, round(max(CASE WHEN kind = 'hyped' THEN {SCORE} END) - max(CASE WHEN kind = 'base' THEN {SCORE} END), 6) AS lift, max(CASE WHEN kind = 'hyped' THEN {SCORE} END) - max(CASE WHEN kind = 'base' THEN {SCORE} END) >= 0.05 AS holds FROM scored GROUP BY ALL""",
     "ensemble_blend": f"{EVAL}, z AS (SELECT doc_id, {real(0.5)} * p + {real(0.5)} * intensity AS x FROM e) SELECT doc_id, round(x, 6) AS blend, CASE WHEN x >= {real(0.65)} THEN 'red' WHEN x >= {real(0.35)} THEN 'amber' ELSE 'green' END AS colour FROM z",
     "tfidf_idf_table": f"""WITH {PROBE_SQL}, {MASKED}, w AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(h)), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: length(x) >= 2) AS w FROM masked),
         g AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w)
@@ -209,7 +206,6 @@ ORACLE: dict[str, str] = {
     "union_frames": f"WITH {LABELLED_SQL}, f AS (SELECT headline, intensity, CAST(label AS DOUBLE) AS label FROM labelled UNION ALL SELECT headline, NULL, CAST(doc_id % 2 AS DOUBLE) FROM probe) SELECT count(*) AS n, count(intensity) AS with_intensity, count(label) AS with_label, round(avg(intensity), 6) AS mean_intensity, round(avg(label), 6) AS mean_label FROM f WHERE headline IS NOT NULL",
     "hash_sample": f"WITH {PROBE_SQL}, o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM probe) SELECT doc_id FROM o WHERE k <= round_even(n * {real(0.15)}, 0)",
     "label_counts": f"WITH {LABELLED_SQL} SELECT label, count(*) AS n, round(avg(intensity), 6) AS mean_intensity, round(avg(CAST(length(body) > 0 AS DOUBLE)), 6) AS with_body FROM labelled GROUP BY label",
-    "sample_tables": "SELECT * FROM (VALUES ('headlines', 0, 250), ('headlines', 1, 250), ('posts', 0, 120), ('posts', 1, 120)) v(kind, label_clickbait, n)",
 }
 
 _PAGES = f"hh AS ({ORACLE['html_headlines']})"
@@ -238,14 +234,24 @@ ORACLE |= {
         SELECT doc_id, {', '.join(f"CASE WHEN (SELECT usable FROM gate WHERE dimension = '{d}') AND doc_id % 4 = 0 AND doc_id % 8 <> 0 THEN (doc_id % 3) / {real(2.0)} ELSE s_{d} END AS target_{d}" for d in DIMS)} FROM scored""",
     "score_records": f"""{SCORED}, d AS (SELECT doc_id, {SCORE} AS score, {BAND} AS band, unnest([{', '.join(f"{{'s': s_{d}, 'i': {i}, 'd': '{d}'}}" for i, d in enumerate(DIMS))}]) AS e FROM scored)
         SELECT doc_id, round(any_value(score), 3) AS manipulation_score, any_value(band) AS intensity, coalesce(string_agg(e.d, ',' ORDER BY e.s DESC, e.i) FILTER (e.s >= {real(0.6)}), '') AS detected, 'rules-fallback' AS model FROM d GROUP BY doc_id""",
-    "archetype_order": f"""WITH src AS (SELECT unnest(range({len(ARCHETYPES)})) AS place, unnest([{', '.join(map(quoted, ARCHETYPES))}]) AS headline), {scored('src')}, z AS (SELECT place, round({SCORE}, 6) AS score FROM scored)
-        SELECT CAST(place AS INTEGER) AS place, score, score BETWEEN 0 AND 1 AS in_range, coalesce(score > lag(score) OVER (ORDER BY place), true) AS above FROM z""",
     "feedback_queue": f"""WITH {PROBE_SQL}, r AS (SELECT headline, list_extract(['agree', 'too_high', 'bad', NULL], CAST(doc_id % 4 + 1 AS INTEGER)) AS v, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE body END AS c FROM probe),
         x AS (SELECT coalesce(length(headline) BETWEEN 1 AND 500 AND v IN ('agree', 'too_high', 'too_low') AND (c IS NULL OR length(c) <= 1000), false) AS ok FROM r)
         SELECT count(*) FILTER (ok) AS queued, count(*) FILTER (ok) AS stamped, count(*) FILTER (NOT ok) AS refused FROM x""",
 }
 
 ORACLE |= {
+    "word_pieces": f"""WITH RECURSIVE tok AS (SELECT doc_id, string_split(tokens, ' ') AS t, n_tokens FROM ({ORACLE["basic_tokens"]})),
+        piece AS (SELECT id, p LIKE '##%' AS inside, CASE WHEN p LIKE '##%' THEN p[3:] ELSE p END AS body FROM (SELECT unnest([{", ".join(map(quoted, PIECES))}]) AS p, unnest(range({len(PIECES)})) AS id)),
+        word AS (SELECT DISTINCT unnest(t) AS w FROM tok WHERE n_tokens > 0),
+        cut(w, k, ids) AS (
+            SELECT w, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM word WHERE length(w) <= 100
+            UNION ALL SELECT w, k + max(length(body)), list_append(any_value(ids), arg_max(id, length(body))) FROM cut JOIN piece ON inside = (k > 0) AND starts_with(substr(w, k + 1), body) WHERE k < length(w) GROUP BY w, k
+        ),
+        coded AS (SELECT word.w, coalesce(ids, [1]) AS ids FROM word LEFT JOIN (SELECT w, ids FROM cut WHERE k = length(w)) c ON c.w = word.w),
+        place AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS k FROM tok WHERE n_tokens > 0),
+        flat AS (SELECT doc_id, flatten(list(ids ORDER BY k))[1:62] AS ids FROM place JOIN coded USING (w) GROUP BY doc_id),
+        ends AS (SELECT doc_id, [2] || coalesce(flat.ids, []) || [3] AS ids FROM tok LEFT JOIN flat USING (doc_id))
+        SELECT doc_id, array_to_string(ids || list_transform(range(64 - len(ids)), lambda i: 0), ' ') AS input_ids, array_to_string(list_transform(range(64), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ' ') AS attention_mask FROM ends""",
     "delivery_by_model": f"SELECT doc_id, verdict, n_windows, error FROM ({ORACLE['delivery_verdict']})",
     "sql_spans": ORACLE["technique_spans"],
     "sql_windows": ORACLE["body_windows"],
@@ -253,3 +259,18 @@ ORACLE |= {
     "feedback_sessions": """WITH g AS (SELECT *, coalesce(CAST(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 8 HOUR AS INTEGER), 0) AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
         SELECT user_id, epoch_us(min(ts)) AS begin_us, epoch_us(max(ts)) AS end_us, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, k""",
 }
+
+_SIDE = lambda k: f"regexp_replace(list_extract([{', '.join(quoted(x[k]) for x in SIDES)}], CAST(doc_id % {len(SIDES)} + 1 AS INTEGER)) || ' on this: ' || headline, {quoted('(?i)' + X.alternation(X.ENTITIES))}, '{X.MASK}', 'g')"
+
+ORACLE |= {
+    "entity_swap_invariance": f"""WITH {PROBE_SQL}, pa AS (SELECT doc_id, {_SIDE(0)} AS headline FROM probe), pb AS (SELECT doc_id, {_SIDE(1)} AS headline FROM probe), {scored('pa', 'sa')}, {scored('pb', 'sb')},
+        x AS (SELECT doc_id, round({SCORE}, 6) AS score_a FROM sa), y AS (SELECT doc_id, round({SCORE}, 6) AS score_b FROM sb)
+        SELECT doc_id, score_a, score_b, abs(score_a - score_b) <= 0.10 AS holds FROM x JOIN y USING (doc_id)""",
+    "directional_lift": f"""WITH {PROBE_SQL}, hyped AS (SELECT doc_id, k AS device, replace(list_extract([{', '.join(map(quoted, DEVICES))}], k + 1), '{{b}}', headline) AS headline FROM probe, range({len(DEVICES)}) r(k)), {scored('probe', 'sp')}, {scored('hyped', 'sh')},
+        x AS (SELECT doc_id, {SCORE} AS x FROM sp), y AS (SELECT doc_id, device, {SCORE} AS y FROM sh)
+        SELECT doc_id, CAST(device AS INTEGER) AS device, round(y - x, 6) AS lift, round(y - x, 6) >= 0.05 AS holds FROM x JOIN y USING (doc_id)""",
+    "archetype_order": f"""WITH {PROBE_SQL}, src AS (SELECT doc_id, k AS place, list_extract([{', '.join(map(quoted, OPENINGS))}], k + 1) || headline AS headline FROM probe, range({len(OPENINGS)}) r(k)), {scored('src')}, z AS (SELECT doc_id, place, round({SCORE}, 6) AS score FROM scored)
+        SELECT doc_id, CAST(place AS INTEGER) AS place, score, score BETWEEN 0 AND 1 AS in_range, coalesce(score >= lag(score) OVER (PARTITION BY doc_id ORDER BY place), true) AS above FROM z""",
+    "sample_tables": f"""WITH {LABELLED_SQL}, v AS (SELECT label, CASE WHEN i = 0 THEN headline ELSE headline || ' — report ' || i END AS headline FROM labelled, range(25) r(i))
+        SELECT label AS label_clickbait, count(*) AS n, count(DISTINCT headline) AS n_distinct, CAST(sum(length(headline)) AS BIGINT) AS n_chars FROM v GROUP BY label""",
+}

@@ -14,7 +14,7 @@ from ..operators import contracts, dedup, delivery, distill, labels, models, spl
 from ..operators.store import new_path, stored
 from ..sources import headlines, io
 from ..streaming import feedback, sessions
-from .oracle import ARCHETYPES, BASES, DEVICES, RESPONSES, SIDES, TEMPLATES
+from .oracle import DEVICES, OPENINGS, PIECES, RESPONSES, SIDES
 from .probe import labelled, probe
 
 BUDGET = 20_000
@@ -265,20 +265,22 @@ def page_scores(spark, d):
 
 
 def entity_swap_invariance(spark, d):
-    rows = spark.createDataFrame([(t, a, b) for t in TEMPLATES for a, b in SIDES], "template string, side_a string, side_b string")
-    out = rows
+    """Each document's headline with an entity of either side in front: masked, both score alike."""
+    sides = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SIDES]), (F.col("doc_id") % len(SIDES) + 1).cast("int"))
+    out = probe(spark, d).select("doc_id", F.col("headline").alias("plain"), sides.alias("side"))
     for s in "ab":
-        masked = rules.with_scores(out.withColumn("headline", rules.mask_entities(F.replace("template", F.lit("{e}"), F.col(f"side_{s}")))))
+        masked = rules.with_scores(out.withColumn("headline", rules.mask_entities(F.concat(f"side.{s}", F.lit(" on this: "), "plain"))))
         out = masked.withColumn(f"score_{s}", F.round(rules.rules_score(), 6)).drop("headline", *rules.SCORES)
-    return out.withColumn("holds", F.abs(F.col("score_a") - F.col("score_b")) <= 0.10)
+    return out.select("doc_id", "score_a", "score_b", (F.abs(F.col("score_a") - F.col("score_b")) <= 0.10).alias("holds"))
 
 
 def directional_lift(spark, d):
-    rows = spark.createDataFrame([(b, v, b, v.replace("{b}", b)) for b in BASES for v in DEVICES], "base string, device string, plain string, hyped string")
+    """How much each of two devices lifts the score of each document's headline."""
+    rows = probe(spark, d).select("doc_id", F.col("headline").alias("plain"), F.posexplode(F.array(*[F.replace(F.lit(v), F.lit("{b}"), F.col("headline")) for v in DEVICES])).alias("device", "hyped"))
     for c in ("plain", "hyped"):
         rows = rules.with_scores(rows, c).withColumn(f"x_{c}", rules.rules_score()).drop(*rules.SCORES)
     lift = F.col("x_hyped") - F.col("x_plain")
-    return rows.select("base", "device", six(lift, "lift"), (lift >= 0.05).alias("holds"))
+    return rows.select("doc_id", "device", six(lift, "lift"), (F.round(lift, 6) >= 0.05).alias("holds"))
 
 
 def ensemble_blend(spark, d):
@@ -334,12 +336,9 @@ def basic_tokens(spark, d):
 
 def word_pieces(spark, d):
     """Ids of fixed length by a vocabulary of letters, word parts, and the lexicons' words."""
-    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
-    lexical = sorted({w for ts in X.LEXICONS.values() for t in ts for w in t.split() if w.isalpha()} | {X.MASK})
-    vocabulary = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *[f"##{c}" for c in letters], *lexical]
     rows = probe(spark, d).select("doc_id", tokenizer.basic_tokens(rules.mask_entities("headline")).alias("tokens"))
     ids, mask = tokenizer.encode(F.col("piece_ids"), 64, 2, 3, 0)
-    return tokenizer.word_piece_ids(rows, "tokens", vocabulary).select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
+    return tokenizer.word_piece_ids(rows, "tokens", PIECES).select("doc_id", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"))
 
 
 def coerced_labels(spark, d):
@@ -490,11 +489,12 @@ def feedback_sessions(spark, d):
 
 
 def archetype_order(spark, d):
-    """Scores of headlines from sober to shrill: each in range, each above the one before."""
-    rows = spark.createDataFrame([(i, h) for i, h in enumerate(ARCHETYPES)], "place int, headline string")
+    """Each document's headline as it is and with ever shriller openings: scores in range, none below the one before."""
+    openings = F.array(*[F.concat(F.lit(o), F.col("headline")) for o in OPENINGS])
+    rows = probe(spark, d).select("doc_id", F.posexplode(openings).alias("place", "headline"))
     found = rules.with_scores(rows).withColumn("score", F.round(rules.rules_score(), 6))
-    before = F.lag("score").over(Window.orderBy("place"))  # three rows
-    return found.select("place", "score", F.col("score").between(0, 1).alias("in_range"), F.coalesce(F.col("score") > before, F.lit(True)).alias("above"))
+    before = F.lag("score").over(Window.partitionBy("doc_id").orderBy("place"))  # three rows each
+    return found.select("doc_id", "place", "score", F.col("score").between(0, 1).alias("in_range"), F.coalesce(F.col("score") >= before, F.lit(True)).alias("above"))
 
 
 def feedback_queue(spark, d):
@@ -509,9 +509,9 @@ def label_counts(spark, d):
 
 
 def sample_tables(spark, d):
-    kinds = {"headlines": io.sample_headlines(spark), "posts": io.sample_posts(spark)}
-    parts = [t.groupBy("label_clickbait").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "label_clickbait", "n") for k, t in kinds.items()]
-    return parts[0].unionAll(parts[1])
+    """Variants of labelled headlines, as the sample generator makes them: near copies in known numbers."""
+    rows = io.variants(labelled(spark, d).select("headline", F.col("label").alias("label_clickbait")), 25)
+    return rows.groupBy("label_clickbait").agg(F.count("*").alias("n"), F.countDistinct("headline").alias("n_distinct"), F.sum(F.length("headline").cast("long")).alias("n_chars"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -89,6 +89,12 @@ def write_stage(df: DataFrame, path: str, by_split: bool = False) -> None:
     (writer.partitionBy("split") if by_split else writer).parquet(path)
 
 
+def variants(seeds: DataFrame, times: int, headline: str = "headline") -> DataFrame:
+    """Each row in ``times`` variants, numbered by ``i``: the headline as it is, then with the number of a report behind it."""
+    rows = seeds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return rows.withColumn(headline, F.when(F.col("i") == 0, F.col(headline)).otherwise(F.concat(headline, F.lit(" — report "), F.col("i").cast("string"))))
+
+
 def sample_headlines(spark: SparkSession, times: int = 25) -> DataFrame:
     """Invented headlines, half of them bait, each in ``times`` variants: near copies for tests of the whole pipeline."""
     bait = [f"You won't believe what {x} did on {d}" for x, d in (("the mayor", "Monday"), ("this baker", "Tuesday"), ("our neighbour", "Friday"))]
@@ -97,18 +103,15 @@ def sample_headlines(spark: SparkSession, times: int = 25) -> DataFrame:
     wire = [f"{x} approves {y}" for x in ("Council", "Ministry") for y in ("new bus lines", "the annual budget", "a bridge repair plan")]
     wire += ["Harbour reports record cargo in March", "Court hears appeal in land dispute", "Rain expected along the coast", "Library opens second reading room"]
     seeds = spark.createDataFrame([(i, h, 1 if i < 10 else 0) for i, h in enumerate(bait + wire)], "seed int, headline string, label_clickbait int")
-    rows = seeds.crossJoin(spark.range(times).withColumnRenamed("id", "i"))  # twenty seeds times a fixed number
-    named = F.when(F.col("i") == 0, F.col("headline")).otherwise(F.concat("headline", F.lit(" — report "), F.col("i").cast("string")))
-    return rows.select((F.col("seed") * times + F.col("i")).cast("bigint").alias("row_id"), named.alias("headline"), "label_clickbait", F.lit("sample").alias("source"), F.lit(None).cast("string").alias("outlet"))
+    return variants(seeds, times).select((F.col("seed") * times + F.col("i")).cast("bigint").alias("row_id"), "headline", "label_clickbait", F.lit("sample").alias("source"), F.lit(None).cast("string").alias("outlet"))
 
 
 def sample_posts(spark: SparkSession, times: int = 40) -> DataFrame:
     """Invented posts of graded intensity; the label is intensity of one half or more."""
     seeds = [("Quarterly trade figures published", 0.05), ("Town hall debates tram line", 0.1), ("Why your kettle may be too loud", 0.55), ("The reason will surprise you", 0.9), ("Ten signs of a good umbrella", 0.7), ("Weather service updates its maps", 0.2)]
-    rows = spark.createDataFrame([(i, h, x) for i, (h, x) in enumerate(seeds)], "seed int, headline string, intensity double").crossJoin(spark.range(times).withColumnRenamed("id", "i"))  # six seeds times a fixed number
-    return rows.select(
-        F.concat_ws("-", F.lit("post"), "seed", "i").alias("id"), F.when(F.col("i") == 0, F.col("headline")).otherwise(F.concat("headline", F.lit(" — report "), F.col("i").cast("string"))).alias("headline"), F.col("headline").alias("target_title"),
-        F.concat("headline", F.lit(". The article repeats it at length.")).alias("body"), "intensity", (F.col("intensity") >= 0.5).cast("int").alias("label_clickbait"), F.lit("sample").alias("source"),
+    rows = spark.createDataFrame([(i, h, x) for i, (h, x) in enumerate(seeds)], "seed int, headline string, intensity double")
+    return variants(rows.withColumn("target_title", F.col("headline")), times).select(
+        F.concat_ws("-", F.lit("post"), "seed", "i").alias("id"), "headline", "target_title", F.concat("target_title", F.lit(". The article repeats it at length.")).alias("body"), "intensity", (F.col("intensity") >= 0.5).cast("int").alias("label_clickbait"), F.lit("sample").alias("source"),
     )
 
 
