@@ -81,3 +81,23 @@ def test_graph_is_reached_and_pruned():
         table[i, : len(e)] = e
     found = [len(E.range_search(i, x, table, [E.medoid(x)], g)) for i in range(100, 300)]
     assert np.mean(found) >= 0.98 * 200
+
+
+@pytest.mark.parametrize("kind, labels", [("double", [1.2, 1.7, 1.2, 0.0, -0.0, None]), ("string", ["a", "b", "a", "", "", None]), ("decimal(5,2)", [1, 2, 1, 3, 3, None])])
+def test_labels_are_compared_as_they_are(spark, kind, labels):
+    rows = [(i, [1.0, 0.5], None if c is None or kind[0] != "d" or kind == "double" else __import__("decimal").Decimal(c)) if kind.startswith("decimal") else (i, [1.0, 0.5], c) for i, c in enumerate(labels)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.duplicate_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")).collect()}
+    assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_rows_that_repeat_an_id_are_one_vector(spark):
+    """That with the smallest label and content; each row gets its result."""
+    rows = [(1, [0.0, 1.0], 2), (1, [1.0, 0.0], 1), (1, None, 0), (2, [1.0, 0.001], 1), (3, [0.0, 1.0], 2)]
+    got = sorted(tuple(r) for r in E.duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_recall_is_not_measured_without_links(spark):
+    g = FlatGraph()
+    rows = E.sharded(E.unit_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)], SCHEMA), "vec_id", "embedding", "label").selectExpr("vec_id", "label", "size", "1L AS copies", "unit"), g)
+    assert E.audit_recall(rows, spark.createDataFrame([], "vec_id long, links long"), g) is None

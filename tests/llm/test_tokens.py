@@ -90,6 +90,19 @@ def test_packing_edges(spark, nothing):
     assert len(rows) == 41 and check_packing(rows, 16) == -(-81 // 16)
 
 
+def test_packing_keeps_columns_of_other_names(spark):
+    rows = [(i, 0, 5 + i % 7, "x", 9, -1, "g") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, _group string, sequence_id int, offset int, _group_ string")
+    out = packing.pack(df, length=20)
+    assert out.columns == ["doc_id", "piece", "length", "_group", "_group_", "sequence_id", "offset"]
+    got = out.collect()
+    assert {r["_group"] for r in got} == {"x"} and {r["_group_"] for r in got} == {"g"} and len(got) == 40
+    fill = {}
+    for r in got:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert max(fill.values()) <= 20 and all(r["offset"] + r["length"] <= 20 for r in got)
+
+
 def test_hot_id(spark):
     """A third of the rows have one id, and some of them one text: ranges and groups part them, and nothing is lost."""
     rows = [(7, f"w{i % 40}" if i % 2 else "same text") for i in range(200)] + [(None, "x")] * 200 + [(i, f"t{i} of many") for i in range(200)]

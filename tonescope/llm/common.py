@@ -30,10 +30,12 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{_own_folder()}"
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(folder)

@@ -32,8 +32,9 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, connected_components, grouped, mix64, partitions, release, trimmed, tune
 
@@ -69,6 +70,15 @@ class FlatGraph:
 # --- vectors ----------------------------------------------------------------------------------
 
 
+def label_number(df: DataFrame, label: str) -> Column:
+    """A long for each label: whole numbers as they are, others (shares, texts) by 60 bits of a digest; labels are never rounded."""
+    kind, c = df.select(label).schema[0].dataType, F.col(label)
+    if isinstance(kind, T.IntegralType | T.NullType):
+        return c.cast("long")
+    c = c + F.lit(0.0) if isinstance(kind, T.FractionalType) else c  # one zero
+    return F.conv(F.substring(F.sha2(c.cast("string").cast("binary"), 256), 1, 15), 16, 10).cast("long")
+
+
 def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(vec_id, label, size, unit) of the rows that can be linked; unit: the normed vector's doubles."""
 
@@ -90,7 +100,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
             ok = unit.is_valid()
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (b.column(0), b.column(1), size, unit)], ["vec_id", "label", "size", "unit"])
 
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), label_number(df, label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     return rows.where("vec_id is not null and label is not null and v is not null").mapInArrow(norm, "vec_id long, label long, size int, unit binary")
 
 
@@ -370,8 +380,8 @@ def search_links(members: DataFrame, g: FlatGraph) -> DataFrame:
     return tasks.repartition(n, *SEARCH).sortWithinPartitions(*SEARCH, "vec_id").mapInArrow(trimmed(lambda b: search_tasks(b, g)), "vec_id long, links long, other long")
 
 
-def audit_recall(rows: DataFrame, counts: DataFrame, g: FlatGraph) -> float:
-    """Links found over links that exist, of g.audit vectors, and of as many with links, against all rows."""
+def audit_recall(rows: DataFrame, counts: DataFrame, g: FlatGraph) -> float | None:
+    """Links found over links that exist, of g.audit vectors, and of as many with links, against all rows; none if no link exists."""
     drawn = [F.xxhash64("vec_id", F.lit(6)), F.col("vec_id")]
     columns = ["vec_id", "label", "size", "unit"]
     linked = rows.join(counts.orderBy(*drawn).limit(g.audit).select("vec_id"), "vec_id", "left_semi")
@@ -393,7 +403,7 @@ def audit_recall(rows: DataFrame, counts: DataFrame, g: FlatGraph) -> float:
 
     true = rows.select("vec_id", "label", "size", "copies", "unit").mapInArrow(brute, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
     got = true.join(counts, "vec_id", "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0)))), F.sum("true")).first()
-    return 1.0 if not got[1] else float(got[0] / got[1])  # no link at all, as none was found and no sampled vector has one
+    return None if not got[1] else float(got[0] / got[1])
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -412,8 +422,8 @@ def duplicate_vectors(df: DataFrame, g: FlatGraph = FlatGraph(), key: str = "vec
         found = keep(search_links(block_members(rows, keep, g), g))
         counts = found.where("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("links"))
         recall = audit_recall(rows, counts, g)
-        log.info("recall %.4f of the links of the audited vectors", recall)
-        if g.exact or recall >= g.recall:
+        log.info("no audited vector has a link, so recall is not measured" if recall is None else f"recall {recall:.4f} of the links of the audited vectors")
+        if g.exact or recall is None or recall >= g.recall:
             break
         g = replace(g, shards_each=g.shards_each + 1, exact=turn + 2 >= g.tries)
     parts = keep(connected_components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))))

@@ -61,7 +61,15 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, key: s
 
 
 def pack(pieces: DataFrame, length: int, group: int = 8192) -> DataFrame:
-    """pieces (a stored table with doc_id, piece, length, whose rows keep their places) with ``sequence_id`` and ``offset``."""
+    """pieces (a stored table with doc_id, piece, length, whose rows keep their places) with ``sequence_id`` and ``offset``.
+
+    Columns of pieces that have these names give way to the new ones; all others stay as they are. Repeated rows are a
+    piece each. No pieces make no sequences.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
+    dealt_to = "_group"
+    while dealt_to in pieces.columns:
+        dealt_to += "_"
     groups = max(1, ceil_div(pieces.count(), group))
 
     def pack_group(table: pa.Table) -> pa.Table:
@@ -76,12 +84,12 @@ def pack(pieces: DataFrame, length: int, group: int = 8192) -> DataFrame:
         firsts = np.flatnonzero(np.diff(bin_of[by_bin], prepend=-1))
         offset = np.empty(len(size), np.int64)
         offset[by_bin] = before - np.repeat(before[firsts], np.diff(np.append(firsts, len(size))))
-        number = table.column("_group").to_numpy() * (1 << 24) + bin_of
-        return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
+        number = table.column(dealt_to).to_numpy() * (1 << 24) + bin_of
+        return table.drop_columns([dealt_to]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = pieces.withColumn(dealt_to, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("_group").applyInArrow(pack_group, schema)
+    return dealt.groupBy(dealt_to).applyInArrow(pack_group, schema)
 
 
 def best_fit(size: np.ndarray, length: int, order: np.ndarray | None = None) -> np.ndarray:
