@@ -1,7 +1,9 @@
 import gzip
 import json
 import os
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,17 @@ def test_pairs_match_brute_force(spark):
     assert {(x["a"], x["b"]) for x in dedup.jaccard_pairs(dedup.texts(df)).collect()} == want
 
 
+@pytest.mark.parametrize("most", [dedup.MOST_HASHES, 5])
+def test_sets_are_in_one_order(spark, monkeypatch, most):
+    """Rarest hashes first, whether their counts are broadcast or joined."""
+    monkeypatch.setattr(dedup, "MOST_HASHES", most)
+    r = random.Random(6)
+    sets = {i: r.sample(range(-20, 20), r.randint(0, 12)) for i in range(60)}
+    got = dedup.rarest_first(spark.createDataFrame(list(sets.items()), "rep int, set array<long>").repartition(3)).collect()
+    df = Counter(h for s in sets.values() for h in s)
+    assert {x["rep"]: list(x["set"]) for x in got if x["set"]} == {i: sorted(s, key=lambda h: (df[h], h)) for i, s in sets.items() if s}
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     assert {(r["rep"], r["component"]) for r in dedup.components(links).collect()} == {(i, 0) for i in range(31)} | {(100, 100), (101, 100)}

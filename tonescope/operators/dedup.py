@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..config import PARAMS
 from ..functions.text import normalize, shingles
-from .store import shared_folder
+from .store import shared_folder, stored
 
 
 def texts(df: DataFrame, row_id: str = "doc_id", headline: str = "headline") -> DataFrame:
@@ -26,10 +26,38 @@ def texts(df: DataFrame, row_id: str = "doc_id", headline: str = "headline") ->
     return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
 
 
-def shingle_rows(distinct: DataFrame, k: int = PARAMS.shingle_size) -> DataFrame:
-    """(rep, n, shingle), a row for each shingle of a text."""
-    s = distinct.select("rep", shingles("norm", k).alias("set"))
-    return s.select("rep", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+#: Hashes up to which their counts are broadcast (16 bytes each), so that sets are put in order where they are.
+MOST_HASHES = 1_000_000
+
+
+def hashed_sets(distinct: DataFrame, k: int = PARAMS.shingle_size) -> DataFrame:
+    """(rep, set): a text's shingles as 64-bit hashes."""
+    return distinct.select("rep", F.transform(shingles("norm", k), lambda x: F.xxhash64(x)).alias("set"))
+
+
+def rarest_first(sets: DataFrame) -> DataFrame:
+    """sets with each set's hashes in one order for all: the rarest first, equal ones by hash.
+
+    Hashes are counted map-side. Few of them, as of short shingles, are broadcast; more are joined, a row for each.
+    """
+    counts = stored(sets.select(F.explode("set").alias("hash")).groupBy("hash").agg(F.count("*").alias("df")))
+    if counts.count() > MOST_HASHES:
+        rows = sets.select("rep", F.explode("set").alias("hash")).join(counts, "hash")
+        ordered = rows.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("sorted"))  # as long as a text
+        return ordered.select("rep", F.transform("sorted", lambda x: x["hash"]).alias("set"))
+    table = counts.orderBy("hash").toArrow()
+    shared = sets.sparkSession.sparkContext.broadcast((table.column("hash").to_numpy(), table.column("df").to_numpy()))
+
+    @F.pandas_udf("array<long>")
+    def ordered(column: pd.Series) -> pd.Series:
+        hashes, df = shared.value
+        size = column.map(len).to_numpy(int)
+        flat = np.concatenate([np.zeros(0, np.int64), *column]).astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        flat = flat[np.lexsort((flat, df[np.searchsorted(hashes, flat)], row))]
+        return pd.Series(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [], dtype=object)
+
+    return sets.select("rep", ordered("set").alias("set"))
 
 
 def jaccard_pairs(distinct: DataFrame, k: int = PARAMS.shingle_size, threshold: float = PARAMS.lsh_threshold) -> DataFrame:
@@ -39,13 +67,10 @@ def jaccard_pairs(distinct: DataFrame, k: int = PARAMS.shingle_size, threshold:
     n - ceil(threshold n) + 1. Only those are joined, as lean rows; lengths and places bound the overlap at once, and
     each pair that is left meets its whole sets, as hashes, once.
     """
-    rows = shingle_rows(distinct, k)
-    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = rows.join(frequency, "shingle").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("sorted"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    _checkpoint_dir(distinct)
-    sets = ranked.select("rep", "n", F.transform("sorted", lambda x: F.xxhash64(x["shingle"])).alias("set"), keep.alias("keep"))
-    sets = sets.select("*", *[_bits("set", w).alias(f"w{w}") for w in range(WORDS)]).checkpoint()
+    sets = rarest_first(stored(hashed_sets(distinct, k)))
+    n = F.size("set")
+    keep = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
+    sets = stored(sets.select("rep", n.alias("n"), "set", keep.alias("keep"), *[_bits("set", w).alias(f"w{w}") for w in range(WORDS)]))
     front = sets.select("rep", "n", *[f"w{w}" for w in range(WORDS)], F.posexplode(F.slice("set", F.lit(1), F.col("keep"))).alias("at", "shingle"))
     side = lambda x: front.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "shingle", *[F.col(f"w{w}").alias(f"{x}{w}") for w in range(WORDS)])
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
