@@ -144,3 +144,49 @@ def test_calibration_error_on_unseen_rows_with_noisy_labels(spark, labelled):
     bins = np.minimum((p * 5).astype(int), 4)
     error = sum(abs(p[bins == b].sum() - y[bins == b].sum()) for b in range(5)) / len(p)
     assert len(rows) > 200 and error < 0.15
+
+
+def plain_telling(of, p, least):
+    """By the table of four cells, a feature at a time."""
+    out, n, all_ = {}, len(of), float(sum(p))
+    for f in {f for fs in of for f in fs}:
+        has = [q for fs, q in zip(of, p) if f in fs]
+        if len(has) < toxicity.LEAST_TEXTS:
+            continue
+        a, b = sum(has), len(has) - sum(has)
+        g = 2 * sum(x * np.log(x / (len(has) * share)) for x, share in ((a, all_ / n), (b, 1 - all_ / n)) if x > 1e-9)
+        if g >= least:
+            out[f] = (a > len(has) * all_ / n, g)
+    return out
+
+
+def test_telling_and_linear_equal_plain_versions():
+    r = np.random.default_rng(9)
+    names = [f"f{i}" for i in range(12)]
+    y = (r.random(300) < 0.3).astype(float)
+    of = [[f for i, f in enumerate(names) if r.random() < (0.05 + 0.06 * i if q else 0.3)] for q in y]
+    got, want = toxicity.telling(of, y, 5.0), plain_telling(of, y, 5.0)
+    assert set(got) == set(want) and len(got) >= 4
+    assert all(got[f][0] == want[f][0] and abs(got[f][1] - want[f][1]) < 1e-9 for f in got)
+    weights, bias = toxicity._linear(of, y, names, 0.5)
+    x = np.array([[f in fs for f in names] for fs in of], float)
+    weight = 0.5 * y / y.sum() + 0.5 * (1 - y) / (1 - y).sum()
+    w, b = np.zeros(12), 0.0
+    for _ in range(200):  # whole Newton steps over dense rows
+        z = 1 / (1 + np.exp(-(x @ w + b)))
+        a = np.concatenate([x, np.ones((len(x), 1))], 1)
+        step = np.linalg.solve((a * (weight * z * (1 - z))[:, None]).T @ a + 1e-9 * np.eye(13), a.T @ (weight * (z - y)))
+        w, b = w - step[:12], b - step[12]
+    assert np.abs(x @ np.array([weights.get(f, 0.0) for f in names]) + bias - (x @ w + b)).max() < 0.05
+
+
+def test_stems_that_several_words_share():
+    got = toxicity.text_features({"bomenteco", "bomenterr", "otro", "bomb"})
+    assert {"bome+", "bomen+", "boment+", "bomenteco", "bome-"} <= got and "otro+" not in got and "bomb+" not in got
+    terms = {"bome+": toxicity._part("bome+"), "trash": toxicity._part("trash")}
+    votes = toxicity.votes_of(None, toxicity.text_features({"bomenteco", "bomenterr"}), terms)
+    assert votes[terms["bome+"]] == 1 and votes[toxicity.LEXICONS] == 1
+    assert toxicity.votes_of(None, toxicity.text_features({"bomenteco"}), terms)[toxicity.LEXICONS] == -1
+    model = toxicity.ToxicityModel({"bome+": 9.0, "trash": 9.0}, -5.0, terms)
+    score = toxicity.Scorer(model).score
+    assert score("bomenteco bomenteco") < 0.5 < score("Bomenteco y bomenterr") and score("trash") > 0.5

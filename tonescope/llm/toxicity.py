@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Labelled rows give lexicons: words, and word beginnings of 4 to 6 letters, that are far more frequent in toxic
-   texts than in others.
+1. Labelled rows give lexicons: words, word beginnings of 4 to 6 letters, and beginnings that several different words
+   of a text share, that are far more frequent in toxic texts than in others.
 2. Many voters look at a text: each lexicon, split into several, votes "toxic" if one of its terms occurs; pattern
    voters vote on how many different terms occur, on their absence, on shouting and on repeated signs.
 3. A generative label model estimates, without labels, how often each voter fires on toxic and on other texts, by
@@ -35,6 +35,8 @@ from .quality import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (4, 5, 6)
+#: Marks of beginnings: of a word, of several different words.
+BEGINNING = "-+"
 WORD_PARTS, PREFIX_PARTS = 6, 2
 
 
@@ -48,6 +50,13 @@ def features_of(word: str) -> list[str]:
     return [word, *[word[:n] + "-" for n in PREFIXES if len(word) > n]]
 
 
+def text_features(words: set[str]) -> set[str]:
+    """Those of a text's words, and with a plus the beginnings that two or more different words have: by chance a word
+    begins like a stem, but a text that uses the stem has several words of it."""
+    times = Counter(w[:n] for w in words for n in PREFIXES if len(w) > n)
+    return {f for w in words for f in features_of(w)} | {b + "+" for b, c in times.items() if c > 1}
+
+
 def text_words(text: str | None) -> list[str]:
     return WORD(text.lower()) if text else []
 
@@ -55,7 +64,7 @@ def text_words(text: str | None) -> list[str]:
 def _part(term: str) -> int:
     """The lexicon voter of a term: by its kind and a hash."""
     h = sum(map(ord, term)) * 2654435761 % 2**32 >> 8
-    if not term.endswith("-"):
+    if term[-1] not in BEGINNING:
         return h % WORD_PARTS
     return WORD_PARTS + PREFIXES.index(len(term) - 1) * PREFIX_PARTS + h % PREFIX_PARTS
 
@@ -71,8 +80,8 @@ def votes_of(text: str | None, present: set[str], terms: dict[str, int]) -> list
     hits = [t for t in present if t in terms]
     for t in hits:
         out[terms[t]] = 1
-    words = [t for t in hits if not t.endswith("-")]
-    distinct = len(words) + len({t[: PREFIXES[0]] for t in hits if t.endswith("-")})
+    words = [t for t in hits if t[-1] not in BEGINNING]
+    distinct = len(words) + len({t[: PREFIXES[0]] for t in hits if t[-1] in BEGINNING}) + any(t[-1] == "+" for t in hits)
     out[LEXICONS] = 1 if distinct >= 2 else -1 if not distinct else 0
     out[LEXICONS + 1] = 0 if words else -1
     out[LEXICONS + 2] = 0 if len(hits) > len(words) else -1
@@ -158,7 +167,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1500, key:
             out = []
             for t in b.column(1).to_pylist():
                 words = set(text_words(t))
-                out.append([np.unique(np.fromiter(map(hash_of, x), "<u4", len(x))).tobytes() for x in (words, {f for w in words for f in features_of(w)})] + votes_of(t, set(), {})[LEXICONS + 3 :])
+                out.append([np.unique(np.fromiter(map(hash_of, x), "<u4", len(x))).tobytes() for x in (words, text_features(words))] + votes_of(t, set(), {})[LEXICONS + 3 :])
             kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]], ["k", "label", "words", "features", "loud", "signs"])
 
@@ -175,7 +184,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1500, key:
     def names(batches):
         known = set(often.value.tolist())
         for b in batches:
-            found = [" ".join(sorted({f for w in set(text_words(t)) for f in features_of(w) if hash_of(f) in known})) for t in b.column(1).to_pylist()]
+            found = [" ".join(sorted(f for f in text_features(set(text_words(t))) if hash_of(f) in known)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["k", "features"])
 
     named = rows.mapInArrow(trimmed(names), "k long, features string").toArrow().sort_by("k").take(pa.array(unlike))
@@ -222,9 +231,11 @@ def fit_toxicity(of: list[list[str]], labels: np.ndarray, signs: np.ndarray, sha
     label_model = fit_label_model(votes, n[1] / sum(n))
     p = label_model.posterior(votes)
     names = list(telling(of, p, least))
-    # most toxic texts hold several terms; words that hold one are texts by themselves, so that one can be enough
-    alone = [features_of(w) for w in holding(terms)]
-    votes = np.array([votes_of(None, set(fs), terms) for fs in alone], np.int64)
+    # most toxic texts hold several terms; words that hold one are texts by themselves, so that one can be enough, but not
+    # where a stem tells by several of its words
+    stems = tuple(t[:-1] for t in terms if t[-1] == "+")
+    alone = [features_of(w) for w in holding({t: v for t, v in terms.items() if t[-1] != "+" and not t.startswith(stems)})]
+    votes = np.array([votes_of(None, set(fs), terms) for fs in alone], np.int64).reshape(-1, VOTERS)
     weights, bias = _linear([*of, *alone], np.concatenate([p, label_model.posterior(votes)]), names, 0.5)
     return ToxicityModel(weights, bias, terms, label_model)
 
@@ -308,17 +319,20 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel, most: int = 300_000):
         self.weights, self.bias, self.most = model.weights, model.bias, most
-        self.words: dict[str, tuple[str, ...]] = {}
+        self.words: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
 
     def score(self, text: str | None) -> float:
         if len(self.words) > self.most:
             self.words.clear()
         found: set[str] = set()
+        begun: set[str] = set()
         for w in set(text_words(text)):
-            if (fs := self.words.get(w)) is None:
-                fs = self.words[w] = tuple(f for f in features_of(w) if f in self.weights)
-            if fs:
-                found.update(fs)
+            if (known := self.words.get(w)) is None:
+                stems = (w[:n] + "+" for n in PREFIXES if len(w) > n)
+                known = self.words[w] = tuple(f for f in features_of(w) if f in self.weights), tuple(f for f in stems if f in self.weights)
+            found.update(known[0])
+            for f in known[1]:
+                (found if f in begun else begun).add(f)
         z = self.bias + math.fsum(self.weights[f] for f in found)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
