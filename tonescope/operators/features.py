@@ -20,7 +20,7 @@ from ..functions import rules
 from ..functions.text import let
 from ..functions.tokenizer import strip_accents, without_accents
 from .linear import SPARSE, scores
-from .store import stored, trimmed
+from .store import small_batches, stored, trimmed
 
 #: What a word boundary parts, the same as (?U)\w in the JVM; white space alike.
 WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]{2,}")
@@ -155,6 +155,7 @@ class TextFeatures:
     @classmethod
     def fit(cls, rows: DataFrame, text: str, max_features: int = PARAMS.max_features) -> TextFeatures:
         """From masked texts. Terms are ranked by how often they occur, then by themselves; the driver gets those kept."""
+        small_batches(rows.sparkSession)
         n = rows.count()
         counts = rows.select(text).mapInArrow(trimmed(_count_terms), "kind string, term string, tf long, df long").groupBy("kind", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         terms, idf = {}, {}
@@ -219,6 +220,7 @@ class TextFeatures:
 
     def scored(self, rows: DataFrame, text: Column, weights: np.ndarray, name: str) -> DataFrame:
         """rows with an array of each head's score of a masked text."""
+        small_batches(rows.sparkSession)
         shared = rows.sparkSession.sparkContext.broadcast((self, weights))
 
         @F.pandas_udf("array<double>")

@@ -17,7 +17,7 @@ from .features import TextFeatures, idf_table, masked
 from .isotonic import Isotonic
 from .store import stored
 
-__all__ = ["Calibrator", "Heads", "Scorer", "blend", "fit_heads", "fit_logistic", "fit_scorer", "fit_stack", "idf_table", "with_logistic", "with_stack"]
+__all__ = ["Calibrator", "Heads", "Scorer", "blend", "fit_heads", "fit_logistic", "fit_scorer", "fit_stack", "idf_table", "stacked", "with_logistic", "with_stack"]
 
 STACKED = [*rules.FEATURES, "lr_prob"]
 
@@ -84,6 +84,11 @@ def with_logistic(model: Heads, df: DataFrame, headline: str = "headline") -> Da
     return rules.with_features(rows.drop("_lr"), "_named").drop("_named")
 
 
+def stacked(model: Heads, train: DataFrame, label: str) -> DataFrame:
+    """What trees are grown from: the rules' features, lr_prob and the label, computed once and stored."""
+    return stored(with_logistic(model, train).select(label, *STACKED))
+
+
 def fit_stack(scored: DataFrame, label: str, trees: int = PARAMS.gbt_trees, rate: float = PARAMS.gbt_rate, leaves: int = PARAMS.gbt_leaves) -> Trees:
     """Boosted trees over the rules' features and the regression's probability."""
     return fit_trees(scored, STACKED, label, trees, rate, leaves)
@@ -165,7 +170,7 @@ class Scorer:
 def fit_scorer(train: DataFrame, validation: DataFrame, label: str, trees: int = PARAMS.gbt_trees, iterations: int = PARAMS.lr_iterations) -> Scorer:
     """Regression and trees of the training rows, calibration of the validation rows."""
     logistic = fit_logistic(train, label, iterations=iterations)
-    stack = fit_stack(with_logistic(logistic, train), label, trees=trees)
+    stack = fit_stack(stacked(logistic, train, label), label, trees=trees)
     raw = stored(Scorer(logistic, stack).predict(validation, calibrated=False).select(label, "probability"))
     return Scorer(logistic, stack, Calibrator(raw, label, "probability"))
 

@@ -52,6 +52,18 @@ def _clean() -> None:
             return
 
 
+#: Rows and bytes of an Arrow batch at most (a longer row is a batch by itself), as texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to that, unless it has less."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int("".join(filter(str.isdigit, spark.conf.get(key))) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def trimmed(task):
     """An Arrow task that gives freed memory back to the system when it ends; its worker lives on for other tasks."""
 

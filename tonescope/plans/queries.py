@@ -318,7 +318,7 @@ def gbt_stack(spark, d):
     rows = model_rows(spark, d)
     train = fitting(rows, "train")
     logistic = models.fit_logistic(train, "label")
-    stack = models.fit_stack(models.with_logistic(logistic, train), "label")
+    stack = models.fit_stack(models.stacked(logistic, train, "label"), "label")
     found = models.with_stack(stack, models.with_logistic(logistic, rows.where("split <> 'train'")))
     return stats.report(found, ["split"], "label", "gbt_prob")
 
