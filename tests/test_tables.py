@@ -76,6 +76,30 @@ def test_pairs_match_brute_force(spark):
     assert {(x["a"], x["b"]) for x in dedup.jaccard_pairs(dedup.texts(df)).collect()} == want
 
 
+@pytest.mark.parametrize("block, hot", [(dedup.BLOCK, dedup.HOT), (40, 100), (7, 1)])
+def test_verified_links_equal_brute_force(spark, block, hot):
+    """Also where a third of all texts share their buckets, whose members meet in blocks."""
+    r = random.Random(3)
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    same = [base + (f" {i}" if i % 3 else f" {'xyzw'[i % 4]}{i}") for i in range(150)]
+    other = [" ".join("".join(r.choices("abcde", k=4)) for _ in range(6)) for _ in range(200)]
+    near = [t[:-1] + "q" for t in other[:60]]
+    texts = list(dict.fromkeys(same + other + near))
+    distinct = spark.createDataFrame(list(enumerate(texts)), "rep long, norm string").repartition(4)
+    signed = {x["rep"]: x["signature"] for x in dedup.minhash(distinct).collect()}
+    grams = {i: {t[j : j + 3] for j in range(len(t) - 2)} for i, t in enumerate(texts)}
+    want = set()
+    for b in range(dedup.BANDS):
+        by = {}
+        for i, sig in signed.items():
+            by.setdefault(tuple(sig[b * dedup.ROWS : (b + 1) * dedup.ROWS]), []).append(i)
+        want |= {(x, y) for m in by.values() for x in m for y in m if x < y and len(grams[x] & grams[y]) >= 0.8 * len(grams[x] | grams[y])}
+    got = [tuple(x) for x in dedup.lsh_links(distinct, block=block, hot=hot).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    tasks = dedup.dealt(dedup.bucket_rows(dedup.minhash(distinct)), block, hot).groupBy("bucket", "first", "second").count().agg(F.max("count")).first()[0]
+    assert tasks <= 4 * block + 20
+
+
 @pytest.mark.parametrize("most", [dedup.MOST_HASHES, 5])
 def test_sets_are_in_one_order(spark, monkeypatch, most):
     """Rarest hashes first, whether their counts are broadcast or joined."""

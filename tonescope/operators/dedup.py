@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,19 +125,60 @@ def bucket_rows(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Data
     return signed.select("rep", F.explode(buckets).alias("bucket"))
 
 
-def lsh_links(distinct: DataFrame, verify: bool = True, threshold: float = PARAMS.lsh_threshold, k: int = PARAMS.shingle_size) -> DataFrame:
+#: Members of a bucket that meet in one task, about; and members from which on a bucket's rows are spread before they are counted out.
+BLOCK, HOT = 256, 4_096
+
+
+def dealt(buckets: DataFrame, block: int = BLOCK, hot: int = HOT, salts: int = 64) -> DataFrame:
+    """(bucket, first, second, own, rep): members of buckets that hold two or more, in blocks by their hashes, dealt to each
+    pair of blocks that holds theirs. So a task sees two blocks at most, however many members a bucket has."""
+    buckets = stored(buckets)
+    counts = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    big = counts.where(F.col("n") > hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marked = buckets.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(big, ["bucket", "salt"], "left")
+    few = marked.where("n IS NULL").select("rep", "bucket").join(counts.where(F.col("n") <= hot), "bucket")
+    rows = marked.where("n IS NOT NULL").select("bucket", "rep", "n").unionAll(few.select("bucket", "rep", "n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep")
+
+
+def _similar(threshold: float):
+    """The task of a pair of blocks: its pairs of different blocks (or of the one) whose similarity reaches the threshold."""
+
+    def task(t: pa.Table) -> pa.Table:
+        rep, own, sets = t.column("rep").to_numpy(), t.column("own").to_numpy(), t.column("set").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        hashes, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        row, both = np.repeat(np.arange(len(rep)), size), np.zeros((len(rep), len(rep)), np.float32)
+        for begin in range(0, len(hashes), 8192):
+            here = (code >= begin) & (code < begin + 8192)
+            part = np.zeros((len(rep), min(8192, len(hashes) - begin)), np.float32)
+            part[row[here], code[here] - begin] = 1
+            both += part @ part.T
+        either = size[:, None] + size[None, :] - both
+        pairs = (both >= threshold * either) & (rep[:, None] < rep[None, :])
+        if t.column("first")[0].as_py() != t.column("second")[0].as_py():
+            pairs &= own[:, None] != own[None, :]
+        i, j = np.nonzero(pairs)
+        return pa.table({"a": rep[i], "b": rep[j]})
+
+    return task
+
+
+def lsh_links(distinct: DataFrame, verify: bool = True, threshold: float = PARAMS.lsh_threshold, k: int = PARAMS.shingle_size, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(a, b): links of band candidates. Unverified, a bucket's texts are all linked with its smallest, which joins the
-    same texts as all pairs would; verified, pairs of a bucket are kept if their exact similarity reaches threshold."""
+    same texts as all pairs would; verified, pairs of a bucket are kept if their exact similarity reaches threshold.
+
+    Verified pairs are found in blocks inside tasks, so only pairs that are links become rows.
+    """
     buckets = bucket_rows(minhash(distinct, k))
     if not verify:
         least = buckets.groupBy("bucket").agg(F.min("rep").alias("a"))
         return buckets.join(least, "bucket").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    sets = distinct.select("rep", F.transform(shingles("norm", k), lambda x: F.xxhash64(x)).alias("set"))
-    left, right = (buckets.select(F.col("rep").alias(x), "bucket") for x in "ab")
-    pairs = left.join(right, "bucket").where("a < b").select("a", "b").distinct()
-    with_sets = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return with_sets.where(both / (F.size("sa") + F.size("sb") - both) >= threshold).select("a", "b")
+    members = dealt(buckets, block, hot).join(hashed_sets(distinct, k), "rep")
+    kind = dict(distinct.dtypes)["rep"]
+    return members.groupBy("bucket", "first", "second").applyInArrow(_similar(threshold), f"a {kind}, b {kind}").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
