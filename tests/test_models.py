@@ -113,6 +113,14 @@ def test_optimum_equals_a_dense_solvers(spark, monkeypatch):
     assert linear.fit_heads(df, 12, [linear.logistic], 1 / 60, tolerance=1e-8)[0] == pytest.approx(want, abs=1e-5)
 
 
+def test_rows_are_taken_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(linear, "ENTRIES", 5)
+    ends = np.array([0, 0, 3, 5, 5, 17, 18, 19])
+    found = list(linear._row_ranges(ends))
+    assert [b for b, _ in found] == [0, *[e for _, e in found[:-1]]] and found[-1][1] == 7
+    assert all(e - b == 1 or ends[e] - ends[b] <= 5 for b, e in found) and list(linear._row_ranges(np.array([0]))) == []
+
+
 def test_heads_of_several_losses(spark):
     """Each head's slope is its loss's; missing targets don't count; squared heads have a closed form."""
     r = np.random.default_rng(5)

@@ -17,6 +17,8 @@ from .store import trimmed
 
 #: Rows of a task of a step at least, and numbers in a piece of a gradient on its way.
 TASK_ROWS, PIECE = 20_000, 1 << 16
+#: Entries of sparse rows that a task works on at a time.
+ENTRIES = 1 << 19
 SPARSE = "idx array<int>, val array<float>, targets array<double>"
 
 
@@ -55,6 +57,15 @@ def sparse_parts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), ends - ends[0]
 
 
+def _row_ranges(ends: np.ndarray):
+    """Ranges of rows that hold about so many entries, one row at least."""
+    begin = 0
+    while begin < len(ends) - 1:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + ENTRIES, side="right")) - 1)
+        yield begin, end
+        begin = end
+
+
 def _gradient(rows: DataFrame, weights: np.ndarray, losses: list[Callable], reduce_by: int) -> tuple[float, np.ndarray]:
     """Sums over all rows of losses and of their slopes; a target that is not finite adds nothing."""
     sc = rows.sparkSession.sparkContext
@@ -66,16 +77,20 @@ def _gradient(rows: DataFrame, weights: np.ndarray, losses: list[Callable], redu
         total, out = 0.0, np.zeros(w.shape)
         for b in batches:
             (idx, ends), (val, _), (targets, _) = (sparse_parts(b.column(i)) for i in range(3))
-            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
             targets = targets.reshape(-1, len(losses))
-            z = scores(idx, val, ends, w)
-            for k, loss in enumerate(losses):
-                there = np.isfinite(targets[:, k])
-                value, slope = loss(z[:, k], np.where(there, targets[:, k], 0.0))
-                slope = np.where(there, slope, 0.0)
-                total += float(value[there].sum())
-                out[k, :-1] += np.bincount(idx, val * slope[row], w.shape[1] - 1)
-                out[k, -1] += slope.sum()
+            for begin, end in _row_ranges(ends):  # some entries at a time, so that a batch of long rows takes no more memory
+                mine = slice(ends[begin], ends[end])
+                x, v, upto = idx[mine], val[mine], ends[begin : end + 1] - ends[begin]
+                row = np.repeat(np.arange(end - begin), np.diff(upto))
+                z = scores(x, v, upto, w)
+                for k, loss in enumerate(losses):
+                    t = targets[begin:end, k]
+                    there = np.isfinite(t)
+                    value, slope = loss(z[:, k], np.where(there, t, 0.0))
+                    slope = np.where(there, slope, 0.0)
+                    total += float(value[there].sum())
+                    out[k, :-1] += np.bincount(x, v * slope[row], w.shape[1] - 1)
+                    out[k, -1] += slope.sum()
         flat = np.concatenate([out.ravel(), [total]])
         yield from pieces((i, flat[i * PIECE : (i + 1) * PIECE]) for i in range(-(-len(flat) // PIECE)))
 
