@@ -1,5 +1,9 @@
+import itertools
 import math
+import pickle
+import random
 import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -63,6 +67,60 @@ def test_tfidf_weighs_what_all_rows_hold(spark):
     assert features.TextFeatures.fit(rows, "t", max_features=2).terms["grams"] == ["cafe", "news"]
 
 
+@pytest.mark.parametrize("most", [200_000, 60])
+def test_rows_are_encoded_as_term_by_term(most):
+    """Words never seen, words cut by the vocabulary's end, letters that it lacks, empty texts; some texts at a time."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdé漢\U0001d54f", k=r.randint(1, 7))) for _ in range(80)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 40))) for _ in range(50)]
+    terms, idf = {}, {}
+    for kind, split in (("grams", features.grams_of), ("chars", features.chars_of)):
+        count = Counter(t for x in texts[:30] for t in split(x))
+        terms[kind] = sorted(count, key=lambda t: (-count[t], t))[:most]
+        idf[kind] = np.array([1 + r.random() for _ in terms[kind]])
+    texts += [None, "", " ", "a", "zzz Ωmega " + words[0], words[1] + "  " + words[2]]
+    found = features.TextFeatures(terms, idf)
+    blocks = list(found.encoder().blocks(texts, chars=100))
+    assert len(blocks) > 5 and [b[0] for b in blocks] == [0, *[b[1] for b in blocks[:-1]]] and blocks[-1][1] == len(texts)
+    for parts in (blocks, [(0, len(texts), *found.encoded(texts))]):
+        for begin, end, idx, val, ends in parts:
+            for i in range(begin, end):
+                want = {}
+                for kind, split, shift in (("grams", features.grams_of, 0), ("chars", features.chars_of, len(terms["grams"]))):
+                    at = {t: j for j, t in enumerate(terms[kind])}
+                    n = Counter(at[t] for t in split(texts[i] or "") if t in at)
+                    length = math.sqrt(sum((c * idf[kind][j]) ** 2 for j, c in n.items()))
+                    want |= {j + shift: c * idf[kind][j] / length for j, c in n.items()}
+                mine = slice(ends[i - begin], ends[i - begin + 1])
+                assert idx[mine].tolist() == sorted(want) and val[mine] == pytest.approx([want[j] for j in sorted(want)])
+    nothing = features.TextFeatures({"grams": [], "chars": []}, {"grams": np.zeros(0), "chars": np.zeros(0)})
+    assert nothing.encoded(["a b", None])[2].tolist() == [0, 0, 0]
+
+
+def test_executors_get_no_table_of_terms():
+    """Of terms only their words are strings there, and a text's new words leave nothing behind."""
+    words = ["".join(w) for w in itertools.product("abcdefgh", repeat=4)]
+    terms = {"grams": words + [f"{a} {b}" for a, b in zip(words, words[1:])], "chars": words}
+    encoder = features.TextFeatures(terms, {k: np.ones(len(t)) for k, t in terms.items()}).encoder()
+    assert sorted(encoder.words) == sorted(words)
+    before = len(pickle.dumps(encoder))
+    encoder.encoded([" ".join(f"new{i}" for i in range(5000))])
+    assert len(pickle.dumps(encoder)) == before
+
+
+def test_a_scorer_takes_one_python_step(spark):
+    """Regression, trees and calibration run in one worker of a task, and as the parts do one by one."""
+    df = bait(spark)
+    scorer = models.fit_scorer(df.where("doc_id < 160"), df, "bait", trees=5)
+    found = scorer.predict(df)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    parts = models.with_stack(scorer.stack, models.with_logistic(scorer.logistic, df))
+    want = {r["doc_id"]: r["calibrated"] for r in scorer.calibrator.transform(parts, "gbt_prob").collect()}
+    assert {r["doc_id"]: r["probability"] for r in found.collect()} == pytest.approx(want)
+    raw = {r["doc_id"]: r["probability"] for r in scorer.predict(df, calibrated=False).collect()}
+    assert raw == pytest.approx({r["doc_id"]: r["gbt_prob"] for r in parts.collect()})
+
+
 def test_tables_of_terms_are_passed_on(monkeypatch):
     import pyarrow as pa
 
