@@ -100,6 +100,38 @@ def test_verified_links_equal_brute_force(spark, block, hot):
     assert tasks <= 4 * block + 20
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
+def test_similar_sets_share_a_part(spark, threshold):
+    """At the very threshold too, and for sets of one hash; the longer set by a key of its own class of lengths."""
+    r = random.Random(9)
+    sets, pairs = [], []
+    for n in [*range(1, 40), 64, 100, 333]:
+        base = [r.getrandbits(63) for _ in range(n)]
+        for less in range(n):
+            for more in range(n):
+                if n - less >= threshold * (n + more) - 1e-9 and (less == n - 1 or n - less - 1 < threshold * (n + more)):  # the last that still reaches it
+                    pairs.append((len(sets), len(sets) + 1))
+                    sets += [base, base[less:] + [r.getrandbits(63) for _ in range(more)]]
+    df = spark.createDataFrame(list(enumerate(sets)) + [(len(sets), [])], "i int, set array<long>").repartition(3)
+    rows = df.select("i", dedup.part_keys(threshold)("set").alias("keys"), F.size("set").alias("n")).select("i", "keys", dedup.parts_of("n", threshold).alias("own"))
+    keys = {x["i"]: (set(x["keys"][: x["own"]]), set(x["keys"])) for x in rows.where("size(keys) > 0").collect()}
+    for i, j in pairs:
+        long, short = (i, j) if len(sets[i]) >= len(sets[j]) else (j, i)
+        assert keys[long][0] & keys[short][1], (sets[i], sets[j])
+    assert len(pairs) >= 80 and rows.where("size(keys) = 0").count() == 1
+
+
+def test_a_shared_rare_word_makes_no_candidates(spark):
+    """Texts that only share one rare word don't meet, where the prefixes of their sets all did."""
+    r = random.Random(4)
+    lines = [f"{''.join(r.choices('abcdefgh ', k=60))} zqjx {''.join(r.choices('abcdefgh ', k=20))}" for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "rep long, norm string")
+    keys = dedup.hashed_sets(df).select("rep", F.explode(dedup.part_keys(0.8)("set")).alias("key"))
+    counts = keys.groupBy("key").count()
+    assert counts.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] < 0.1 * 1000 * 999 / 2
+    assert dedup.jaccard_pairs(df).count() == 0
+
+
 @pytest.mark.parametrize("most", [dedup.MOST_HASHES, 5])
 def test_sets_are_in_one_order(spark, monkeypatch, most):
     """Rarest hashes first, whether their counts are broadcast or joined."""

@@ -64,23 +64,23 @@ def rarest_first(sets: DataFrame) -> DataFrame:
 def jaccard_pairs(distinct: DataFrame, k: int = PARAMS.shingle_size, threshold: float = PARAMS.lsh_threshold) -> DataFrame:
     """(a, b, jaccard) of all pairs of texts with a Jaccard similarity of threshold or more, a < b.
 
-    Prefix filter: shingles in a fixed order, the rarest first; two sets of that similarity share one of their first
-    n - ceil(threshold n) + 1. Only those are joined, as lean rows; lengths and places bound the overlap at once, and
-    each pair that is left meets its whole sets, as hashes, once.
+    Two such sets differ in few shingles. Shingles fall into more parts than that by their hashes, so the sets are equal in
+    one part at least, and only texts with an equal part are joined, as lean rows (``part_keys``). Any one shingle is in a
+    share of all texts, so that pairs that share a rare one grow with the square of the texts; equal parts of several
+    shingles are chance but for near copies. Lengths and bitmaps bound the overlap at once, and each pair that is left
+    meets its whole sets, as hashes, once.
     """
-    sets = rarest_first(stored(hashed_sets(distinct, k)))
-    n = F.size("set")
-    keep = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    sets = stored(sets.select("rep", n.alias("n"), "set", keep.alias("keep"), *[_bits("set", w).alias(f"w{w}") for w in range(WORDS)]))
-    front = sets.select("rep", "n", *[f"w{w}" for w in range(WORDS)], F.posexplode(F.slice("set", F.lit(1), F.col("keep"))).alias("at", "shingle"))
-    side = lambda x: front.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "shingle", *[F.col(f"w{w}").alias(f"{x}{w}") for w in range(WORDS)])
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    sets = stored(hashed_sets(distinct, k).select("rep", F.size("set").alias("n"), "set", *[_bits("set", w).alias(f"w{w}") for w in range(WORDS)]))
+    keyed = sets.select("rep", "n", *[f"w{w}" for w in range(WORDS)], part_keys(threshold)("set").alias("keys"), parts_of("n", threshold).alias("mine"))
+    rows = keyed.select("rep", "n", *[f"w{w}" for w in range(WORDS)], F.posexplode("keys").alias("at", "key"), "mine").withColumn("own", F.col("at") < F.col("mine"))
+    side = lambda x, of: of.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), "key", *[F.col(f"w{w}").alias(f"{x}{w}") for w in range(WORDS)])
+    # the longer text (of equally long ones the one with the smaller id) is in its own class of lengths
+    near = ((F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) & (F.col("nb") >= F.col("na") * threshold)
     least = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9  # the overlap that the threshold asks for
-    # what is behind the shared shingle in both sets bounds the overlap, and so do bits that one set has alone
-    behind = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb") >= least
+    # bits that one set has alone bound the overlap
     alone = lambda x, y: sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(f"{y}{w}"))) for w in range(WORDS)), F.lit(0))
     fits = (F.col("na") - alone("a", "b") >= least) & (F.col("nb") - alone("b", "a") >= least)
-    pairs = side("a").join(side("b"), "shingle").where(near & behind & fits).select("a", "b").distinct()
+    pairs = side("a", rows.where("own")).hint("merge").join(side("b", rows), "key").where(near & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("set").alias(f"s{side}")), side)
     both = F.size(F.array_intersect("sa", "sb"))
@@ -89,6 +89,69 @@ def jaccard_pairs(distinct: DataFrame, k: int = PARAMS.shingle_size, threshold:
     return found.where(F.col("jaccard") >= threshold)
 
 
+#: The longest set of a class of lengths is so much longer than its shortest, about.
+CLASS = 1.1
+
+
+def _classes(most: int) -> np.ndarray:
+    """The shortest lengths of the classes up to one that holds ``most``, and of the class behind it."""
+    first = [1]
+    while first[-1] <= most:
+        first.append(max(first[-1] + 1, int(first[-1] * CLASS)))
+    return np.array(first)
+
+
+def _parts(first: np.ndarray, threshold: float) -> np.ndarray:
+    """Parts of each class: one more than shingles in which two sets of the threshold differ, the longer one of that class."""
+    return np.floor(2 * (first[1:] - 1) * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64) + 1
+
+
+def parts_of(n: str, threshold: float):
+    """How many parts the own class of a set of n shingles has: so many of its keys come first."""
+
+    def parts(column: pd.Series) -> pd.Series:
+        first = _classes(int(column.max()) if len(column) else 1)
+        return pd.Series(_parts(first, threshold)[np.searchsorted(first, column.to_numpy(), side="right") - 1])
+
+    return F.pandas_udf(parts, "long")(n)
+
+
+def part_keys(threshold: float):
+    """A function of columns of sets: a key for each part of a set's own class of lengths, then of each class up to the
+    longest set that reaches the threshold with it. A part's key is the sum of its mixed hashes; equal parts have equal keys.
+    """
+
+    def keys(column: pd.Series) -> pd.Series:
+        size = column.map(len).to_numpy(int)
+        flat = np.concatenate([np.zeros(0, np.int64), *column]).astype(np.int64).view(np.uint64)
+        row = np.repeat(np.arange(len(size)), size)
+        first = _classes(int(size.max(initial=1) / threshold + 1e-9))
+        parts = _parts(first, threshold)
+        begin, end = (np.searchsorted(first, n, side="right") - 1 for n in (size, np.floor(size / threshold + 1e-9)))
+        upto = np.concatenate([[0], np.cumsum(parts)])
+        count = np.where(size > 0, upto[end + 1] - upto[begin], 0)
+        start = np.cumsum(count) - count
+        mixed, where = _mixed(flat), _mixed(flat ^ np.uint64(0x5BD1E9955BD1E995))
+        out = np.zeros(int(count.sum()), np.uint64)
+        for ahead in range(int((end - begin).max(initial=-1)) + 1):
+            c = begin + ahead
+            there = np.flatnonzero((c <= end)[row])
+            of = c[row[there]]
+            np.add.at(out, start[row[there]] + upto[of] - upto[begin[row[there]]] + (where[there] % parts[of].astype(np.uint64)).astype(np.int64), mixed[there])
+        at = np.arange(len(out)) - np.repeat(start - upto[begin], count)  # of all parts of all classes
+        out = _mixed(out ^ _mixed(at.astype(np.uint64))).view(np.int64)
+        return pd.Series(np.split(out, np.cumsum(count)[:-1]) if len(size) else [], dtype=object)
+
+    return F.pandas_udf(keys, "array<long>")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 #: A text's set is also kept as a bitmap of so many 64-bit words.
 WORDS = 4
 
@@ -207,7 +270,7 @@ def _checkpoint_dir(df: DataFrame) -> None:
 def with_groups(df: DataFrame, links: DataFrame, row_id: str = "doc_id", headline: str = "headline") -> DataFrame:
     """df with ``group_min`` (the smallest row id of the row's group) and ``dup_group``, numbered from 0 in its order."""
     named = df.withColumn("norm", normalize(headline)).join(texts(df, row_id, headline), "norm")
-    placed = named.join(components(links), "rep", "left").withColumn("group_min", F.coalesce("component", "rep"))
+    placed = stored(named.join(components(links), "rep", "left").withColumn("group_min", F.coalesce("component", "rep")))
     return placed.join(numbered(placed.select("group_min").distinct()), "group_min").drop("norm", "rep", "component")
 
 

@@ -101,7 +101,7 @@ def near_dup_pairs_exact(spark, d):
 
 
 def near_dup_groups(spark, d):
-    rows = probe(spark, d)
+    rows = stored(probe(spark, d).select("doc_id", "headline"))
     return dedup.with_groups(rows, dedup.jaccard_pairs(dedup.texts(rows))).select("doc_id", "group_min", "dup_group")
 
 
