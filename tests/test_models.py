@@ -171,6 +171,57 @@ def test_optimum_equals_a_dense_solvers(spark, monkeypatch):
     assert linear.fit_heads(df, 12, [linear.logistic], 1 / 60, tolerance=1e-8)[0] == pytest.approx(want, abs=1e-5)
 
 
+def test_steps_are_dealt_by_entries(spark, monkeypatch):
+    """A few long rows are several tasks' work, whose gradients the driver or executors add up alike."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 12)) * (r.random((60, 12)) < 0.4)
+    y = (r.random(60) < 1 / (1 + np.exp(-x[:, 0] * 2 + 0.5))).astype(float)
+    df, want, plain, seen = sparse_frame(spark, x, y[:, None]), dense_newton(x, y, 1 / 60), linear._gradient, set()
+    monkeypatch.setattr(linear, "_gradient", lambda rows, w, losses, by: seen.add((rows.rdd.getNumPartitions(), by)) or plain(rows, w, losses, by))
+    monkeypatch.setattr(linear, "TASK_ENTRIES", 100)
+    monkeypatch.setattr(linear, "PIECE", 5)
+    for most, by in ((linear.DIRECT, 1), (0, 3)):
+        monkeypatch.setattr(linear, "DIRECT", most)
+        seen.clear()
+        assert linear.fit_heads(df, 12, [linear.logistic], 1 / 60, tolerance=1e-8)[0] == pytest.approx(want, abs=1e-5)
+        assert seen == {(3, by)}
+
+
+def test_blocks_hold_rows_as_they_are():
+    ends, idx, targets = np.array([0, 2, 2, 3]), np.array([1, 7, 0]), np.array([[1.0, np.nan], [0.0, 2.0], [3.0, 4.0]])
+    for val in (np.array([0.5, 0.1, 2.0]), np.array([0.5, 0.1, 2.0], np.float32)):
+        (got,) = linear.unpacked(linear.block(idx, val, ends, targets))
+        assert got[1].dtype == val.dtype and all(np.array_equal(g, w, equal_nan=True) for g, w in zip(got, (idx, val, ends, targets.ravel())))
+    (got,) = linear.unpacked(linear.block(idx[:0], np.zeros(0), np.array([0, 0]), targets[:1]))
+    assert [len(g) for g in got] == [0, 0, 2, 2]
+
+
+def test_terms_are_counted_once(spark, monkeypatch):
+    """Both kinds' vocabularies come of one pass over the texts."""
+    passes, plain = spark.sparkContext.accumulator(0), features._count_terms
+
+    def counted(batches):
+        passes.add(1)
+        yield from plain(batches)
+
+    rows = stored(frame(spark, [("one two",), ("two three",)], "text string").coalesce(1))
+    monkeypatch.setattr(features, "_count_terms", counted)
+    assert set(features.TextFeatures.fit(rows, "text").terms["grams"]) == {"one", "two", "three", "one two", "two three"}
+    assert passes.value == 1
+
+
+def test_fitting_draws_the_same_sample_from_ids(spark, monkeypatch):
+    from tonescope.operators import split
+    from tonescope.plans import queries
+
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("headline"), F.lit(1).alias("label"), F.when(F.col("id") % 4 < 3, "train").otherwise("test").alias("split"))
+    for most in (50, 500):
+        monkeypatch.setattr(queries, "FIT_ROWS", most)
+        got = queries.fitting(rows, "train")
+        assert got.columns == rows.columns and got.rdd.getNumPartitions() > 1
+        assert sorted(got.collect()) == sorted(split.at_most(rows.where("split = 'train'"), most).collect())
+
+
 def test_rows_are_taken_some_at_a_time(monkeypatch):
     monkeypatch.setattr(linear, "ENTRIES", 5)
     ends = np.array([0, 0, 3, 5, 5, 17, 18, 19])

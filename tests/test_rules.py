@@ -106,3 +106,13 @@ def test_tokenizer(spark):
 def test_lexicon_file(spark, tmp_path):
     (tmp_path / "l.txt").write_text("# note\n  Big Deal \n\nslams\n")
     assert lexicon.read_terms(spark, str(tmp_path / "l.txt")) == ("big deal", "slams") and lexicon.lexicon_table(spark).count() == sum(len(lexicon.LEXICONS[d]) for d in DIMENSIONS[:5])
+
+
+def test_patterns_that_look_at_first_characters_find_the_same(spark):
+    """Unicode's cases and boundaries too: a long s, a Kelvin sign, dotted and dotless i, joiners, letters before a term."""
+    texts = ["\u017flams rival", "\u212aILLER killer", "\u0130nsane \u0131nsane INSANE", "xslams _slams slams", "\u00c0BC ABC\u00c0 ABC", "the left-wing, GOP", "e\u0301pic epic", "deadly\u200dstorm DEADLY", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for terms in (*lexicon.LEXICONS.values(), lexicon.ENTITIES):
+        plain, led = "(?iU)" + lexicon.alternation(terms), rules._any_of(terms)
+        assert plain != led and df.where(~text.matches("t", plain).eqNullSafe(text.matches("t", led))).count() == 0
+    assert df.where(~text.matches("t", "(?U)" + lexicon.CAPS).eqNullSafe(text.matches("t", rules.CAPS))).count() == 0
