@@ -396,3 +396,45 @@ def test_a_student_follows_its_teacher(spark):
     none = taught.where("doc_id < 250").withColumn("teacher_fear", F.lit(None).cast("double"))
     assert distill.fit_student(none, max_features=400, iterations=2).weights[distill.HEADS.index("fear")].tolist() == [0.0] * (student.features.size + 1)
     assert split.at_most(df, 70).count() == 70 and split.at_most(df, 700).count() == 400
+
+
+# --- whole jobs -------------------------------------------------------------------------------------
+
+
+def seen_by_fits(monkeypatch, spark, name, fit):
+    """Ids of each set that a query's fit gets, of 400 rows and a bound of 20 for the queries that have one."""
+    from tonescope.plans import queries
+
+    class Fitted(Exception):
+        pass
+
+    def stop(*sets, **_):
+        raise Fitted(*[sorted(r["doc_id"] for r in s.select("doc_id").collect()) for s in sets if not isinstance(s, str)])
+
+    split = F.when(F.col("id") % 4 < 2, "train").when(F.col("id") % 4 == 2, "val").otherwise("test")
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("headline"), F.lit(1).alias("label"), split.alias("split"))
+    monkeypatch.setattr(queries, "model_rows", lambda *_: rows)
+    monkeypatch.setattr(queries, "FIT_ROWS", 20)
+    monkeypatch.setattr(queries.models, fit, stop)
+    with pytest.raises(Fitted) as found:
+        queries.QUERIES[name](spark, "")
+    return found.value.args
+
+
+def test_gbt_stack_learns_from_all_training_rows(spark, monkeypatch):
+    assert seen_by_fits(monkeypatch, spark, "gbt_stack", "fit_logistic") == ([i for i in range(400) if i % 4 < 2],)
+
+
+def test_steps_drop_what_none_reads_again(spark, monkeypatch):
+    """Of a fit's tables none is left: neither texts nor all their terms nor sparse rows."""
+    from tonescope.operators import store
+
+    before = set(store._tables.values())
+    model = models.fit_logistic(bait(spark), "bait")
+    assert model.features.size and set(store._tables.values()) <= before
+
+
+def test_rows_without_terms_score_the_intercept():
+    idx, val, w = np.array([0, 2, 1], np.int32), np.array([1.0, 2.0, 3.0]), np.array([[1.0, 10.0, 100.0, 0.5], [0.0, 0.0, 1.0, -1.0]])
+    assert linear.scores(idx, val, np.array([0, 0, 2, 2, 3, 3]), w).tolist() == [[0.5, -1.0], [201.5, 1.0], [0.5, -1.0], [30.5, -1.0], [0.5, -1.0]]
+    assert linear.scores(idx[:0], val[:0], np.array([0, 0]), w).tolist() == [[0.5, -1.0]]
