@@ -425,6 +425,11 @@ def test_gbt_stack_learns_from_all_training_rows(spark, monkeypatch):
     assert seen_by_fits(monkeypatch, spark, "gbt_stack", "fit_logistic") == ([i for i in range(400) if i % 4 < 2],)
 
 
+def test_trained_scores_learns_and_calibrates_from_all_rows(spark, monkeypatch):
+    train, val = seen_by_fits(monkeypatch, spark, "trained_scores", "fit_scorer")
+    assert train == [i for i in range(400) if i % 4 < 2] and val == [i for i in range(400) if i % 4 == 2]
+
+
 def test_steps_drop_what_none_reads_again(spark, monkeypatch):
     """Of a fit's tables none is left: neither texts nor all their terms nor sparse rows."""
     from tonescope.operators import store
